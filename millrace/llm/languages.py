@@ -22,6 +22,7 @@ empty texts, and texts without words of the known scripts, have no language.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -107,212 +108,278 @@ def _code_table(script: str) -> np.ndarray:
         out[ord(c)] = k + 1
         if len(c.upper()) == 1:
             out[ord(c.upper())] = k + 1
+    for k in range(26 if script == "latin" else 0):  # full-width letters
+        out[0xFF21 + k] = out[0xFF41 + k] = k + 1
     return out
 
 
-def encode(text: str, script: str) -> np.ndarray:
-    """Letter codes of a text, with every run of other characters as one 0."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-    codes = _code_table(script)[np.where(points < 0x10000, points, 0)]
-    keep = (codes > 0) | np.concatenate([[False], codes[:-1] > 0])
-    return codes[keep]
-
-
-def pieces(table: np.ndarray, alphabet: int, passages: list[np.ndarray], lanes: int = 4096) -> np.ndarray:
-    """Number of longest pieces that each passage takes."""
-    lengths = np.array([len(p) for p in passages], dtype=np.int64)
-    out = np.zeros(len(passages), dtype=np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    start_row = table[:alphabet]
-    for k in range(0, len(order), lanes):
-        group = order[k : k + lanes]
-        width = int(lengths[group[0]])
-        if not width:
-            continue
-        text = np.zeros((width, len(group)), dtype=np.int64)
-        for j, i in enumerate(group):
-            text[: lengths[i], j] = passages[i]
-        ends = lengths[group]
-        state = np.zeros(len(group), dtype=np.int64)
-        count = np.zeros(len(group), dtype=np.int64)
-        live = len(group)
-        for t in range(width):
-            while live and ends[live - 1] <= t:
-                live -= 1
-            c = text[t, :live]
-            nxt = table[state[:live] * alphabet + c]
-            failed = nxt < 0
-            count[:live] += failed
-            again = start_row[c]
-            nxt = np.where(failed, again, nxt)
-            # a letter that the sample lacks is a piece of its own
-            lost = nxt < 0
-            if lost.any():
-                nxt = np.where(lost, 0, nxt)
-            state[:live] = nxt
-        out[group] = count + 1
+class Text:
+    """Texts laid end to end as code points, with what is counted along them."""
+
+    def __init__(self, texts: list[str]):
+        self.points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)
+        points = np.where(self.points < 0x10000, self.points, 0)
+        self.codes = {k: _code_table(k)[points] for k in SCRIPTS}
+        kind = _kinds()[points]
+        letter = (kind & LETTER) > 0
+        word = letter & ~np.concatenate([[False], letter[:-1]])
+        flags = [kind & b for b in (CYRILLIC, LATIN, ODD, CAPITAL, ACCENT, LETTER)] + [word]
+        self.counts = [np.concatenate([np.zeros(1, np.int32), np.cumsum(f > 0, dtype=np.int32)]) for f in flags]
+
+    def stats(self, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Cyrillic and Latin letters, odd characters, Cyrillic capitals, accented letters, letters and words of each span."""
+        return [c[ends] - c[starts] for c in self.counts]
+
+    def coded(self, script: str, start: int, end: int) -> np.ndarray:
+        """Letter codes of a span, with every run of other characters as one 0."""
+        codes = self.codes[script][start:end]
+        keep = codes > 0
+        keep[1:] |= keep[:-1] & ~keep[1:]
+        return codes[keep]
+
+
+CYRILLIC, LATIN, ODD, CAPITAL, ACCENT, LETTER = 1, 2, 4, 8, 16, 32
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Kinds of every character of the basic plane, as bits."""
+    out = np.zeros(0x10000, dtype=np.uint8)
+    plain = set(map(chr, range(0x80))) | set("ÀÂÄÇÈÉÊËÎÏÔÖÙÛÜßàâäçèéêëîïôöùûüÿœŒ«»„“”‘’…—–№€\xa0")
+    plain |= set("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ") | set("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ".upper())
+    for k in range(0x10000):
+        c = chr(k)
+        if 0x400 <= k < 0x530:
+            out[k] |= CYRILLIC
+        if (k < 0x250 and c.isalpha()) or 0x1E00 <= k < 0x1F00 or 0xFF21 <= k < 0xFF5B:
+            out[k] |= LATIN
+        if c not in plain and not 0x2000 <= k < 0x2070 and not 0xFF00 <= k < 0xFF60 and not 0x300 <= k < 0x370 and not 0xD800 <= k < 0xE000:
+            out[k] |= ODD
+        if 0x410 <= k < 0x430:
+            out[k] |= CAPITAL
+        if 0xC0 <= k < 0x100:
+            out[k] |= ACCENT
+        if c.isalpha():
+            out[k] |= LETTER
+    out[0] = 0
     return out
 
 
 class Model:
-    """Automata of all languages; pieces of passages under each language of their script."""
+    """Automata of all languages in one table for each script."""
 
     def __init__(self, texts: dict[str, list[str]]):
-        self.tables: dict[str, tuple[np.ndarray, int, float]] = {}
-        self.scripts = {}
+        self.languages: dict[str, tuple[str, ...]] = {}
+        self.tables: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
         for script, languages in SCRIPTS.items():
-            coded = {x: np.concatenate([encode(t + "\n", script) for t in texts[x]])[:SAMPLE_LETTERS] for x in languages if texts.get(x)}
+            coded = {}
+            for x in languages:
+                if texts.get(x):
+                    laid = Text(texts[x])
+                    coded[x] = laid.coded(script, 0, len(laid.points))[:SAMPLE_LETTERS]
             coded = {x: v for x, v in coded.items() if len(v)}
-            self.scripts[script] = tuple(coded)
+            self.languages[script] = tuple(coded)
             n = min(map(len, coded.values()), default=0)
             alphabet = len(LETTERS[script]) + 1
-            for x, v in coded.items():
-                self.tables[x] = (suffix_automaton(v[:n], alphabet), alphabet, float(np.log2(max(n, 2))))
-
-    def bits(self, passages: list[str]) -> list[dict[str, float]]:
-        """Bits of each passage under the languages of its script."""
-        out: list[dict[str, float]] = [{} for _ in passages]
-        for script, languages in self.scripts.items():
-            mine = [i for i, p in enumerate(passages) if script_of(p) == script]
-            coded = [encode(passages[i], script) for i in mine]
-            for x in languages:
-                table, alphabet, size = self.tables[x]
-                for i, v in zip(mine, (pieces(table, alphabet, coded) * size).tolist(), strict=True):
-                    out[i][x] = v
+            parts, offsets, at = [], [], 0
+            for v in coded.values():
+                t = suffix_automaton(v[:n], alphabet)
+                t[t >= 0] += at
+                parts.append(t)
+                offsets.append(at)
+                at += len(t) // alphabet
+            self.tables[script] = (np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(offsets, dtype=np.int64), float(np.log2(max(n, 2))))
+
+    def bits(self, script: str, passages: list[np.ndarray], lanes: int = 2048) -> np.ndarray:
+        """Bits of each coded passage (rows) under each language of the script (columns)."""
+        table, starts, size = self.tables[script]
+        alphabet, k = len(LETTERS[script]) + 1, len(starts)
+        out = np.zeros((len(passages), k))
+        if not k or not passages:
+            return out
+        lengths = np.array([len(p) for p in passages], dtype=np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        for at in range(0, len(order), lanes):
+            group = order[at : at + lanes]
+            ends = lengths[group]
+            width = int(ends[0])
+            text = np.zeros((len(group), max(1, width)), dtype=np.uint8)
+            text[np.arange(text.shape[1]) < ends[:, None]] = np.concatenate([passages[i] for i in group]).view(np.uint8)
+            text = np.ascontiguousarray(text.T).astype(np.int32)
+            alive = np.searchsorted(-ends, -np.arange(width), side="left")
+            state = np.repeat(starts[:, None], len(group), axis=1).astype(np.int32) * alphabet
+            count = np.zeros((k, len(group)), dtype=np.int32)
+            again = (starts * alphabet)[:, None].astype(np.int32)
+            for t in range(width):
+                n = alive[t]
+                c = text[t, :n]
+                nxt = table[state[:, :n] + c]
+                failed = nxt < 0
+                count[:, :n] += failed
+                nxt = np.where(failed, table[again + c], nxt)
+                # a letter that the sample lacks is a piece of its own
+                state[:, :n] = np.where(nxt < 0, again, nxt * alphabet)
+            out[group] = (count.T + 1) * size
         return out
 
 
-_CYRILLIC = re.compile(r"[Ѐ-ԯ]")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _END = re.compile(r"(?<=[.!?…])[»”\"')\]]*\s+|\s*\n\s*")
 _WORDS = re.compile(r"[^\W\d_]+")
-#: Characters that no text of the known languages holds often.
-_ODD = re.compile("[^\x00-\x7fÀÂÄÇÈÉÊËÎÏÔÖÙÛÜßàâäçèéêëîïôöùûüÿœŒЁІЇЄҐА-яёіїєґ«»„“”‘’…—–№€°   ​-‏  ⁠﻿]")
+_LINK = re.compile(r"\S+://\S+|\S+@\S+|www\.\S+|\S+\.example\S*")
+_GOOD = re.compile("[А-ЯЁІЇЄҐ]?[а-яёіїєґ]+")
 
 
-def script_of(s: str) -> str:
-    c = len(_CYRILLIC.findall(s))
-    return "cyrillic" if c * 2 > len(_LATIN.findall(s)) and c else "latin"
+def _decoded(s: str, written: str, read: str, times: int) -> str | None:
+    """``s`` as it was before it was read wrongly so many times; None where it was not, or was no plain Cyrillic."""
+    t = s
+    try:
+        for _ in range(times):
+            t = t.encode(read, "millrace-back").decode(written, "strict" if written != "utf-8" else "ignore")
+    except UnicodeError:
+        return None
+    words = _WORDS.findall(t)
+    n = sum(map(len, words))
+    return t if n and t != s and sum(len(w) for w in words if _GOOD.fullmatch(w)) >= 0.8 * n else None
 
 
-def _upset(s: str) -> bool:
-    """Whether a passage may be garbled: many odd characters, accents without letters, or capitals inside out."""
-    odd = len(_ODD.findall(s))
-    letters = _WORDS.findall(s)
-    n = sum(map(len, letters))
-    if odd >= 3 and odd * 6 > n:
-        return True
-    accents = sum(1 for c in s if "\xc0" <= c <= "\xff")
-    if accents > 5 and accents * 3 > n:
-        return True
-    capitals = sum(1 for c in s if "А" <= c <= "Я")
-    return n > 10 and capitals * 2 > n
+@lru_cache(maxsize=1)
+def _chains() -> list[tuple[str, str, int]]:
+    return [(w, r, n) for w, r, undefined, n in mojibake.chains() if undefined == "millrace-keep" and r != "utf-8"]
 
 
 def ungarble(s: str) -> list[str]:
-    """The texts that a passage may have been before a wrong decoding, each of plain Cyrillic."""
+    """The texts that a passage may have been before a wrong decoding, each of plain Cyrillic.
+
+    A chain is ruled out by the passage's first words alone before all of it is decoded.
+    """
+    head = s[:40].rsplit(" ", 1)[0]
     out = []
-    for written, read, undefined, times in mojibake.chains():
-        if undefined != "millrace-keep" or read == "utf-8":
-            continue
-        try:
-            t = s
-            for _ in range(times):
-                t = t.encode(read, "millrace-back").decode(written, "strict" if written != "utf-8" else "ignore")
-        except UnicodeError:
-            continue
-        words = _WORDS.findall(t)
-        n = sum(map(len, words))
-        good = sum(len(w) for w in words if re.fullmatch("[А-ЯЁІЇЄҐ]?[а-яёіїєґ]+", w))
-        if n and good >= 0.8 * n and t != s and t not in out:
-            out.append(t)
+    for written, read, times in _chains():
+        if _decoded(head, written, read, times) is not None or not head.strip():
+            t = _decoded(s, written, read, times)
+            if t is not None and t not in out:
+                out.append(t)
     return out
 
 
-def passages_of(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, passage) of the sentences that count; short ones go with the passage before them."""
-    out: list[tuple[int, int, str]] = []
+def _back(error: UnicodeError):
+    """Bytes that a decoding kept as controls; any other character was not read in this encoding."""
+    part = error.object[error.start : error.end]
+    if any(not 0x80 <= ord(c) < 0xA0 for c in part):
+        raise error
+    return part.encode("latin-1"), error.end
+
+
+codecs.register_error("millrace-back", _back)
+
+
+def passages_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the sentences and lines of a text."""
+    out: list[tuple[int, int]] = []
     at = 0
-    for m in [*_END.finditer(text), None]:
-        end = m.start() if m else len(text)
-        if end > at:
-            s = text[at:end]
-            if s.strip():
-                out.append((at, end, s))
-        at = m.end() if m else end
+    for m in _END.finditer(text):
+        if m.start() > at:
+            out.append((at, m.start()))
+        at = m.end()
+    if len(text) > at:
+        out.append((at, len(text)))
     return out
 
 
-def decide(text_passages: list[tuple[int, int, str]], bits: list[dict[str, float]]) -> tuple[str | None, float, list[tuple[int, int, str, float]]]:
-    """Language and confidence of a document, and its passages in runs of one language."""
-    total: dict[str, float] = {}
-    sizes = {"latin": 0, "cyrillic": 0}
-    for (_, _, s), b in zip(text_passages, bits, strict=True):
+def _without_links(text: str) -> str:
+    """The text with links blanked out, at the same places."""
+    if "://" in text or "www." in text or ".example" in text or "@" in text:
+        return _LINK.sub(lambda m: " " * len(m[0]), text)
+    return text
+
+
+def decide(spans: list[tuple[int, int]], words: list[int], scripts: list[str], bits: list[dict[str, float]]) -> tuple[str | None, float, list[tuple[int, int, str, float]]]:
+    """Language and confidence of a document, and its passages in runs of one language.
+
+    Each script's own main language is the one with the fewest bits over all its passages; a
+    passage is of another language of that script only if that needs clearly fewer pieces.
+    """
+    total: dict[str, dict[str, float]] = {}
+    sizes: dict[str, int] = {}
+    for n, k, b in zip(words, scripts, bits, strict=True):
         if b:
-            sizes[script_of(s)] += len(s)
-        for x, v in b.items():
-            total[x] = total.get(x, 0.0) + v
-    script = max(sizes, key=lambda k: sizes[k])
-    ranked = sorted((v, x) for x, v in total.items() if x in SCRIPTS[script])
-    if not ranked or not sizes[script]:
+            sizes[k] = sizes.get(k, 0) + n
+            for x, v in b.items():
+                total.setdefault(k, {})[x] = total.get(k, {}).get(x, 0.0) + v
+    if not total:
         return None, 0.0, []
-    main = ranked[0][1]
+    script = max(sizes, key=lambda k: (sizes[k], k))
+    ranked = {k: sorted((v, x) for x, v in t.items()) for k, t in total.items()}
+    main = ranked[script][0][1]
     runs: list[tuple[int, int, str, float]] = []
-    for (a, z, s), b in zip(text_passages, bits, strict=True):
+    for (a, z), n, k, b in zip(spans, words, scripts, bits, strict=True):
         if not b:
             continue
-        order = sorted((v, x) for x, v in b.items())
-        best = order[0][1]
-        long_enough = len(_WORDS.findall(s)) >= LEAST_WORDS
-        if best != main and (not long_enough or (main in b and b[main] < MARGIN * order[0][0] + MARGIN_PIECES * 10)):
-            best = main if main in b or not long_enough else best
-        own = b.get(best)
-        others = [v for x, v in b.items() if x != best]
-        sure = 1.0 if not others or own is None else min(others) / (min(others) + own)
-        if best != main and not long_enough:
-            best = main
+        own = ranked[k][0][1]
+        best = min((v, x) for x, v in b.items())[1]
+        if n < LEAST_WORDS:
+            best = runs[-1][2] if runs else main
+        elif best != own and b[own] < MARGIN * b[best] + MARGIN_PIECES * 15:
+            best = own
+        if best in b:
+            others = [v for x, v in b.items() if x != best]
+            sure = min(others) / (min(others) + b[best]) if others else 1.0
+        else:
+            sure = 0.5
         if runs and runs[-1][2] == best:
             p = runs[-1]
-            runs[-1] = (p[0], z, best, min(p[3], sure))
+            runs[-1] = (p[0], z, best, max(p[3], sure))
         else:
             runs.append((a, z, best, sure))
-    second = ranked[1][0] if len(ranked) > 1 else ranked[0][0] * 2
-    return main, second / (second + ranked[0][0]), runs
-
-
-def _back(error: UnicodeError):
-    """Bytes that a decoding kept as controls."""
-    return bytes(min(ord(c), 255) for c in error.object[error.start : error.end]), error.end
-
-
-mojibake.codecs.register_error("millrace-back", _back)
+    first, second = ranked[script][0][0], ranked[script][1][0] if len(ranked[script]) > 1 else ranked[script][0][0] * 2
+    return main, second / (second + first), runs
+
+
+def passage_bits(texts: list[str], model: Model) -> tuple[list[list[tuple[int, int]]], np.ndarray, list[str], list[dict[str, float]]]:
+    """Passages of every text with their words, scripts and bits; garbled ones by their likeliest reading."""
+    blank = [_without_links(t) for t in texts]
+    spans = [passages_of(t) for t in blank]
+    laid = Text(blank)
+    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in blank])])
+    starts = np.array([o + a for o, ps in zip(offsets, spans, strict=False) for a, _ in ps], dtype=np.int64)
+    ends = np.array([o + z for o, ps in zip(offsets, spans, strict=False) for _, z in ps], dtype=np.int64)
+    cyr, lat, odd, cap, acc, let, words = laid.stats(starts, ends)
+    upset = ((odd >= 3) & (odd * 6 > let)) | ((acc > 5) & (acc * 3 > let)) | ((let > 10) & (cap * 2 > let))
+    scripts = np.where(cyr > lat, "cyrillic", "latin").tolist()
+    # of a passage that quotes the other script, the words of its own count
+    words = np.maximum(words * np.maximum(cyr, lat) // np.maximum(cyr + lat, 1), words > 0)
+    bits: list[dict[str, float]] = [{} for _ in scripts]
+    flat = [t[a:z] for t, ps in zip(blank, spans, strict=True) for a, z in ps] if upset.any() else []
+    readings = {int(i): r for i in np.flatnonzero(upset) if (r := ungarble(flat[i]))}
+    for k, names in model.languages.items():
+        mine = [i for i, x in enumerate(scripts) if x == k and i not in readings and let[i]]
+        rows = model.bits(k, [laid.coded(k, int(starts[i]), int(ends[i])) for i in mine])
+        for i, r in zip(mine, rows.tolist(), strict=True):
+            bits[i] = dict(zip(names, r, strict=True))
+    if readings:
+        keys = [(i, t) for i, ts in readings.items() for t in ts]
+        plain = Text([t for _, t in keys])
+        at = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in keys])])
+        rows = model.bits("cyrillic", [plain.coded("cyrillic", int(at[j]), int(at[j + 1])) for j in range(len(keys))])
+        best: dict[int, float] = {}
+        for (i, t), r in zip(keys, rows.tolist(), strict=True):
+            if r and min(r) < best.get(i, np.inf):
+                best[i] = min(r)
+                bits[i] = dict(zip(model.languages["cyrillic"], r, strict=True))
+                scripts[i] = "cyrillic"
+                words[i] = len(_WORDS.findall(t))
+    return spans, words, scripts, bits
 
 
 def identify(texts: list[str | None], model: Model) -> list[tuple[str | None, float, list[tuple[int, int, str, float]]]]:
     """Language, confidence and passages of every text."""
-    spans = [passages_of(t) if t else [] for t in texts]
-    flat: list[str] = []
-    owners: list[int] = []  # the passage of each candidate reading
-    k = 0
-    for doc in spans:
-        for _, _, s in doc:
-            readings = [s]
-            if _upset(s):
-                readings = ungarble(s) or [s]
-            flat += readings
-            owners += [k] * len(readings)
-            k += 1
-    best: list[tuple[float, dict[str, float], str]] = [(np.inf, {}, "")] * k
-    for owner, reading, b in zip(owners, flat, model.bits(flat), strict=True):
-        cost = min(b.values(), default=np.inf) / max(1, len(reading))
-        if cost < best[owner][0] or not best[owner][2]:
-            best[owner] = (cost, b, reading)
+    spans, words, scripts, bits = passage_bits([t or "" for t in texts], model)
     out, k = [], 0
-    for doc in spans:
-        mine = best[k : k + len(doc)]
-        k += len(doc)
-        kept = [((a, z, r), b if _WORDS.search(r) and (_CYRILLIC.search(r) or _LATIN.search(r)) else {}) for (a, z, _), (_, b, r) in zip(doc, mine, strict=True)]
-        out.append(decide([x for x, _ in kept], [b for _, b in kept]))
+    words = words.tolist()
+    for ps in spans:
+        n = k + len(ps)
+        out.append(decide(ps, words[k:n], scripts[k:n], bits[k:n]))
+        k = n
     return out
 
 
@@ -329,21 +396,23 @@ def fit(df: DataFrame, text_col: str, label_col: str, id_col: str, docs: int = S
     texts: dict[str, list[str]] = {}
     for r in ranked.select("lang", "t").orderBy("lang", "r").collect():
         texts.setdefault(r[0], []).append(r[1])
-    model = Model(texts)
+    # a sentence is judged by the half of the sample that it does not come from
+    halves = [Model({x: t[h::2] for x, t in texts.items()}) for h in (0, 1)]
     kept: dict[str, list[str]] = {}
-    for x, mine in texts.items():
-        sentences = [s for t in mine for _, _, s in passages_of(t) if not _upset(s)]
-        for s, b in zip(sentences, model.bits(sentences), strict=True):
-            if b and min(b, key=lambda k: b[k]) == x:
-                kept.setdefault(x, []).append(s)
+    for h, other in ((0, halves[1]), (1, halves[0])):
+        for x, mine in texts.items():
+            part = mine[h::2]
+            spans, words, _, bits = passage_bits(part, other)
+            flat = [t[a:z] for t, ps in zip(part, spans, strict=True) for a, z in ps]
+            kept.setdefault(x, []).extend(s for s, n, b in zip(flat, words, bits, strict=True) if n >= LEAST_WORDS and b and min(b, key=lambda k: b[k]) == x)
     return Model(kept)
 
 
 def _documents(batches: Iterator[pd.DataFrame], model, what: str) -> Iterator[pd.DataFrame]:
     m = model.value
     for b in batches:
-        for k in range(0, len(b), 2000):
-            part = b.iloc[k : k + 2000]
+        for k in range(0, len(b), 1000):
+            part = b.iloc[k : k + 1000]
             found = identify(part["text"].tolist(), m)
             rows: list[tuple] = []
             for doc, label, (main, sure, runs) in zip(part["doc_id"], part["label"], found, strict=True):
