@@ -57,6 +57,10 @@ def tfidf(counts: DataFrame, id_col: str, n_docs: int, min_df: int = 2, max_df:
     return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _equals(word: str):
+    return lambda t: t == word
+
+
 def bm25(df: DataFrame, id_col: str, fields: dict[str, float], query: list[str], share: float = 0.0) -> DataFrame:
     """``id, score``: best field's boosted BM25 for documents that hold at least ``share`` of the query's words in it.
 
@@ -71,7 +75,7 @@ def bm25(df: DataFrame, id_col: str, fields: dict[str, float], query: list[str],
         tok = terms(F.col(f))
         counted = counted.withColumn(f"_len_{f}", F.size(tok).cast("double"))
         for i, q in enumerate(query):
-            counted = counted.withColumn(f"_tf_{f}_{i}", F.size(F.filter(tok, lambda t, q=q: t == q)).cast("double"))
+            counted = counted.withColumn(f"_tf_{f}_{i}", F.size(F.filter(tok, _equals(q))).cast("double"))
             stats.append(F.sum((F.col(f"_tf_{f}_{i}") > 0).cast("double")).alias(f"_df_{f}_{i}"))
         has = F.col(f"_len_{f}") > 0
         stats += [F.sum(has.cast("double")).alias(f"_n_{f}"), F.avg(F.when(has, F.col(f"_len_{f}"))).alias(f"_avg_{f}")]
