@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.exact_duplicates import canonical_key, marked_text
 from millrace.llm.value_mapping import edit_distance
+from millrace.session import durable
 
 #: Least Jaccard similarity of the questions' word sets; the edits of one question change up to a third of its words.
 THRESHOLD = 0.5
@@ -176,11 +177,11 @@ def near_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     held = classes.select("class", F.explode(every).alias("word"))
     counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     df = held.join(counts, "word").groupBy("class").agg(F.collect_list(F.struct("n", "word")).alias("df"))
-    known = classes.join(df, "class").select(
+    known = durable(classes.join(df, "class").select(
         "class", "words", "options", "in_train", "in_eval", "df",
         F.concat_ws(" ", F.array_sort(F.filter("words", lambda w: w.rlike("[0-9]")))).alias("numbers"),
         F.array_sort(F.filter("df", lambda s: F.array_contains("words", s["word"]))).alias("ordered"),
-    )
+    ))
     size = F.size("ordered")
     prefix = F.slice("ordered", 1, F.greatest(F.lit(1), size - F.ceil(F.lit(threshold) * size).cast("int") + 1))
     index = known.select("class", "numbers", "in_train", "in_eval", size.alias("len"), F.posexplode(F.transform(prefix, lambda s: s["word"])).alias("pos", "word"))
@@ -201,7 +202,7 @@ def near_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def overlapping_rows(df: DataFrame, question: str = "question", options: str = "option_texts", split: str = "split_name", id_col: str = "row_id") -> DataFrame:
     """``eval_id, train_id``: every evaluation row and training row that are the same or nearly so."""
-    members, classes = classes_of(df, question, options, split, id_col)
+    members, classes = map(durable, classes_of(df, question, options, split, id_col))
     near = near_classes(classes).unionByName(classes.where("in_train and in_eval").select(F.col("class").alias("class_a"), F.col("class").alias("class_b")))
     e = members.where(F.col("split").isin(*EVALUATION)).select(F.col("class").alias("class_a"), F.col("row_id").alias("eval_id"))
     t = members.where(F.col("split").isin(*TRAIN)).select(F.col("class").alias("class_b"), F.col("row_id").alias("train_id"))
