@@ -45,7 +45,7 @@ def item_adjusted_cosine(r: DataFrame, least: int = 3) -> DataFrame:
 
 def predict_from_users(r: DataFrame, sims: DataFrame) -> DataFrame:
     """``u, i, prediction``: own mean plus the weighted departures of positive neighbours who rated the item."""
-    both = sims.select("a", "b", "sim").union(sims.select("b", "a", "sim")).toDF("u", "v", "sim").where("sim > 1e-9")
+    both = sims.select("a", "b", "sim").union(sims.select("b", "a", "sim")).toDF("u", "v", "sim").where("sim > 1e-6")
     mean = r.groupBy("u").agg(F.avg("r").alias("m"))
     dep = r.join(mean, "u").select(F.col("u").alias("v"), "i", (F.col("r") - F.col("m")).alias("d"))
     s = both.join(dep, "v").groupBy("u", "i").agg(F.sum(F.col("sim") * F.col("d")).alias("num"), F.sum("sim").alias("den"))

@@ -38,7 +38,7 @@ def user_cf_pearson(spark: SparkSession, d: str) -> DataFrame:
 
 def user_cf_predict(spark: SparkSession, d: str) -> DataFrame:
     r = C.one_rating(_ratings(spark, d), "user_id", "item")
-    return C.predict_from_users(r, C.user_pearson(r)).select("u", "i", F.round(F.round("prediction", 9), 5).alias("prediction"))
+    return C.predict_from_users(r, C.user_pearson(r)).select("u", "i", F.round(F.col("prediction") + 1e-7, 5).alias("prediction"))
 
 
 def item_cf_adjusted_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +240,7 @@ SQL = {
         select p.a, p.b, p.n, round(p.n * (select count(distinct k) from b) / (sa.n * sb.n), 6) as lift from (select a.x as a, b.x as b, count(*) as n from b a join b b on a.k = b.k and a.x < b.x group by 1, 2 having count(*) >= 2) p
         join s sa on sa.x = p.a join s sb on sb.x = p.b""",
     "user_cf_pearson": f"with {_PEAR} select a, b, n, round(sim, 5) as sim from sim",
-    "user_cf_predict": f"with {_PEAR}, p as (select a as u, b as v, sim from sim where sim > 1e-9 union all select b, a, sim from sim where sim > 1e-9), g as (select p.u, c.i, sum(sim * d) as num, sum(sim) as den from p join c on c.u = p.v group by 1, 2) select u, i, round(round(m + num / den, 9), 5) as prediction from g join m using (u)",
+    "user_cf_predict": f"with {_PEAR}, p as (select a as u, b as v, sim from sim where sim > 1e-6 union all select b, a, sim from sim where sim > 1e-6), g as (select p.u, c.i, sum(sim * d) as num, sum(sim) as den from p join c on c.u = p.v group by 1, 2) select u, i, round(m + num / den + 1e-7, 5) as prediction from g join m using (u)",
     "item_cf_adjusted_cosine": f"""with {_R}, m as (select u, avg(r) as m from r group by 1), c as (select u, i, r - m as d from r join m using (u)),
         s as (select a.i as a, b.i as b, count(*) as n, sum(a.d * b.d) as ab, sum(a.d * a.d) as aa, sum(b.d * b.d) as bb from c a join c b on a.u = b.u and a.i < b.i group by 1, 2 having count(*) >= 3)
         select a, b, n, round(case when aa > 1e-12 and bb > 1e-12 then ab / sqrt(aa * bb) else 0.0 end, 5) as sim from s""",

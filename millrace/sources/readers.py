@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,6 @@ def read_sources(spark: SparkSession, source: str, paths: dict[str, str], explic
 
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8 where that is valid, else Windows-1251, of whose bytes every text can be made."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
@@ -82,12 +82,26 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^﻿", "")).otherwise(decode(content))
 
 
+def empty_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """``path, content`` of the files without a byte, which the file sources skip; found in the listing alone."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing = folder.getFileSystem(hadoop).listFiles(folder, True)
+    found = []
+    while listing.hasNext():
+        f = listing.next()
+        if f.getLen() == 0 and f.getPath().getName().endswith(suffix):
+            found.append((f.getPath().toString(), bytearray()))
+    return spark.createDataFrame(found, "path string, content binary")
+
+
 def read_text_corpus(spark: SparkSession, root: str, lang: str) -> DataFrame:
     """Every ``*.txt`` under ``root`` as a search document of one language, with title and body in that language's columns."""
     lang = lang.upper()
     if lang not in ("EN", "RU"):
         raise ValueError(f"no fields for language {lang!r}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root).select("path", "content")
+    files = files.unionByName(empty_files(spark, root, ".txt"))
     base = F.lit(root.rstrip("/") + "/")
     path = F.element_at(F.split(F.col("path"), base, 2), -1)
     text = files.select(path.alias("path"), decoded(F.col("content")).alias("text"))
