@@ -22,7 +22,6 @@ empty texts, and texts without words of the known scripts, have no language.
 
 from __future__ import annotations
 
-import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -262,17 +261,6 @@ def ungarble(s: str) -> list[str]:
     return out
 
 
-def _back(error: UnicodeError):
-    """Bytes that a decoding kept as controls; any other character was not read in this encoding."""
-    part = error.object[error.start : error.end]
-    if any(not 0x80 <= ord(c) < 0xA0 for c in part):
-        raise error
-    return part.encode("latin-1"), error.end
-
-
-codecs.register_error("millrace-back", _back)
-
-
 def passages_of(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences and lines of a text."""
     out: list[tuple[int, int]] = []

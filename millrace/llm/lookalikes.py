@@ -67,7 +67,7 @@ def character_table() -> dict[int, str]:
         raise ValueError("a shape is itself mapped")
     table: dict[int, str] = {}
     for k in range(sys.maxunicode + 1):
-        if 0xD800 <= k < 0xE000 or 0xAC00 <= k < 0xD7A4:  # syllables decompose by rule, in the slow path
+        if 0xD800 <= k < 0xE000 or 0xAC00 <= k < 0xD7A4:  # syllables are composed by rule
             continue
         c = chr(k)
         form = "".join(shape.get(x, x) for y in _plain(c) for x in (_plain(y) if y != c else y))
@@ -83,7 +83,7 @@ def character_table() -> dict[int, str]:
 def _marks():
     import regex
 
-    return regex.compile(r"\p{M}|[가-힣]")
+    return regex.compile(r"[\p{M}\u1100-\u11ff가-힣]")
 
 
 def one_form(text: str, table: dict[int, str] | None = None) -> str:

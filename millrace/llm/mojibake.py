@@ -6,8 +6,10 @@ garbled under every chain of a wrong decoding - each encoding of Cyrillic text r
 other one, with undefined bytes kept, replaced or dropped, and twice where that is common.
 The table of garbled forms is hash-joined to the distinct tokens of the corpus that are
 neither clean nor plain; a form that is itself a clean word of the corpus is no evidence. A
-field is reported when the tokens it matched under one chain are long enough together, and
-its tokens are substituted by their originals where the form has exactly one.
+field is reported when the tokens it matched under one chain are long enough together. Its
+tokens are substituted by their originals where the form has exactly one under that chain,
+and words that the corpus has nowhere else are decoded back by the chain so found if they
+come out clean and garble to the same form again.
 
 Tokens lie between ASCII characters other than letters, since all these encodings keep ASCII
 as it is; garbled letters may look like spaces or controls and must not cut a token.
@@ -21,6 +23,7 @@ are found and left as they are.
 from __future__ import annotations
 
 import codecs
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,7 +54,16 @@ def _keep_undefined(error: UnicodeError):
     return raw.decode("latin-1"), error.end
 
 
+def _back(error: UnicodeError):
+    """Bytes that a decoding kept as controls; any other character was not read in this encoding."""
+    part = error.object[error.start : error.end]
+    if any(not 0x80 <= ord(c) < 0xA0 for c in part):
+        raise error
+    return part.encode("latin-1"), error.end
+
+
 codecs.register_error("millrace-keep", _keep_undefined)
+codecs.register_error("millrace-back", _back)
 
 
 def chains() -> list[tuple[str, str, str, int]]:
@@ -126,35 +138,61 @@ def garbled_fields(matches: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
     )
 
 
-def _substitute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import re
+def ungarbled(token: str, chain: int) -> str | None:
+    """The word that a chain garbled to ``token``; None where that is no clean word or not the only way back."""
+    written, read, undefined, times = chains()[chain]
+    try:
+        t = token
+        for _ in range(times):
+            t = t.encode(read, "millrace-back").decode(written)
+        back = t
+        for _ in range(times):
+            back = back.encode(written).decode(read, undefined)
+    except UnicodeError:
+        return None
+    return t if back == token and re.match(CLEAN, t) else None
 
-    cut = re.compile(f"({CUT})")
+
+def _substitute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cut, clean, foreign = re.compile(f"({CUT})"), re.compile(CLEAN), re.compile(FOREIGN)
     for b in batches:
         out = []
-        for text, forms, words in zip(b["text"], b["forms"], b["words"], strict=True):
+        for text, chain, forms, words in zip(b["text"], b["chain"], b["forms"], b["words"], strict=True):
             known = dict(zip(forms, words, strict=True))
-            out.append("".join(known.get(t, t) for t in cut.split(text)))
+            parts = cut.split(text)
+            places = [i for i, t in enumerate(parts) if foreign.search(t)]
+            hit = [False] * len(places)
+            for last in (False, True):  # words that look clean are judged once their neighbours are known
+                for n, i in enumerate(places):
+                    t = parts[i]
+                    if hit[n] or (clean.match(t) and not (last and any(hit[max(0, n - 2) : n]) and (n + 1 == len(places) or any(hit[n + 1 : n + 3])))):
+                        continue
+                    # a form with one original, a word that the corpus lacks, or one that looks clean among garbled ones
+                    word = known[t] if t in known else ungarbled(t, chain)
+                    if word is not None:
+                        parts[i], hit[n] = word, True
+            out.append("".join(parts))
         yield pd.DataFrame({"doc_id": b["doc_id"], "field_name": b["field_name"], "restored": out})
 
 
 def restore(df: DataFrame, id_col: str, fields: list[str], evidence: int = EVIDENCE) -> DataFrame:
     """``doc_id, field_name, restored``: garbled fields with every token that has one original put right."""
     matches = garbled_tokens(df, id_col, fields)
-    found = garbled_fields(matches, evidence).select("doc_id", "field_name")
+    found = garbled_fields(matches, evidence).select("doc_id", "field_name", F.col("chain").alias("best"))
     words = (
-        matches.join(found, ["doc_id", "field_name"], "left_semi")
+        matches.join(found, ["doc_id", "field_name"])
         .groupBy("doc_id", "field_name", "token")
-        .agg(F.min("word").alias("word"), F.max("word").alias("other"), F.max("n_words").alias("n"))
-        .where("word = other and n = 1")
+        .agg(F.min("word").alias("low"), F.max("word").alias("high"), F.max("n_words").alias("n"), F.min(F.when(F.expr("chain = best and n_words = 1"), F.col("word"))).alias("own"))
+        .select("doc_id", "field_name", "token", F.coalesce("own", F.when(F.expr("low = high and n = 1"), F.col("low"))).alias("word"))
+        .where("word is not null")
         .groupBy("doc_id", "field_name")
         .agg(F.collect_list(F.struct("token", "word")).alias("w"))
     )
     parts = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.*")
     rows = (
-        texts.join(found, ["doc_id", "field_name"], "left_semi")
+        texts.join(found, ["doc_id", "field_name"])
         .join(words, ["doc_id", "field_name"], "left")
-        .select("doc_id", "field_name", "text", F.coalesce(F.col("w.token"), F.array().cast("array<string>")).alias("forms"), F.coalesce(F.col("w.word"), F.array().cast("array<string>")).alias("words"))
+        .select("doc_id", "field_name", "text", F.col("best").alias("chain"), F.coalesce(F.col("w.token"), F.array().cast("array<string>")).alias("forms"), F.coalesce(F.col("w.word"), F.array().cast("array<string>")).alias("words"))
     )
     return rows.mapInPandas(_substitute, "doc_id long, field_name string, restored string")

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,9 @@ from millrace.session import durable
 
 #: Least Jaccard similarity of the questions' word sets; the edits of one question change up to a third of its words.
 THRESHOLD = 0.5
-#: How much rarer a paraphrase is than the word it stands for.
-RARER = 3.0
+#: How much rarer a paraphrase is than the word it stands for, and how many classes hold that word at least: a share of all
+#: and a number. A name is held by its own question and the few that were made from it.
+RARER, COMMON_SHARE, COMMON = 3.0, 0.004, 8
 #: Largest share of words that differ.
 DIFFERENT = 0.4
 
@@ -76,7 +78,12 @@ def _close(a: str, b: str) -> bool:
     return min(len(a), len(b)) > 2 and abs(len(a) - len(b)) < 3 and edit_distance(a, b) <= (1 if min(len(a), len(b)) < 5 else 2)
 
 
-def _paraphrase(a: list[str], b: list[str], df: dict[str, int]) -> bool:
+def _stands_for(x: int, y: int, common: float) -> bool:
+    """Whether of two words held by so many classes one may be a paraphrase of the other."""
+    return max(x, y) >= max(common, RARER * min(x, y))
+
+
+def _paraphrase(a: list[str], b: list[str], df: dict[str, int], common: float) -> bool:
     """Whether the words ``a`` may stand for ``b``, or the other way round."""
     a, b = list(a), list(b)
     for x in list(a):
@@ -100,12 +107,11 @@ def _paraphrase(a: list[str], b: list[str], df: dict[str, int]) -> bool:
         return True
     # words for words: the rarest of one side is rare beside the rarest of the other
     if len(a) == len(b):
-        return all(max(df.get(x, 1), df.get(y, 1)) >= RARER * min(df.get(x, 1), df.get(y, 1)) for x, y in zip(a, b, strict=True))
-    low, high = sorted((min(df.get(x, 1) for x in a), min(df.get(y, 1) for y in b)))
-    return high >= RARER * low
+        return all(_stands_for(df.get(x, 1), df.get(y, 1), common) for x, y in zip(a, b, strict=True))
+    return _stands_for(min(df.get(x, 1) for x in a), min(df.get(y, 1) for y in b), common)
 
 
-def same_sense(a: list[str], b: list[str], df: dict[str, int], different: float = DIFFERENT) -> bool:
+def same_sense(a: list[str], b: list[str], df: dict[str, int], common: float = COMMON, different: float = DIFFERENT) -> bool:
     """Whether two word lists say the same in nearly the same words."""
     if a == b:
         return True
@@ -117,12 +123,12 @@ def same_sense(a: list[str], b: list[str], df: dict[str, int], different: float
     for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if op != "equal":
             changed += max(i2 - i1, j2 - j1)
-            if not _paraphrase(a[i1:i2], b[j1:j2], df):
+            if not _paraphrase(a[i1:i2], b[j1:j2], df, common):
                 return False
     return changed <= max(2, different * max(len(a), len(b)))
 
 
-def same_options(a: list[list[str]], b: list[list[str]], df: dict[str, int]) -> bool:
+def same_options(a: list[list[str]], b: list[list[str]], df: dict[str, int], common: float = COMMON) -> bool:
     """Whether the options correspond one to one."""
     left = sorted(a)
     rest = sorted(b)
@@ -137,18 +143,18 @@ def same_options(a: list[list[str]], b: list[list[str]], df: dict[str, int]) ->
     used_i: set[int] = set()
     used_j: set[int] = set()
     for _, i, j in pairs:
-        if i not in used_i and j not in used_j and same_sense(left[i], rest[j], df, 0.5):
+        if i not in used_i and j not in used_j and same_sense(left[i], rest[j], df, common, 0.5):
             used_i.add(i)
             used_j.add(j)
     return len(used_i) == len(left)
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verify(batches: Iterator[pd.DataFrame], common: float) -> Iterator[pd.DataFrame]:
     for b in batches:
         ok = []
         for qa, qb, oa, ob, da, db in zip(b["words_a"], b["words_b"], b["options_a"], b["options_b"], b["df_a"], b["df_b"], strict=True):
             df = {r["word"]: r["n"] for r in da} | {r["word"]: r["n"] for r in db}
-            ok.append(same_sense(list(qa), list(qb), df) and same_options([list(o) for o in oa], [list(o) for o in ob], df))
+            ok.append(same_sense(list(qa), list(qb), df, common) and same_options([list(o) for o in oa], [list(o) for o in ob], df, common))
         yield b.loc[ok, ["class_a", "class_b"]]
 
 
@@ -197,7 +203,8 @@ def near_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .distinct()
     )
     sides = [known.select(F.col("class").alias(f"class_{s}"), F.col("words").alias(f"words_{s}"), F.col("options").alias(f"options_{s}"), F.col("df").alias(f"df_{s}")) for s in "ab"]
-    return candidates.join(sides[0], "class_a").join(sides[1], "class_b").mapInPandas(_verify, "class_a string, class_b string")
+    common = max(COMMON, COMMON_SHARE * classes.count())
+    return candidates.join(sides[0], "class_a").join(sides[1], "class_b").mapInPandas(partial(_verify, common=common), "class_a string, class_b string")
 
 
 def overlapping_rows(df: DataFrame, question: str = "question", options: str = "option_texts", split: str = "split_name", id_col: str = "row_id") -> DataFrame:

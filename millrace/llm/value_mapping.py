@@ -187,8 +187,13 @@ class Matcher:
 
     def __init__(self, exact: dict[str, str], tree: BKTree):
         self.exact, self.tree, self.memo = exact, tree, {}
+        self.most_words = max((n.count(" ") + 1 for n in exact), default=0)
+        self.longest = max(map(len, exact), default=0)
 
     def near(self, s: str) -> str | None:
+        if len(s) > self.longest + reach_of(s):  # longer than any name in reach
+            return None
+
         def key(hit: tuple[int, str, str]) -> str:
             d, name, code = hit
             same = next((i for i, (x, y) in enumerate(zip(name, s, strict=False)) if x != y), min(len(name), len(s)))
@@ -204,7 +209,7 @@ class Matcher:
                     return f"0{k:06d}{self.exact[form]}"
         for k, p in enumerate(pieces):  # a name at the end or the start of a longer value, the longest first
             words = p.split()
-            for n in range(len(words) - 1, 0, -1):
+            for n in range(min(len(words) - 1, self.most_words), 0, -1):
                 for form in (" ".join(words[-n:]), " ".join(words[:n])):
                     if len(form) > 3 and form in self.exact:
                         return f"1{k:03d}{999 - n:03d}{self.exact[form]}"
