@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,19 +36,58 @@ def profiles(train: DataFrame, vectors: DataFrame) -> DataFrame:
     return parts.join(weight, "person_id").select("person_id", "term", (F.col("s") / F.col("all")).alias("w"))
 
 
-def cosine_scores(profile: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``person_id, content_id, score``: cosine of every profile with every item that shares a term."""
-    norm = profile.groupBy("person_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    v = vectors.select("content_id", "term", F.col("w").alias("v"))
-    dots = profile.join(v, "term").groupBy("person_id", "content_id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    return dots.join(norm, "person_id").select("person_id", "content_id", (F.col("dot") / F.col("norm")).alias("score"))
-
-
-def top_unseen(scores: DataFrame, seen: DataFrame, n: int = 10, digits: int = 9) -> DataFrame:
-    """``person_id, content_id, score, rank`` of the best items a person has not seen; equal scores by item."""
-    fresh = scores.join(seen.select("person_id", "content_id"), ["person_id", "content_id"], "left_anti").withColumn("score", F.round("score", digits))
+#: Persons and items of a block of the score matrix; a block pair holds three dense arrays of at most this many rows.
+BLOCK = 2000
+
+
+def _blocks(df: DataFrame, key: str) -> int:
+    return max(1, math.ceil(df.select(key).distinct().count() / BLOCK))
+
+
+def _dense(cells: pd.DataFrame, width: int) -> np.ndarray:
+    out = np.zeros((len(cells), width))
+    for row, (at, w) in enumerate(zip(cells["at"], cells["w"], strict=True)):
+        out[row, at] = w
+    return out
+
+
+def _block_top(persons: pd.DataFrame, items: pd.DataFrame, n: int, digits: int, width: int) -> pd.DataFrame:
+    columns = ["person_id", "content_id", "score"]
+    if persons.empty or items.empty:
+        return pd.DataFrame({c: [] for c in columns})
+    items = items.sort_values("content_id", ignore_index=True)
+    p = _dense(persons, width)
+    norm = np.sqrt((p * p).sum(axis=1, keepdims=True))
+    scores = np.round((p / np.where(norm > 0, norm, 1)) @ _dense(items, width).T, digits)
+    place = {c: k for k, c in enumerate(items["content_id"])}
+    for row, seen in enumerate(persons["seen"]):
+        known = [place[c] for c in seen if c in place]
+        scores[row, known] = 0
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :n]  # equal scores by item
+    top = np.take_along_axis(scores, best, axis=1)
+    row, col = np.nonzero(top > 0)
+    return pd.DataFrame({"person_id": persons["person_id"].to_numpy()[row], "content_id": items["content_id"].to_numpy()[best[row, col]], "score": top[row, col]})
+
+
+def top_unseen(profile: DataFrame, vectors: DataFrame, seen: DataFrame, n: int = 10, digits: int = 9) -> DataFrame:
+    """``person_id, content_id, score, rank``: the best items by cosine that a person has not seen; equal scores by item.
+
+    Scores are computed as blocks of a matrix product, persons against items, and each block
+    pair keeps its ``n`` best of every person; joining on shared terms instead would shuffle a
+    row for every person, item and term. The terms are those of a bounded vocabulary.
+    """
+    terms = [r[0] for r in vectors.select("term").distinct().orderBy("term").collect()]
+    index = profile.sparkSession.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, at int")
+    width, per, across = max(1, len(terms)), _blocks(profile, "person_id"), _blocks(vectors, "content_id")
+    row = lambda df, key: df.join(F.broadcast(index), "term").groupBy(key).agg(F.collect_list(F.struct("at", "w")).alias("c")).select(key, F.col("c.at").alias("at"), F.col("c.w").alias("w"))
+    known = seen.groupBy("person_id").agg(F.collect_set("content_id").alias("seen"))
+    p = row(profile, "person_id").join(known, "person_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))
+    p = p.withColumn("pb", F.pmod(F.hash("person_id"), F.lit(per))).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    i = row(vectors, "content_id").withColumn("ib", F.pmod(F.hash("content_id"), F.lit(across))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    work = lambda a, b: _block_top(a, b, n, digits, width)
+    best = p.groupBy("pb", "ib").cogroup(i.groupBy("pb", "ib")).applyInPandas(work, "person_id long, content_id long, score double")
     w = Window.partitionBy("person_id").orderBy(F.desc("score"), "content_id")
-    return fresh.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def ranking_metrics(test: DataFrame, ranked: DataFrame, n: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import table
 from millrace.operators import recommend, relational, text
+from millrace.session import durable
 
 #: The first article; an event's key counts from it.
 FIRST_ARTICLE = 1001
@@ -117,11 +118,11 @@ def tfidf_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    train, test = _split(spark, d)
-    vectors = _vectors(spark, d)
+    train, test = map(durable, _split(spark, d))
+    vectors = durable(_vectors(spark, d))
     read = train.select("content_id").union(test.select("content_id")).distinct()
     profile = recommend.profiles(train, vectors.join(read, "content_id", "left_semi"))
-    return recommend.top_unseen(recommend.cosine_scores(profile, vectors), train), test, profile
+    return recommend.top_unseen(profile, vectors, train), test, profile
 
 
 def user_profiles(spark: SparkSession, d: str) -> DataFrame:
