@@ -41,8 +41,9 @@ TWICE = ("cp1252", "latin-1", "cp1251", "koi8-r", "cp866")
 
 #: Not a token: ASCII that is no letter.
 CUT = r"[\x00-@\[-`{-\x7f]+"
-LETTERS = "а-яёђѓєѕіїјљњћќўџґ"
-CAPITALS = "А-ЯЁЂЃЄЅІЇЈЉЊЋЌЎЏҐ"
+#: Letters of the corpus's own Cyrillic languages; those of others are what wrong decodings leave behind.
+LETTERS = "а-яёіїєґ"
+CAPITALS = "А-ЯЁІЇЄҐ"
 SIGNS = "«»„“”‘’…—–№"
 CLEAN = f"^[{SIGNS}]*(?:[{CAPITALS}]?[{LETTERS}]+|[{CAPITALS}])[{SIGNS}]*$"
 #: What no token of interest is without.
