@@ -42,7 +42,7 @@ OTHER_NAMES = {
     "AT": "oesterreich|osterreich|tirol|tyrol|styria|carinthia",
     "RU": "rf|rossiya|rossia|russian federation|siberia",
     "CN": "p r china|pr china|prc|peoples republic of china|mainland china",
-    "KR": "s korea|republic of korea|rok|korea south|korea republic of",
+    "KR": "한국|s korea|republic of korea|rok|korea south|korea republic of",
     "KP": "n korea|dprk|democratic peoples republic of korea|korea north",
     "NZ": "n z|aotearoa|nz",
     "AE": "emirates|uae|u a e|abu dhabi|dubai",
@@ -68,7 +68,9 @@ OTHER_NAMES = {
     "LA": "lao pdr",
     "TZ": "zanzibar",
     "MY": "sarawak|sabah",
-    "ZA": "rsa|s africa",
+    "ZA": "rsa|s africa|suid afrika",
+    "IN": "bharat",
+    "JP": "nippon|nihon",
 }
 
 #: States of the United States; Georgia is left to the country of that name.
@@ -80,7 +82,7 @@ US_STATES = (
 )
 
 #: Languages whose names of the countries are taken from the JVM's locale data.
-LANGUAGES = "en de fr es it pt nl ru bg uk pl cs sk sl hr sr hu ro sv nb da fi et lv lt el tr sq mk is ga ca".split()
+LANGUAGES = "en de fr es it pt nl ru bg uk pl cs sk sl hr sr hu ro sv nb da fi et lv lt el tr sq mk is ga ca zh ja ko hi ar fa he af vi th ka hy az kk".split()
 
 
 def normal(s: str) -> str:
@@ -168,9 +170,9 @@ class BKTree:
 
 
 def reach_of(s: str) -> int:
-    """Edits allowed for a value of this length: 0 below 4 letters, then 1, 2 from 6, 3 from 11."""
+    """Edits allowed for a value of this length: 0 below 3 letters, then 1, 2 from 6, 3 from 11."""
     n = len(s)
-    return 0 if n < 4 else 1 if n < 6 else 2 if n < 11 else 3
+    return 0 if n < 3 else 1 if n < 6 else 2 if n < 11 else 3
 
 
 def _pieces(raw: str) -> Iterator[str]:
@@ -183,21 +185,26 @@ def _pieces(raw: str) -> Iterator[str]:
 
 
 class Matcher:
-    """Look-ups in the names of one shard; answers are keys that sort by how near they are."""
+    """Look-ups in the names of one shard; answers are keys that sort by how near they are.
 
-    def __init__(self, exact: dict[str, str], tree: BKTree):
-        self.exact, self.tree, self.memo = exact, tree, {}
+    In order: the value or a part of it is a name; the whole value is near a name; a name
+    stands at its start or end; a part of it is near a name. Names from locale data count in
+    the first place only.
+    """
+
+    def __init__(self, exact: dict[str, str], tree: BKTree, within: set[str]):
+        self.exact, self.tree, self.within, self.memo = exact, tree, within, {}
         self.most_words = max((n.count(" ") + 1 for n in exact), default=0)
         self.longest = max(map(len, exact), default=0)
 
-    def near(self, s: str) -> str | None:
+    def near(self, s: str, stage: int) -> str | None:
         if len(s) > self.longest + reach_of(s):  # longer than any name in reach
             return None
 
         def key(hit: tuple[int, str, str]) -> str:
             d, name, code = hit
             same = next((i for i, (x, y) in enumerate(zip(name, s, strict=False)) if x != y), min(len(name), len(s)))
-            return f"2{d:03d}{999 - same:03d}{code}"
+            return f"{stage}{d:03d}{999 - same:03d}{code}"
 
         return min(map(key, self.tree.within(s, reach_of(s))), default=None)
 
@@ -207,13 +214,16 @@ class Matcher:
             for form in (p, p.replace(" ", ""), p.removeprefix("the "), p.removeprefix("la ")):
                 if form in self.exact:
                     return f"0{k:06d}{self.exact[form]}"
-        for k, p in enumerate(pieces):  # a name at the end or the start of a longer value, the longest first
+        whole = [h for p in pieces[:1] for x in {p, p.replace(" ", "")} if (h := self.near(x, 1))]
+        if whole:
+            return min(whole)
+        for k, p in enumerate(pieces):  # the longest name first
             words = p.split()
             for n in range(min(len(words) - 1, self.most_words), 0, -1):
                 for form in (" ".join(words[-n:]), " ".join(words[:n])):
-                    if len(form) > 3 and form in self.exact:
-                        return f"1{k:03d}{999 - n:03d}{self.exact[form]}"
-        return min((h for p in pieces for x in {p, p.replace(" ", "")} if (h := self.near(x))), default="9000000" + UNMATCHED)
+                    if len(form) > 3 and form in self.within:
+                        return f"2{k:03d}{999 - n:03d}{self.exact[form]}"
+        return min((h for p in pieces[1:] for x in {p, p.replace(" ", "")} if (h := self.near(x, 3))), default="9000000" + UNMATCHED)
 
     def __call__(self, raw: str) -> str:
         out = self.memo.get(raw)
@@ -258,8 +268,9 @@ def map_values(df: DataFrame, value: Column, reference: list[tuple[str, str]], o
     names and the longer of the others listed here, ``shard_entries`` in each.
     """
     names = names if names is not None else {normal(n): c for c, n in reference}
-    known = {x for v in OTHER_NAMES.values() for x in v.split("|") if len(x) > 6}
-    near = {normal(n) for _, n in reference} | known
+    listed = {x for v in OTHER_NAMES.values() for x in v.split("|")}
+    own = {normal(n) for _, n in reference}
+    plain, near = own | listed, own | {x for x in listed if len(x) > 6}
     items = sorted(names.items())
     context = df.sparkSession.sparkContext
     winners = []
@@ -267,7 +278,7 @@ def map_values(df: DataFrame, value: Column, reference: list[tuple[str, str]], o
         shard = dict(items[k : k + shard_entries])
         exact = {n.replace(" ", ""): c for n, c in shard.items() if len(n) > 3} | shard
         tree = BKTree((n, c) for n, c in shard.items() if n in near)
-        look_up = F.pandas_udf(partial(_look_up, shard=context.broadcast(Matcher(exact, tree))), "string", F.PandasUDFType.SCALAR_ITER)
+        look_up = F.pandas_udf(partial(_look_up, shard=context.broadcast(Matcher(exact, tree, {n for n in shard if n in plain}))), "string", F.PandasUDFType.SCALAR_ITER)
         winners.append(look_up(value))
     best = winners[0] if len(winners) == 1 else F.least(*winners)
     return df.withColumn(out, F.substring(best, 8, 1_000))
