@@ -39,17 +39,20 @@ def zipf(unigrams: DataFrame) -> DataFrame:
 
 
 def contingency(docs: DataFrame, terms: DataFrame, label: str) -> DataFrame:
-    """``term, label, a, n_term, n_label, n``: documents with both, with each, and all; ``terms`` is (doc_id, term)."""
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    """``term, label, a, n_term, n_label, n`` of the terms and labels that meet: documents with both, with each, and all.
+
+    ``terms`` is (doc_id, term). Cells that do not meet are not built, as there is one for
+    every term and label; what they add is a closed form of the others.
+    """
     labels = docs.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
     per = terms.join(docs.select("doc_id", label), "doc_id").groupBy("term", label).agg(F.count(F.lit(1)).alias("a"))
     df = per.groupBy("term").agg(F.sum("a").alias("n_term"))
-    every = df.crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(n))  # a row for each label
-    return every.join(per, ["term", label], "left").select("term", F.col(label).alias("label"), F.coalesce("a", F.lit(0)).alias("a"), "n_term", "n_label", "n")
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    return per.join(df, "term").join(labels, label).select("term", F.col(label).alias("label"), "a", "n_term", "n_label", n.alias("n"))
 
 
 def chi_square(cells: DataFrame) -> DataFrame:
-    """``term, label, chi2``."""
+    """``term, label, chi2`` of the pairs that meet."""
     a, b = F.col("a").cast("double"), (F.col("n_term") - F.col("a")).cast("double")
     c = (F.col("n_label") - F.col("a")).cast("double")
     d = F.col("n") - a - b - c
@@ -58,12 +61,14 @@ def chi_square(cells: DataFrame) -> DataFrame:
 
 
 def information_gain(cells: DataFrame) -> DataFrame:
-    """``term, gain``: bits that a term's presence tells of the label."""
+    """``term, gain``: bits that a term's presence tells of the label, labels that it never meets included."""
     def part(joint, mine, theirs):
         return F.when(joint > 0, joint / F.col("n") * F.log2(joint * F.col("n") / (mine * theirs))).otherwise(0.0)
 
     a, t, lab, n = (F.col(x).cast("double") for x in ("a", "n_term", "n_label", "n"))
-    return cells.groupBy("term").agg(F.sum(part(a, t, lab) + part(lab - a, n - t, lab)).alias("gain"))
+    met = cells.groupBy("term").agg(F.sum(part(a, t, lab) + part(lab - a, n - t, lab)).alias("met"), F.sum(lab / n).alias("share"), F.max(t).alias("t"), F.max(n).alias("n"))
+    rest = F.when(F.col("n") > F.col("t"), (1 - F.col("share")) * F.log2(F.col("n") / (F.col("n") - F.col("t")))).otherwise(0.0)
+    return met.select("term", (F.col("met") + rest).alias("gain"))
 
 
 def mutual_information(cells: DataFrame) -> DataFrame:

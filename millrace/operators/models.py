@@ -101,11 +101,11 @@ def text_components(df: DataFrame, text: str, k: int = 8) -> DataFrame:
 
 def nearest_labels(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``vec_id, predicted``: commonest label of the ``k`` nearest others by cosine; a stated query set against all rows."""
-    from millrace.operators.recommend import dot
+    from millrace.operators.recommend import against_all, dot
 
     norm = lambda c: F.sqrt(dot(c, c))
     q = queries.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
-    s = vectors.crossJoin(F.broadcast(q)).where("vec_id <> qid").select("qid", "label", "vec_id", F.round(dot(F.col("embedding"), F.col("qe")) / (norm(F.col("embedding")) * norm(F.col("qe"))), 6).alias("score"))
+    s = against_all(vectors.select("vec_id", "label", "embedding"), q, "vec_id").where("vec_id <> qid").select("qid", "label", "vec_id", F.round(dot(F.col("embedding"), F.col("qe")) / (norm(F.col("embedding")) * norm(F.col("qe"))), 6).alias("score"))
     top = s.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k)
     votes = top.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy(F.col("qid").alias("vec_id")).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("predicted"))

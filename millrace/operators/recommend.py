@@ -38,6 +38,7 @@ def profiles(train: DataFrame, vectors: DataFrame) -> DataFrame:
 
 #: Persons and items of a block of the score matrix; a block pair holds three dense arrays of at most this many rows.
 BLOCK = 2000
+MOST_TERMS = 20_000
 
 
 def _blocks(df: DataFrame, key: str) -> int:
@@ -77,6 +78,8 @@ def top_unseen(profile: DataFrame, vectors: DataFrame, seen: DataFrame, n: int =
     row for every person, item and term. The terms are those of a bounded vocabulary.
     """
     terms = [r[0] for r in vectors.select("term").distinct().orderBy("term").collect()]
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"{len(terms)} terms; dense blocks are for vocabularies of at most {MOST_TERMS}")
     index = profile.sparkSession.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, at int")
     width, per, across = max(1, len(terms)), _blocks(profile, "person_id"), _blocks(vectors, "content_id")
     row = lambda df, key: df.join(F.broadcast(index), "term").groupBy(key).agg(F.collect_list(F.struct("at", "w")).alias("c")).select(key, F.col("c.at").alias("at"), F.col("c.w").alias("w"))
@@ -107,3 +110,14 @@ def ranking_metrics(test: DataFrame, ranked: DataFrame, n: int = 10) -> DataFram
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def against_all(rows: DataFrame, queries: DataFrame, key: str, per_block: int = 50_000) -> DataFrame:
+    """Every query beside every row, block by block: rows keep their place, queries are sent to each block of rows.
+
+    Neither side is broadcast, so both may grow; ``queries`` has columns of other names.
+    """
+    blocks = max(1, math.ceil(rows.count() / per_block))
+    r = rows.withColumn("_block", F.pmod(F.hash(key), F.lit(blocks)))
+    q = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return r.join(q, "_block").drop("_block")

@@ -10,7 +10,7 @@ from millrace.functions import metrics
 from millrace.operators import collaborative as C
 from millrace.operators import language_model as L
 from millrace.operators import models, text
-from millrace.operators.recommend import dot
+from millrace.operators.recommend import against_all, dot
 from millrace.operators.relational import order_hash
 
 
@@ -180,7 +180,7 @@ def embedding_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest others of every vector whose id is divisible by 100."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"), F.col("norm").alias("m"))
-    s = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("e")) / (F.col("norm") * F.col("m")), 5).alias("score"))
+    s = against_all(v, q, "vec_id").where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("e")) / (F.col("norm") * F.col("m")), 5).alias("score"))
     return s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("r <= 5").drop("r")
 
 
@@ -265,7 +265,7 @@ SQL = {
     "bigram_lm": f"with {_LM} select first, second, n, round(mle, 8) as mle, round(add_one, 8) as add_one, round(interpolated, 8) as interpolated from lm",
     "perplexity": f"with {_LM}, h as (select -sum(n * log2(interpolated)) / sum(n) as h from lm) select round(h, 5) as entropy, round(power(2.0, h), 4) as perplexity from h",
     "zipf": f"with {_LM}, k as (select term, c, row_number() over (order by c desc, term) as rank from u) select term, c, rank, rank * c as product from k",
-    "chi2_terms": f"with {_CELLS}, v as (select *, n_term - a as b, n_label - a as c, n - n_term - n_label + a as e from cells) select term, round(max(case when (a + b) * (c + e) * (a + c) * (b + e) > 0 then n * power(a * e - b * c, 2) / (cast(a + b as double) * (c + e) * (a + c) * (b + e)) else 0 end), 5) as chi2 from v group by 1",
+    "chi2_terms": f"with {_CELLS}, v as (select *, n_term - a as b, n_label - a as c, n - n_term - n_label + a as e from cells) select term, round(max(case when (a + b) * (c + e) * (a + c) * (b + e) > 0 then n * power(a * e - b * c, 2) / (cast(a + b as double) * (c + e) * (a + c) * (b + e)) else 0 end), 5) as chi2 from v where a > 0 group by 1",
     "info_gain": f"with {_CELLS} select term, round(sum({_IG('a', 'n_term', 'n_label')} + {_IG('(n_label - a)', 'n - n_term', 'n_label')}), 6) as gain from cells group by 1",
     "mutual_information": f"with {_CELLS} select term, label, round(log2(a * n / (n_term * n_label)), 6) as mi from cells where a > 0",
     "embedding_cosine_topk": f"""with v as (select vec_id, embedding as e, sqrt({_DOT.format('embedding', 'embedding')}) as n from embeddings), s as (select q.vec_id as query_id, v.vec_id, round({_DOT.format('v.e', 'q.e')} / (v.n * q.n), 5) as score from v join v q on q.vec_id % 100 = 0 and v.vec_id <> q.vec_id)
