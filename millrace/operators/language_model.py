@@ -80,8 +80,11 @@ def bleu(df: DataFrame, candidate: str, reference: str, order: int = 2) -> DataF
     """``df`` with ``bleu`` of token arrays: clipped n-gram precision up to ``order`` and the brevity penalty."""
     from millrace.operators.text import ngrams
 
+    # n-grams are columns, so that they are built once a row and not once a kind
+    grams = df.withColumns({f"_{side}{n}": ngrams(F.col(tokens), n) for side, tokens in (("c", candidate), ("r", reference)) for n in range(1, order + 1)})
+
     def precision(n: int):
-        c, r = ngrams(F.col(candidate), n), ngrams(F.col(reference), n)
+        c, r = F.col(f"_c{n}"), F.col(f"_r{n}")
         kinds = F.array_distinct(c)
         count = lambda arr, g: F.size(F.filter(arr, lambda x: x == g))
         clipped = F.aggregate(F.transform(kinds, lambda g: F.least(count(c, g), count(r, g))), F.lit(0), lambda s, x: s + x)
@@ -92,7 +95,8 @@ def bleu(df: DataFrame, candidate: str, reference: str, order: int = 2) -> DataF
     for p in ps[1:]:
         product = product * p
     brevity = F.when(F.size(candidate) >= F.size(reference), 1.0).otherwise(F.exp(1.0 - F.size(reference) / F.size(candidate)))
-    return df.withColumn("bleu", brevity * F.pow(product, 1.0 / order))
+    out = grams.withColumn("bleu", brevity * F.pow(product, 1.0 / order))
+    return out.drop(*[f"_{side}{n}" for side in "cr" for n in range(1, order + 1)])
 
 
 def byte_pair_merges(unigrams: DataFrame, merges: int) -> list[tuple[str, str]]:

@@ -165,9 +165,9 @@ def mutual_information(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_bleu(spark: SparkSession, d: str) -> DataFrame:
-    """How far each English title repeats the first words of its body."""
-    t = table(spark, d, "documents").where("title_en <> ''").select("doc_id", text.terms(F.col("title_en")).alias("c"), text.terms(F.substring("body_en", 1, 100)).alias("r"))
-    return L.bleu(t.where("size(c) > 0 and size(r) > 0"), "c", "r").select("doc_id", F.round("bleu", 6).alias("bleu"))
+    """BLEU of each English title against its whole body; not rounded, as the brevity penalty of a title leaves few digits."""
+    t = table(spark, d, "documents").where("title_en <> ''").select("doc_id", text.terms(F.col("title_en")).alias("c"), text.terms(F.col("body_en")).alias("r"))
+    return L.bleu(t.where("size(c) > 0 and size(r) > 0"), "c", "r").select("doc_id", "bleu")
 
 
 def byte_pairs(spark: SparkSession, d: str) -> DataFrame:
