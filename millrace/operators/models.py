@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
-from pyspark.ml.feature import HashingTF, IDF, PCA, RegexTokenizer, StandardScaler, VectorAssembler, Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, NGram, PCA, PCAModel, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import durable
+
+#: Fixed values of the pair networks.
+HIDDEN, TERMS, AXES, MLP_ROUNDS = (256, 64), 50_000, 256, 250
+VECTOR, WINDOW, EPOCHS, WORD_ROUNDS = 200, 5, 20, 300
+
 
 def text_vectors(column: str = "feature_text", size: int = 1 << 15) -> list:
     """Stages from text to tf-idf vectors of a fixed width, so no vocabulary is gathered."""
@@ -39,18 +48,76 @@ def fit_pairs(train: DataFrame, kind: str) -> PipelineModel:
     elif kind == "svm":
         stages = [*text_vectors(), LinearSVC(featuresCol="_x", weightCol="weight", regParam=0.001, maxIter=50)]
     elif kind == "mlp":
-        stages = [*text_vectors(size=1 << 9), PCA(k=32, inputCol="_x", outputCol="_p"), StandardScaler(inputCol="_p", outputCol="_s", withMean=True), MultilayerPerceptronClassifier(featuresCol="_s", layers=[32, 32, 2], maxIter=40, seed=42)]
+        return _fit_network(term_axes(t), t, "_p", MLP_ROUNDS)
     elif kind == "word2vec":
-        stages = [
-            RegexTokenizer(inputCol="feature_text", outputCol="_tok", pattern=r"\W+", minTokenLength=2),
-            Word2Vec(inputCol="_tok", outputCol="_s", vectorSize=32, windowSize=5, minCount=2, seed=42, maxIter=2),
-            MultilayerPerceptronClassifier(featuresCol="_s", layers=[32, 32, 2], maxIter=40, seed=42),
-        ]
+        return _fit_network(pair_vectors(t), t, "_v", WORD_ROUNDS)
     else:
         raise ValueError(f"no model of kind {kind}")
     return Pipeline(stages=stages).fit(t)
 
 
+def _fit_network(vectors: PipelineModel, train: DataFrame, column: str, rounds: int) -> PipelineModel:
+    """``vectors`` and a network over their ``column``, which is standardised if it is ``_p``."""
+    x = durable(vectors.transform(train).select(column, "label"))
+    stages = []
+    if column == "_p":
+        stages = [StandardScaler(inputCol="_p", outputCol="_s", withMean=True)]
+    width = len(x.first()[column])
+    stages.append(MultilayerPerceptronClassifier(featuresCol="_s" if stages else column, layers=[width, *HIDDEN, 2], maxIter=rounds, seed=42))
+    return PipelineModel([*vectors.stages, *Pipeline(stages=stages).fit(x).stages])
+
+
+def term_axes(train: DataFrame) -> PipelineModel:
+    """Stages from ``feature_text`` to ``_p``: tf-idf of the ``TERMS`` commonest words and word pairs on their first ``AXES`` singular vectors."""
+    stages = [
+        RegexTokenizer(inputCol="feature_text", outputCol="_tok", pattern=r"(?U)\W+", minTokenLength=2),
+        NGram(inputCol="_tok", outputCol="_bi", n=2),
+        SQLTransformer(statement="select *, concat(_tok, _bi) as _grams from __THIS__"),
+        CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=TERMS, minDF=1),
+        IDF(inputCol="_tf", outputCol="_x"),
+    ]
+    model = Pipeline(stages=stages).fit(train)
+    x = durable(model.transform(train).select("_x")).persist()  # read once for each step of the decomposition
+    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(x, "_x")).computeSVD(min(AXES, len(model.stages[3].vocabulary)))
+    x.unpersist()
+    # a projection on given axes is what the model of PCA does; the matrix stays in the JVM
+    jvm = train.sparkSession.sparkContext._jvm
+    share = jvm.org.apache.spark.ml.linalg.Vectors.dense(0.0, train.sparkSession.sparkContext._gateway.new_array(jvm.double, 0))
+    v = svd._java_model.V().asML()
+    axes = PCAModel(jvm.org.apache.spark.ml.feature.PCAModel("term_axes", v, share.toDense()))
+    return PipelineModel([*model.stages, axes._set(k=v.numCols()).setInputCol("_x").setOutputCol("_p")])
+
+
+def latin_words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{2,}"), 0)
+
+
+class PairVectors(Transformer):
+    """``_v``: mean vectors of the known words of ``question`` and ``option_text``, their absolute difference and their product."""
+
+    def __init__(self, vectors: DataFrame):
+        super().__init__()
+        self.vectors = vectors
+
+    def _means(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        words = df.select(column).distinct().select(column, F.explode(latin_words(column)).alias("word"))
+        means = words.join(self.vectors, "word").groupBy(F.col(column).alias("_text")).agg(vector_to_array(Summarizer.mean(F.col("vector"))).alias("_m"))
+        none = F.array_repeat(F.lit(0.0), VECTOR)
+        return df.join(means, F.col(column) == F.col("_text"), "left").withColumn(out, F.coalesce("_m", none)).drop("_text", "_m")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        both = self._means(self._means(dataset, "question", "_q"), "option_text", "_o")
+        apart = F.zip_with("_q", "_o", lambda q, o: F.abs(q - o))
+        return both.withColumn("_v", array_to_vector(F.concat("_q", "_o", apart, F.zip_with("_q", "_o", lambda q, o: q * o)))).drop("_q", "_o")
+
+
+def pair_vectors(train: DataFrame) -> PipelineModel:
+    """Skip-gram vectors learnt from the questions and options of ``train``, as a stage that embeds both apart."""
+    corpus = train.select(latin_words("question").alias("_w")).unionAll(train.select(latin_words("option_text").alias("_w")))
+    words = Word2Vec(inputCol="_w", outputCol="_v", vectorSize=VECTOR, windowSize=WINDOW, minCount=1, maxIter=EPOCHS, seed=42).fit(durable(corpus))
+    return PipelineModel([PairVectors(words.getVectors())])
+
+
 def predict_pairs(model: PipelineModel, options: DataFrame) -> DataFrame:
     """``id, label, score`` of every option."""
     out = model.transform(options)

@@ -48,11 +48,15 @@ def union_dedup_sources(spark: SparkSession, d: str) -> DataFrame:
     return relational.union_first_source(q.where("dataset_source = 'finmmeval'"), q.where("dataset_source = 'bbf'"), "id", "row_id")
 
 
-def option_rows(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each question and option with its text and whether it is right."""
+def _options(spark: SparkSession, d: str) -> DataFrame:
     e = normalised(spark, d).select("id", "question", "option_texts", "gold_letters", F.posexplode("choice_labels").alias("pos", "label"))
     option = F.coalesce(F.try_element_at("option_texts", F.col("label")), F.lit(""))
-    return e.select("id", "pos", "label", option.alias("option_text"), N.pair_text(F.col("question"), F.col("label"), option).alias("feature_text"), F.array_contains("gold_letters", F.col("label")).cast("int").alias("target"))
+    return e.select("id", "question", "pos", "label", option.alias("option_text"), N.pair_text(F.col("question"), F.col("label"), option).alias("feature_text"), F.array_contains("gold_letters", F.col("label")).cast("int").alias("target"))
+
+
+def option_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each question and option with its text and whether it is right."""
+    return _options(spark, d).drop("question")
 
 
 def parse_option_map(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +144,7 @@ def submission(spark: SparkSession, d: str) -> DataFrame:
 
 def _train_dev(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     part = stratified_split(spark, d)
-    rows = option_rows(spark, d).join(part, "id")
+    rows = _options(spark, d).join(part, "id")
     return rows.where("part = 'train'"), rows.where("part = 'dev'")
 
 

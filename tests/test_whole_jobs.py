@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from millrace.operators import models
 from millrace.plans import measure_queries
 
 
@@ -18,3 +19,29 @@ def test_title_bleu_reads_whole_bodies(spark, tmp_path):
     got = {r["doc_id"]: r["bleu"] for r in measure_queries.title_bleu(spark, d).collect()}
     assert len(long) > 100 and got[1] == 1.0
     assert math.isclose(got[2], math.exp(1 - 5 / 2))
+
+
+PAIRS = [(str(i), "a", f"what is the share price of stock {'one two three'.split()[i % 3]}", f"option {'low high'.split()[i % 2]}", i % 2) for i in range(12)]
+PAIR_SCHEMA = "id string, label string, question string, option_text string, target int"
+
+
+def pairs(spark):
+    return spark.createDataFrame(PAIRS, PAIR_SCHEMA).withColumn("feature_text", F.concat_ws(" ", "question", "option_text"))
+
+
+def test_word_vectors_embed_question_and_option_apart(spark):
+    vectors = spark.createDataFrame([("aa", [1.0] * 200), ("bb", [3.0] * 200), ("cc", [5.0] * 200)], "word string, v array<double>")
+    stage = models.PairVectors(vectors.select("word", models.array_to_vector("v").alias("vector")))
+    got = stage.transform(spark.createDataFrame([("1", "aa bb unknown", "CC"), ("2", "unknown", None)], "id string, question string, option_text string"))
+    v = {r["id"]: r["_v"].toArray().tolist() for r in got.collect()}
+    assert v["1"] == [2.0] * 200 + [5.0] * 200 + [3.0] * 200 + [10.0] * 200 and v["2"] == [0.0] * 800
+
+
+def test_pair_networks_have_the_sizes_of_the_survey(spark):
+    w = models.fit_pairs(pairs(spark), "word2vec")
+    assert list(w.stages[-1].getLayers()) == [800, 256, 64, 2] and w.stages[-1].getMaxIter() == 300
+    m = models.fit_pairs(pairs(spark), "mlp")
+    assert list(m.stages[-1].getLayers())[1:] == [256, 64, 2] and m.stages[3].getVocabSize() == 50_000 and "share price" in m.stages[3].vocabulary
+    for model in (w, m):
+        s = {r["id"]: r["score"] for r in models.predict_pairs(model, pairs(spark)).collect()}
+        assert all((s[i] > 0.5) == bool(t) for i, _, _, _, t in PAIRS)
