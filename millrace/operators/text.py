@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import durable
+
 #: English words left out before n-grams.
 STOP_WORDS = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing down "
@@ -113,12 +118,76 @@ def fuzzy_terms(vocabulary: DataFrame, word: str, prefix: int = 1, expansions: i
     return near.where("distance >= 0").orderBy("distance", "term").limit(expansions).select("term", "distance")
 
 
-def more_like_this(counts: DataFrame, id_col: str, seed: int, n_docs: int, max_terms: int = 25, min_tf: int = 2, min_df: int = 5) -> list[str]:
-    """The seed's most telling words by tf-idf; at most ``max_terms`` reach the driver."""
-    mine = counts.where((F.col(id_col) == seed) & (F.col("tf") >= min_tf)).select("term", "tf")
-    df = counts.join(F.broadcast(mine.select("term")), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.col("tf") * (F.lit(1.0) + F.log(F.lit(float(n_docs)) / (F.col("df") + 1.0)))
-    return [r[0] for r in mine.join(df, "term").where(F.col("df") >= min_df).orderBy(F.desc(F.round(weight, 9)), "term").limit(max_terms).select("term").collect()]
+def telling_terms(seeds: DataFrame, frequencies: DataFrame, id_col: str, max_terms: int = 25, min_tf: int = 2, min_df: int = 5) -> DataFrame:
+    """``id, field, term, df``: the words of every seed with the highest tf-idf.
+
+    ``seeds`` is (id, field, term, tf), ``frequencies`` is (field, term, df, n_docs).
+    """
+    weight = F.col("tf") * (F.lit(1.0) + F.log(F.col("n_docs") / (F.col("df") + 1.0)))
+    known = seeds.where(F.col("tf") >= min_tf).join(frequencies.where(F.col("df") >= min_df), ["field", "term"])
+    w = Window.partitionBy(id_col).orderBy(F.desc(F.round(weight, 9)), "term", "field")
+    return known.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_terms).select(id_col, "field", "term", "df")
+
+
+#: Documents and seeds of a block of scores; a block pair holds a dense array of its seeds' words by its documents.
+BLOCK = 1000
+
+
+def more_like_these(df: DataFrame, id_col: str, fields: list[str], seeds: Column, digits: int = 5) -> DataFrame:
+    """``seed, id, score``: BM25 of every document for the most telling words of every row that ``seeds`` is true of.
+
+    A seed's words are looked for in the field they stand in, and the fields' scores are added.
+    Documents and seeds meet block by block, so neither side is broadcast and no posting is
+    shuffled for a seed.
+    """
+    docs = df.select(id_col, seeds.alias("_seed"), *[terms(F.col(f)).alias(f) for f in fields])
+    each = lambda of: F.explode(F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.size(f).alias("size"), of(f).alias("words")) for f in fields]), lambda x: x["size"] > 0)).alias("x")
+    tf = docs.where("_seed").select(id_col, each(F.col)).select(id_col, "x.field", F.explode("x.words").alias("term")).groupBy(id_col, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # one pass counts words and, under the empty word, documents and their lengths
+    marked = docs.select(each(lambda f: F.concat(F.array(F.lit("")), F.array_distinct(f)))).select("x.field", "x.size", F.explode("x.words").alias("term"))
+    counted = durable(marked.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("size"))).alias("length")))
+    stats = {r["field"]: r for r in counted.where("term = ''").collect()}  # a row for each field
+    n = {f: float(stats[f]["df"]) if f in stats else 0.0 for f in fields}
+    mean = {f: stats[f]["length"] / stats[f]["df"] if f in stats else 1.0 for f in fields}
+    n_docs = F.create_map(*[x for f in fields for x in (F.lit(f), F.lit(n[f]))])
+    frequencies = counted.where("term <> ''").select("field", "term", "df", n_docs[F.col("field")].alias("n_docs"))
+    idf = F.log(1.0 + (n_docs[F.col("field")] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    chosen = telling_terms(tf, frequencies, id_col).groupBy(F.col(id_col).alias("seed")).agg(F.collect_list(F.struct("field", "term", idf.alias("idf"))).alias("t"))
+    q = chosen.select("seed", F.col("t.field").alias("field"), F.col("t.term").alias("term"), F.col("t.idf").alias("idf"))
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(seeds.cast("int")).alias("seeds")).first()
+    across, per = max(1, math.ceil(size["rows"] / BLOCK)), max(1, math.ceil((size["seeds"] or 0) / BLOCK))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    d = docs.drop("_seed").withColumn("db", F.pmod(F.hash(id_col), F.lit(across))).withColumn("sb", every(per))
+    q = q.withColumn("sb", F.pmod(F.hash("seed"), F.lit(per))).withColumn("db", every(across))
+    work = lambda a, b: _block_scores(a, b, id_col, mean, digits)
+    return d.groupBy("db", "sb").cogroup(q.groupBy("db", "sb")).applyInArrow(work, f"seed long, {id_col} long, score double")
+
+
+def _block_scores(docs: pa.Table, seeds: pa.Table, id_col: str, mean: dict[str, float], digits: int) -> pa.Table:
+    ids, of = docs[id_col].to_numpy(), seeds["seed"].to_numpy()
+    scores = np.zeros((len(of), len(ids)))
+    if scores.size:
+        lists = seeds["term"].combine_chunks()
+        owner = np.repeat(np.arange(len(of)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        term, field, idf = (pc.list_flatten(seeds[c].combine_chunks()) for c in ("term", "field", "idf"))
+        idf = idf.to_numpy()
+        for f, avg in mean.items():
+            mine = pc.equal(field, f).to_numpy(zero_copy_only=False)
+            wanted = term.filter(pa.array(mine))
+            known = pc.unique(wanted)
+            tokens = docs[f].combine_chunks()
+            length = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(pc.list_flatten(tokens), value_set=known), -1).to_numpy()
+            place = at.astype("int64") * len(ids) + np.repeat(np.arange(len(ids)), length)
+            tf = np.bincount(place[at >= 0], minlength=len(known) * len(ids)).reshape(len(known), len(ids)).astype(float)
+            gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
+            rows = pc.index_in(wanted, value_set=known).to_numpy()
+            for s in np.unique(owner[mine]):
+                here = owner[mine] == s
+                scores[s] += idf[mine][here] @ gain[rows[here]]
+        scores[of[:, None] == ids[None, :]] = 0
+    s, i = np.nonzero(scores)
+    return pa.table({"seed": of[s], id_col: ids[i], "score": np.round(scores[s, i], digits)})
 
 
 def highlight(text: Column, query: list[str], size: int = 160, most: int = 2) -> Column:

@@ -4,8 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from millrace.operators import models
-from millrace.plans import measure_queries
+from millrace.operators import models, text
+from millrace.plans import measure_queries, search_queries
 
 
 def written(spark, folder, name, rows, schema):
@@ -45,3 +45,27 @@ def test_pair_networks_have_the_sizes_of_the_survey(spark):
     for model in (w, m):
         s = {r["id"]: r["score"] for r in models.predict_pairs(model, pairs(spark)).collect()}
         assert all((s[i] > 0.5) == bool(t) for i, _, _, _, t in PAIRS)
+
+
+def test_more_like_this_takes_every_hundredth_document_in_all_languages(spark, data):
+    got = search_queries.more_like_this(spark, data).collect()
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "body_en", "body_ru")
+    seeds = {r["doc_id"]: r for r in docs.where("doc_id % 100 = 0").collect()}
+    assert seeds and {r["seed"] for r in got} <= set(seeds) and all(r["seed"] != r["doc_id"] for r in got)
+    # documents of both sides under ids divisible by 100
+    both = docs.where("body_en <> ''").limit(8).unionAll(docs.where("body_ru <> ''").limit(8)).collect()
+    rows = [(100 * k, r["body_en"], r["body_ru"]) for k, r in enumerate(both)]
+    small = spark.createDataFrame(rows, "doc_id long, body_en string, body_ru string")
+    found = text.more_like_these(small, "doc_id", ["body_en", "body_ru"], F.col("doc_id") % 100 == 0).collect()
+    assert {r["seed"] for r in found} & set(range(0, 800, 100)) and {r["seed"] for r in found} & set(range(800, 1600, 100))
+    for f in ("body_en", "body_ru"):
+        words = {i: [t for t in ts if t] for i, ts in small.select("doc_id", text.terms(F.col(f))).collect()}
+        n = sum(bool(w) for w in words.values())
+        df = lambda t: sum(t in w for w in words.values())  # noqa: E731, B023
+        for seed, w in words.items():
+            able = [t for t in set(w) if w.count(t) >= 2 and df(t) >= 5]
+            top = sorted(able, key=lambda t: (-round(w.count(t) * (1 + math.log(n / (df(t) + 1))), 9), t))[:25]
+            expected = {} if not top else {r["doc_id"]: r["score"] for r in text.bm25(small, "doc_id", {f: 1.0}, top).collect() if r["doc_id"] != seed}
+            if w:
+                mine = {r["doc_id"]: r["score"] for r in found if r["seed"] == seed}
+                assert mine.keys() == expected.keys() and all(abs(mine[i] - expected[i]) < 2e-5 for i in mine)
