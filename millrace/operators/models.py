@@ -22,6 +22,9 @@ from millrace.session import durable
 HIDDEN, TERMS, AXES, MLP_ROUNDS = (256, 64), 50_000, 256, 250
 VECTOR, WINDOW, EPOCHS, WORD_ROUNDS = 200, 5, 20, 300
 
+#: Most rounds of boosting.
+BOOSTS = 500
+
 
 def text_vectors(column: str = "feature_text", size: int = 1 << 15) -> list:
     """Stages from text to tf-idf vectors of a fixed width, so no vocabulary is gathered."""
@@ -137,12 +140,19 @@ def fit_four_way(train: DataFrame) -> PipelineModel:
 
 
 def boosted_residuals(train: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``hybrid``: the clipped bias prediction plus a boosted residual."""
+    """``rows`` with ``hybrid``: the clipped bias prediction plus a boosted residual.
+
+    A tenth of ``train`` stops the rounds early, at the first that no longer lowers its error.
+    """
     from millrace.functions.normalize import clip_rating
+    from millrace.operators.relational import order_hash
 
     inputs = [c for c in train.columns if c.startswith("f_")]
-    gbt = GBTRegressor(featuresCol="_x", labelCol="residual", stepSize=0.05, maxIter=20, maxDepth=5, minInstancesPerNode=20, seed=42)
-    t = train.withColumn("residual", F.col("rating") - F.col("f_bias_pred"))
+    gbt = GBTRegressor(featuresCol="_x", labelCol="residual", stepSize=0.05, maxIter=BOOSTS, maxDepth=6, minInstancesPerNode=20, validationIndicatorCol="_held", validationTol=1e-7, seed=42)
+    # other seed than the split's, else its hash would hold out rows of one end of the remaining range
+    t = durable(train.withColumn("residual", F.col("rating") - F.col("f_bias_pred")).withColumn("_held", order_hash(F.col("row_id"), 7) % 10 == 0))
+    if t.agg(F.count_if("_held")).first()[0] == 0:  # too few rows to hold any out
+        gbt.clear(gbt.validationIndicatorCol)
     model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_x"), gbt]).fit(t)
     return model.transform(rows).withColumn("hybrid", clip_rating(F.col("f_bias_pred") + F.col("prediction")))
 

@@ -9,6 +9,7 @@ from millrace.catalog import table
 from millrace.functions import normalize as N
 from millrace.operators import ratings as R
 from millrace.operators import relational
+from millrace.session import durable
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +89,6 @@ def rating_submission(spark: SparkSession, d: str) -> DataFrame:
 
 def dense_ids(df: DataFrame, order: str) -> DataFrame:
     """``df`` with ``id``: 0 to n-1 in ``order``, from the counts of sorted partitions; no single task sorts all rows."""
-    from millrace.session import durable
-
     s = durable(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     starts = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_first"))
     offsets = starts.select("_p", "_first", F.expr("sum(_c) over (order by _p) - _c").alias("_before"))  # a row for each partition
@@ -113,22 +112,31 @@ def data_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_gbt_predict(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions of the model with the lower error on the held-out tenth: biases, or biases with boosted residuals."""
+    """Predictions for every row by the model with the lower error on the held-out tenth, fitted again on all rows: biases, or biases with boosted residuals."""
     from millrace.operators.models import boosted_residuals
 
-    train, dev = _parts(spark, d)
     users, books = R.clean_users(table(spark, d, "users")), R.clean_books(table(spark, d, "books"))
-    biases = R.fit_biases(train)
-    f_train, f_dev = (R.features(x, train, users, books, biases) for x in (train, dev))
-    hybrid = boosted_residuals(f_train, f_dev)
-    errors = hybrid.agg(F.avg(F.pow(F.col("rating") - F.col("f_bias_pred"), 2)).alias("b"), F.avg(F.pow(F.col("rating") - F.col("hybrid"), 2)).alias("h")).first()
-    best = "f_bias_pred" if errors["b"] is None or errors["b"] <= errors["h"] else "hybrid"
-    return hybrid.select("row_id", F.col(best).alias("prediction"), F.lit("bias" if best != "hybrid" else "hybrid").alias("model"))
+
+    def inputs(fitted: DataFrame, *rows: DataFrame) -> list[DataFrame]:
+        biases = R.fit_biases(fitted)
+        return [durable(R.features(x, fitted, users, books, biases)) for x in (fitted, *rows)]
+
+    e = boosted_residuals(*inputs(*_parts(spark, d))).agg(F.avg(F.pow(F.col("rating") - F.col("f_bias_pred"), 2)).alias("b"), F.avg(F.pow(F.col("rating") - F.col("hybrid"), 2)).alias("h")).first()
+    best = "bias" if e["b"] is None or e["b"] <= e["h"] else "hybrid"
+    final = inputs(_rows(spark, d))[0]
+    prediction = F.col("f_bias_pred") if best == "bias" else F.col("hybrid")
+    return (final if best == "bias" else boosted_residuals(final, final)).select("row_id", prediction.alias("prediction"), F.lit(best).alias("model"))
+
+
+def hybrid_submission(spark: SparkSession, d: str) -> DataFrame:
+    """Rounded predictions of the chosen model under dense ids in row order; ``rating_submission`` has those of the biases, as its SQL does."""
+    p = hybrid_gbt_predict(spark, d).select("row_id", N.round_rating(F.round("prediction", 9)).alias("rating"))
+    return dense_ids(p, "row_id").select("id", "rating")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (clean_users, clean_books, user_stats, book_stats, bias_terms_user, bias_terms_item, bias_predict, validation_rows, bias_rmse, hybrid_features, rating_submission, data_profile, hybrid_gbt_predict)
+    for f in (clean_users, clean_books, user_stats, book_stats, bias_terms_user, bias_terms_item, bias_predict, validation_rows, bias_rmse, hybrid_features, rating_submission, data_profile, hybrid_gbt_predict, hybrid_submission)
 } | {f"smoothed_{k}": _smoothed(k) for k in R.GROUPS}
 
 _USERS = """

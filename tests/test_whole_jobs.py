@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from millrace.operators import models, text
-from millrace.plans import measure_queries, search_queries
+from millrace.plans import measure_queries, rating_queries, search_queries
 
 
 def written(spark, folder, name, rows, schema):
@@ -69,3 +69,17 @@ def test_more_like_this_takes_every_hundredth_document_in_all_languages(spark, d
             if w:
                 mine = {r["doc_id"]: r["score"] for r in found if r["seed"] == seed}
                 assert mine.keys() == expected.keys() and all(abs(mine[i] - expected[i]) < 2e-5 for i in mine)
+
+
+def test_hybrid_predictions_cover_all_rows(spark, data, monkeypatch):
+    usable = rating_queries._rows(spark, data)
+    p = rating_queries.hybrid_gbt_predict(spark, data)
+    assert p.count() == usable.count() and p.join(usable, "row_id").count() == usable.count()
+    used = []
+    fit = models.GBTRegressor._fit
+    monkeypatch.setattr(models.GBTRegressor, "_fit", lambda self, t: used.append((self.getMaxIter(), self.isSet("validationIndicatorCol"), t.count())) or fit(self, t))
+    s = rating_queries.hybrid_submission(spark, data)
+    assert sorted(r["id"] for r in s.collect()) == list(range(usable.count()))
+    assert all(u[:2] == (500, True) for u in used)
+    sizes = [rating_queries._parts(spark, data)[0].count()] + [usable.count()] * (p.first()["model"] == "hybrid")
+    assert [u[2] for u in used] == sizes
