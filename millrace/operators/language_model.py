@@ -51,6 +51,15 @@ def contingency(docs: DataFrame, terms: DataFrame, label: str) -> DataFrame:
     return per.join(df, "term").join(labels, label).select("term", F.col(label).alias("label"), "a", "n_term", "n_label", n.alias("n"))
 
 
+def contingency_of_arrays(docs: DataFrame, words: str, label: str) -> DataFrame:
+    """``contingency`` of rows that hold their distinct words; the label goes with each word, so no text is joined or shuffled."""
+    labels = docs.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
+    per = docs.select(label, F.explode(words).alias("term")).groupBy("term", label).agg(F.count(F.lit(1)).alias("a"))
+    df = per.groupBy("term").agg(F.sum("a").alias("n_term"))
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    return per.join(df, "term").join(labels, label).select("term", F.col(label).alias("label"), "a", "n_term", "n_label", n.alias("n"))
+
+
 def chi_square(cells: DataFrame) -> DataFrame:
     """``term, label, chi2`` of the pairs that meet."""
     a, b = F.col("a").cast("double"), (F.col("n_term") - F.col("a")).cast("double")

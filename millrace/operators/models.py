@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
 from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, NGram, PCA, PCAModel, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler, Word2Vec
@@ -22,6 +23,9 @@ from millrace.session import durable
 HIDDEN, TERMS, AXES, MLP_ROUNDS = (256, 64), 50_000, 256, 250
 VECTOR, WINDOW, EPOCHS, WORD_ROUNDS = 200, 5, 20, 300
 
+#: Bound on the vocabulary of ``text_components``, above the words of every table at hand.
+WORDS = 1 << 20
+
 #: Most rounds of boosting.
 BOOSTS = 500
 
@@ -80,15 +84,20 @@ def term_axes(train: DataFrame) -> PipelineModel:
         IDF(inputCol="_tf", outputCol="_x"),
     ]
     model = Pipeline(stages=stages).fit(train)
-    x = durable(model.transform(train).select("_x")).persist()  # read once for each step of the decomposition
-    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(x, "_x")).computeSVD(min(AXES, len(model.stages[3].vocabulary)))
+    return PipelineModel([*model.stages, singular_axes(model.transform(train), AXES, len(model.stages[3].vocabulary))])
+
+
+def singular_axes(vectors: DataFrame, k: int, width: int) -> PCAModel:
+    """A stage from ``_x`` to ``_p``, the projection on the first ``k`` right singular vectors of ``_x``; the vectors are not centred."""
+    x = vectors.select("_x").persist(StorageLevel.MEMORY_AND_DISK)  # read once for each step of the decomposition
+    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(x, "_x")).computeSVD(min(k, width))
     x.unpersist()
     # a projection on given axes is what the model of PCA does; the matrix stays in the JVM
-    jvm = train.sparkSession.sparkContext._jvm
-    share = jvm.org.apache.spark.ml.linalg.Vectors.dense(0.0, train.sparkSession.sparkContext._gateway.new_array(jvm.double, 0))
+    sc = vectors.sparkSession.sparkContext
+    share = sc._jvm.org.apache.spark.ml.linalg.Vectors.dense(0.0, sc._gateway.new_array(sc._jvm.double, 0))
     v = svd._java_model.V().asML()
-    axes = PCAModel(jvm.org.apache.spark.ml.feature.PCAModel("term_axes", v, share.toDense()))
-    return PipelineModel([*model.stages, axes._set(k=v.numCols()).setInputCol("_x").setOutputCol("_p")])
+    axes = PCAModel(sc._jvm.org.apache.spark.ml.feature.PCAModel("singular_axes", v, share.toDense()))
+    return axes._set(k=v.numCols()).setInputCol("_x").setOutputCol("_p")
 
 
 def latin_words(text: str) -> Column:
@@ -171,9 +180,11 @@ def naive_bayes(train: DataFrame, rows: DataFrame, text: str = "text", label: st
 
 
 def text_components(df: DataFrame, text: str, k: int = 8) -> DataFrame:
-    """``df`` with ``components``: tf-idf vectors of hashed words on their first ``k`` principal axes."""
-    stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+", minTokenLength=2), HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=256), IDF(inputCol="_tf", outputCol="_x"), PCA(k=k, inputCol="_x", outputCol="_p")]
-    return Pipeline(stages=stages).fit(df).transform(df).withColumn("components", vector_to_array("_p"))
+    """``df`` with ``components``: tf-idf vectors of all words (at most ``WORDS``) on their first ``k`` singular vectors."""
+    stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"(?U)\W+", minTokenLength=2), CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=WORDS, minDF=1), IDF(inputCol="_tf", outputCol="_x")]
+    model = Pipeline(stages=stages).fit(df)
+    axes = singular_axes(model.transform(df), k, len(model.stages[1].vocabulary))
+    return axes.transform(model.transform(df)).withColumn("components", vector_to_array("_p"))
 
 
 def nearest_labels(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

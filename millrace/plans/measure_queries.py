@@ -164,6 +164,31 @@ def mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return L.mutual_information(_cells(spark, d)).select("term", "label", F.round("mi", 6).alias("mi"))
 
 
+def whole_text(spark: SparkSession, d: str) -> DataFrame:
+    """``doc_id, source, t``: title and body of every document in all languages."""
+    t = F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in ("title_en", "body_en", "title_ru", "body_ru")])
+    return table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), t.alias("t")).where("t <> ''")
+
+
+def _text_cells(spark: SparkSession, d: str) -> DataFrame:
+    return L.contingency_of_arrays(whole_text(spark, d).select("source", F.array_distinct(text.terms(F.col("t"))).alias("w")), "w", "source")
+
+
+def text_chi2_terms(spark: SparkSession, d: str) -> DataFrame:
+    """``chi2_terms`` over whole texts."""
+    return L.chi_square(_text_cells(spark, d)).groupBy("term").agg(F.round(F.max("chi2"), 5).alias("chi2"))
+
+
+def text_info_gain(spark: SparkSession, d: str) -> DataFrame:
+    """``info_gain`` over whole texts."""
+    return L.information_gain(_text_cells(spark, d)).select("term", F.round("gain", 6).alias("gain"))
+
+
+def text_mutual_information(spark: SparkSession, d: str) -> DataFrame:
+    """``mutual_information`` over whole texts."""
+    return L.mutual_information(_text_cells(spark, d)).select("term", "label", F.round("mi", 6).alias("mi"))
+
+
 def title_bleu(spark: SparkSession, d: str) -> DataFrame:
     """BLEU of each English title against its whole body; not rounded, as the brevity penalty of a title leaves few digits."""
     t = table(spark, d, "documents").where("title_en <> ''").select("doc_id", text.terms(F.col("title_en")).alias("c"), text.terms(F.col("body_en")).alias("r"))
@@ -202,15 +227,15 @@ def naive_bayes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def svd_lsa(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("title_en <> ''").select("doc_id", F.col("title_en").alias("t"))
-    return models.text_components(docs, "t").select("doc_id", "components")
+    """Whole texts on the first singular vectors of their words."""
+    return models.text_components(whole_text(spark, d), "t").select("doc_id", "components")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         damped_mean, lift_pairs, user_cf_pearson, user_cf_predict, item_cf_adjusted_cosine, attack_shift, hot_posts, ranked_quality, map_score, spearman, prediction_errors, micro_macro_f1, binary_measures,
-        coverage_diversity, hybrid_scores, bigram_lm, perplexity, zipf, chi2_terms, info_gain, mutual_information, title_bleu, byte_pairs, embedding_cosine_topk, embedding_knn_label, als_factors, naive_bayes, svd_lsa,
+        coverage_diversity, hybrid_scores, bigram_lm, perplexity, zipf, chi2_terms, info_gain, mutual_information, text_chi2_terms, text_info_gain, text_mutual_information, title_bleu, byte_pairs, embedding_cosine_topk, embedding_knn_label, als_factors, naive_bayes, svd_lsa,
     )
 }
 

@@ -85,9 +85,19 @@ def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return reach.withColumnRenamed("term", "left").join(t.withColumnRenamed("term", "right"), ["doc_id", "pos"]).groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
 
 
+def text_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    """``cooccurrence`` within the title and within the body of every document, in all languages."""
+    words = lambda c: text.terms(F.col(c))
+    # a pair lies within a field, so the lists are shifted against themselves and nothing is joined
+    t = _docs(spark, d).select(F.explode(F.array(*[words(c) for c in FIELDS["EN"] | FIELDS["RU"]])).alias("w"))
+    shifted = lambda k: F.arrays_zip(F.col("w").alias("left"), F.slice("w", k + 1, F.greatest(F.size("w"), F.lit(1))).alias("right"))
+    pairs = t.select(F.explode(F.concat(shifted(1), shifted(2))).alias("p")).where("p.right is not null")
+    return pairs.groupBy("p.left", "p.right").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (search_docs, latest_by_key, bm25_search, bm25_best_fields, min_should_match, search_top, phrase_search, fuzzy_terms, more_like_this, highlight, cooccurrence)
+    for f in (search_docs, latest_by_key, bm25_search, bm25_best_fields, min_should_match, search_top, phrase_search, fuzzy_terms, more_like_this, highlight, cooccurrence, text_cooccurrence)
 }
 
 _CUT = "[^a-z0-9а-яёіїєґ]+"

@@ -83,3 +83,34 @@ def test_hybrid_predictions_cover_all_rows(spark, data, monkeypatch):
     assert all(u[:2] == (500, True) for u in used)
     sizes = [rating_queries._parts(spark, data)[0].count()] + [usable.count()] * (p.first()["model"] == "hybrid")
     assert [u[2] for u in used] == sizes
+
+
+TEXTS = [(1, "s", "alpha title", "alpha title\n\nbeta gamma delta", "", ""), (2, "t", "", "", "друга новина", "друга новина\n\nбета гама"), (3, "t", None, None, None, None)]
+TEXT_SCHEMA = "doc_id long, source string, title_en string, body_en string, title_ru string, body_ru string"
+
+
+def test_feature_selection_and_pairs_over_whole_texts(spark, tmp_path):
+    d = written(spark, tmp_path, "documents", TEXTS, TEXT_SCHEMA)
+    words = {"alpha", "title", "beta", "gamma", "delta", "друга", "новина", "бета", "гама"}
+    assert {r["term"]: r["chi2"] for r in measure_queries.text_chi2_terms(spark, d).collect()} == dict.fromkeys(words, 2.0)
+    assert {r["term"]: r["gain"] for r in measure_queries.text_info_gain(spark, d).collect()} == dict.fromkeys(words, 1.0)
+    assert {(r["term"], r["mi"]) for r in measure_queries.text_mutual_information(spark, d).collect()} == {(w, 1.0) for w in words}
+    pairs = {(r["left"], r["right"]): r["n"] for r in search_queries.text_cooccurrence(spark, d).collect()}
+    assert pairs[("alpha", "title")] == 2 and pairs[("gamma", "delta")] == 1 and pairs[("beta", "delta")] == 1 and pairs[("друга", "бета")] == 1
+    assert ("beta", "beta") not in pairs and len(pairs) == 12
+
+
+def test_text_queries_agree_with_titles(spark, tmp_path):
+    """Without bodies and Cyrillic titles, whole texts are the English titles that SQL checks."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({c: F.lit("") for c in ("body_en", "title_ru", "body_ru")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for m, name in ((measure_queries, "chi2_terms"), (measure_queries, "info_gain"), (measure_queries, "mutual_information"), (search_queries, "cooccurrence")):
+        a, b = (sorted(map(tuple, m.QUERIES[q](spark, str(tmp_path)).collect())) for q in (name, f"text_{name}"))
+        assert a and a == b
+
+
+def test_lsa_gives_words_their_own_columns(spark, tmp_path):
+    d = written(spark, tmp_path, "documents", TEXTS, TEXT_SCHEMA)
+    got = {r["doc_id"]: r["components"] for r in measure_queries.svd_lsa(spark, d).collect()}
+    assert set(got) == {1, 2}
+    assert abs(sum(a * b for a, b in zip(got[1], got[2], strict=True))) < 1e-9 and all(any(abs(x) > 0.1 for x in v) for v in got.values())
