@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,20 +15,36 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: the one that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session within one machine (``local``, ``local[...]``) gets a
+    folder of its own beside its scratch files; on a cluster no such folder can be read by
+    all executors, so it is an error there.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context._jsc.sc().isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
+    scratch = spark.conf.get("spark.local.dir", None) or spark._jvm.java.lang.System.getProperty("java.io.tmpdir")
+    return f"{scratch.split(',')[0]}/millrace-checkpoint-{context.applicationId}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through files every executor can read.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset, as in local tests, a temporary one is made. Losing an executor afterwards
-    costs nothing, because the rows are read back from the files.
+    Losing an executor afterwards costs nothing, because the rows are read back from the
+    files. They are removed with the last reference to them where the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
