@@ -4,8 +4,9 @@ The corpus says itself what its clean words are: tokens of Cyrillic letters in l
 case, with the quotation marks and dashes that stick to them. Every distinct clean word is
 garbled under every chain of a wrong decoding - each encoding of Cyrillic text read as each
 other one, with undefined bytes kept, replaced or dropped, and twice where that is common.
-The table of garbled forms is hash-joined to the distinct tokens of the corpus that are
-neither clean nor plain; a form that is itself a clean word of the corpus is no evidence. A
+Words in capitals are garbled too where their small letters are a clean word. The table of
+garbled forms, with every chain that gives a form, is joined to the distinct tokens of the
+corpus that are neither clean nor plain; a form that looks like a clean word is no evidence. A
 field is reported when the tokens it matched under one chain are long enough together. Its
 tokens are substituted by their originals where the form has exactly one under that chain,
 and words that the corpus has nowhere else are decoded back by the chain so found if they
@@ -14,8 +15,10 @@ come out clean and garble to the same form again.
 Tokens lie between ASCII characters other than letters, since all these encodings keep ASCII
 as it is; garbled letters may look like spaces or controls and must not cut a token.
 
-Both sides of the join are aggregated to distinct tokens before they are shuffled, so a
-document that is copied a million times costs one token list for each map task. Null and
+Every field is cut into tokens once: distinct clean words and the suspects of each field leave
+one map-side aggregation and are written. Both sides of the joins follow the data, so they are
+merge joins, which spill and which adaptive execution splits at hot tokens; nothing is
+broadcast. A form with many originals is added up in each task of the table first. Null and
 empty fields hold nothing. Forms with several originals (all letters replaced by U+FFFD)
 are found and left as they are.
 """
@@ -30,6 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import durable
+
 #: Letters that the matched tokens of a field must have together, under one chain.
 EVIDENCE = 5
 
@@ -46,6 +51,8 @@ LETTERS = "а-яёіїєґ"
 CAPITALS = "А-ЯЁІЇЄҐ"
 SIGNS = "«»„“”‘’…—–№"
 CLEAN = f"^[{SIGNS}]*(?:[{CAPITALS}]?[{LETTERS}]+|[{CAPITALS}])[{SIGNS}]*$"
+#: A word in capitals, which may as well be a garbled word.
+CAPITAL = f"^[{SIGNS}]*[{CAPITALS}]{{2,}}[{SIGNS}]*$"
 #: What no token of interest is without.
 FOREIGN = r"[^\x00-\x7f]"
 
@@ -76,9 +83,9 @@ def chains() -> list[tuple[str, str, str, int]]:
     return out
 
 
-def garbled(word: str) -> dict[str, int]:
-    """Every garbled form of a word and the first chain that gives it."""
-    forms: dict[str, int] = {}
+def garbled(word: str) -> dict[str, list[int]]:
+    """Every garbled form of a word and the chains that give it."""
+    forms: dict[str, list[int]] = {}
     for k, (written, read, undefined, times) in enumerate(chains()):
         try:
             s = word
@@ -87,14 +94,30 @@ def garbled(word: str) -> dict[str, int]:
         except UnicodeError:
             continue
         if s != word and s:
-            forms.setdefault(s, k)
+            forms.setdefault(s, []).append(k)
     return forms
 
 
 def _table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``form, word, n_words, chains``: the first original and the number of originals in a batch, for the chains in which they are the same."""
+    clean = re.compile(CLEAN)
     for b in batches:
-        rows = [(form, word, k) for word in b["word"] for form, k in garbled(word).items()]
-        yield pd.DataFrame(rows, columns=["form", "word", "chain"])
+        originals: dict[str, dict[int, list]] = {}
+        for word in b["word"]:
+            for form, ks in garbled(word).items():
+                if clean.match(form):
+                    continue
+                known = originals.setdefault(form, {})
+                for k in ks:
+                    have = known.setdefault(k, [word, 0])
+                    have[0], have[1] = min(have[0], word), have[1] + 1
+        rows = []
+        for form, known in originals.items():
+            alike: dict[tuple[str, int], list[int]] = {}
+            for k, (word, n) in known.items():
+                alike.setdefault((word, n), []).append(k)
+            rows += [(form, word, n, ks) for (word, n), ks in alike.items()]
+        yield pd.DataFrame(rows, columns=["form", "word", "n_words", "chains"])
 
 
 def tokens_of(text: Column) -> Column:
@@ -103,28 +126,43 @@ def tokens_of(text: Column) -> Column:
 
 
 def corpus_tokens(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """``doc_id, field_name, token, clean`` for the distinct tokens of each field."""
+    """``doc_id, field_name, token, clean``, distinct: the tokens of each field, clean ones once for the corpus and without their field."""
     parts = F.array(*[F.struct(F.lit(f).alias("field_name"), tokens_of(F.col(f).cast("string")).alias("tokens")) for f in fields])
-    return (
+    rows = (
         df.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(parts).alias("p"))
         .select("doc_id", "p.field_name", F.explode("p.tokens").alias("token"))
         .withColumn("clean", F.col("token").rlike(CLEAN))
     )
+    return rows.select(*[F.when(~F.col("clean"), F.col(c)).alias(c) for c in ("doc_id", "field_name")], "token", "clean").distinct()
+
+
+def clean_words(tokens: DataFrame) -> DataFrame:
+    """``word``: the distinct clean words, and those in capitals whose small letters are a clean word."""
+    clean = tokens.where("clean").select(F.col("token").alias("word"))
+    capital = tokens.where(~F.col("clean") & F.col("token").rlike(CAPITAL)).select(F.col("token").alias("word")).distinct()
+    small = capital.withColumn("_small", F.lower("word")).join(clean.select(F.col("word").alias("_small")).hint("merge"), "_small", "left_semi")
+    return clean.unionByName(small.select("word"))
+
+
+#: Words that one task garbles.
+WORDS_A_TASK = 20_000
 
 
 def garbled_tokens(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """``doc_id, field_name, token, chain, word, n_words``: the tokens that are garbled words, with their original."""
-    tokens = corpus_tokens(df, id_col, fields)
-    clean = tokens.where("clean").select(F.col("token").alias("word")).distinct()
-    table = clean.mapInPandas(_table, "form string, word string, chain int")
+    tokens = durable(corpus_tokens(df, id_col, fields))
+    # the table is some thirty times its input, so its tasks are cut by the number of words and not by their bytes
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, tokens.where("clean").count() // WORDS_A_TASK + 1)
+    table = clean_words(tokens).repartition(tasks, "word").mapInPandas(_table, "form string, word string, n_words long, chains array<int>")
     suspects = tokens.where("not clean").select("doc_id", "field_name", "token")
     distinct = suspects.select("token").distinct()
     known = (
-        table.join(distinct, F.col("form") == F.col("token"))
+        table.hint("merge").join(distinct.hint("merge"), F.col("form") == F.col("token"))
+        .select("token", F.explode("chains").alias("chain"), "word", "n_words")
         .groupBy("token", "chain")
-        .agg(F.min("word").alias("word"), F.count(F.lit(1)).alias("n_words"))
+        .agg(F.min("word").alias("word"), F.sum("n_words").alias("n_words"))
     )
-    return suspects.join(known, "token")
+    return suspects.hint("merge").join(known.hint("merge"), "token")
 
 
 def garbled_fields(matches: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
@@ -181,7 +219,7 @@ def restore(df: DataFrame, id_col: str, fields: list[str], evidence: int = EVIDE
     matches = garbled_tokens(df, id_col, fields)
     found = garbled_fields(matches, evidence).select("doc_id", "field_name", F.col("chain").alias("best"))
     words = (
-        matches.join(found, ["doc_id", "field_name"])
+        matches.hint("merge").join(found.hint("merge"), ["doc_id", "field_name"])
         .groupBy("doc_id", "field_name", "token")
         .agg(F.min("word").alias("low"), F.max("word").alias("high"), F.max("n_words").alias("n"), F.min(F.when(F.expr("chain = best and n_words = 1"), F.col("word"))).alias("own"))
         .select("doc_id", "field_name", "token", F.coalesce("own", F.when(F.expr("low = high and n = 1"), F.col("low"))).alias("word"))
@@ -192,8 +230,8 @@ def restore(df: DataFrame, id_col: str, fields: list[str], evidence: int = EVIDE
     parts = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.*")
     rows = (
-        texts.join(found, ["doc_id", "field_name"])
-        .join(words, ["doc_id", "field_name"], "left")
+        texts.hint("merge").join(found.hint("merge"), ["doc_id", "field_name"])
+        .join(words.hint("merge"), ["doc_id", "field_name"], "left")
         .select("doc_id", "field_name", "text", F.col("best").alias("chain"), F.coalesce(F.col("w.token"), F.array().cast("array<string>")).alias("forms"), F.coalesce(F.col("w.word"), F.array().cast("array<string>")).alias("words"))
     )
     return rows.mapInPandas(_substitute, "doc_id long, field_name string, restored string")
