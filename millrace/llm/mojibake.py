@@ -30,6 +30,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,41 +84,64 @@ def chains() -> list[tuple[str, str, str, int]]:
     return out
 
 
+CHAINS = chains()
+
+
 def garbled(word: str) -> dict[str, list[int]]:
     """Every garbled form of a word and the chains that give it."""
     forms: dict[str, list[int]] = {}
-    for k, (written, read, undefined, times) in enumerate(chains()):
+    raw: dict[str, bytes | None] = {}
+    for w in WRITTEN:
+        try:
+            raw[w] = word.encode(w)
+        except UnicodeError:
+            raw[w] = None
+    for k, (written, read, undefined, times) in enumerate(CHAINS):
+        if (b := raw[written]) is None:
+            continue
         try:
-            s = word
-            for _ in range(times):
+            s = b.decode(read, undefined)
+            if times == 2:
                 s = s.encode(written).decode(read, undefined)
         except UnicodeError:
             continue
-        if s != word and s:
-            forms.setdefault(s, []).append(k)
+        if s and s != word:
+            if s in forms:
+                forms[s].append(k)
+            else:
+                forms[s] = [k]
     return forms
 
 
-def _table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+TABLE = pa.schema([("form", pa.string()), ("word", pa.string()), ("n_words", pa.int64()), ("chains", pa.list_(pa.int32()))])
+
+
+def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``form, word, n_words, chains``: the first original and the number of originals in a batch, for the chains in which they are the same."""
     clean = re.compile(CLEAN)
     for b in batches:
-        originals: dict[str, dict[int, list]] = {}
-        for word in b["word"]:
+        originals: dict[str, list[tuple[str, list[int]]]] = {}
+        for word in b.column(0).to_pylist():
             for form, ks in garbled(word).items():
-                if clean.match(form):
-                    continue
-                known = originals.setdefault(form, {})
-                for k in ks:
-                    have = known.setdefault(k, [word, 0])
-                    have[0], have[1] = min(have[0], word), have[1] + 1
-        rows = []
+                if form in originals:
+                    originals[form].append((word, ks))
+                elif not clean.match(form):
+                    originals[form] = [(word, ks)]
+        rows: list[tuple[str, str, int, list[int]]] = []
         for form, known in originals.items():
+            if len(known) == 1:
+                rows.append((form, known[0][0], 1, known[0][1]))
+                continue
+            words: dict[int, list[str]] = {}
+            for word, ks in known:
+                for k in ks:
+                    words.setdefault(k, []).append(word)
             alike: dict[tuple[str, int], list[int]] = {}
-            for k, (word, n) in known.items():
-                alike.setdefault((word, n), []).append(k)
+            for k, ws in words.items():
+                alike.setdefault((min(ws), len(ws)), []).append(k)
             rows += [(form, word, n, ks) for (word, n), ks in alike.items()]
-        yield pd.DataFrame(rows, columns=["form", "word", "n_words", "chains"])
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, TABLE, strict=True)], schema=TABLE)
 
 
 def tokens_of(text: Column) -> Column:
@@ -145,7 +169,7 @@ def clean_words(tokens: DataFrame) -> DataFrame:
 
 
 #: Words that one task garbles.
-WORDS_A_TASK = 20_000
+WORDS_A_TASK = 2_500
 
 
 def garbled_tokens(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -153,7 +177,7 @@ def garbled_tokens(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     tokens = durable(corpus_tokens(df, id_col, fields))
     # the table is some thirty times its input, so its tasks are cut by the number of words and not by their bytes
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, tokens.where("clean").count() // WORDS_A_TASK + 1)
-    table = clean_words(tokens).repartition(tasks, "word").mapInPandas(_table, "form string, word string, n_words long, chains array<int>")
+    table = clean_words(tokens).repartition(tasks, "word").mapInArrow(_table, "form string, word string, n_words long, chains array<int>")
     suspects = tokens.where("not clean").select("doc_id", "field_name", "token")
     distinct = suspects.select("token").distinct()
     known = (
@@ -179,7 +203,7 @@ def garbled_fields(matches: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
 
 def ungarbled(token: str, chain: int) -> str | None:
     """The word that a chain garbled to ``token``; None where that is no clean word or not the only way back."""
-    written, read, undefined, times = chains()[chain]
+    written, read, undefined, times = CHAINS[chain]
     try:
         t = token
         for _ in range(times):
