@@ -3,7 +3,8 @@
 For each language a suffix automaton is built over a bounded sample of labelled text. A
 passage is parsed against each automaton into the longest pieces that occur in the sample;
 the language that needs the fewest pieces, normalised to bits by the sample's length and the
-passage's, wins, and the confidence is the second best language's share of the bits of both.
+passage's, wins, and the confidence is the share of the second best language, or of that bound
+where it is nearer, in the bits of both.
 
 The automata are dense transition tables, so that a task parses all passages of a batch in
 step with each other in NumPy: one table look-up for each language and character. Languages
@@ -15,6 +16,10 @@ of their id, cut to the same length for all languages of a script. Labels may be
 the automata are built twice, the second time from the sentences that the first ones give to
 their label. The sample is the only thing fitted; every document is then parsed whole.
 
+A passage that costs clearly more bits a letter than the language's letters taken one by one
+is told nothing by its pieces: it is of a language that is not known
+(``UNKNOWN``), and so is a document most of whose words are. Unknown passages are no cases.
+
 Passages are sentences of at least ``LEAST_WORDS`` words; names and shorter quotations belong
 to the passage around them. Garbled text is decoded first and counts as what it was. Null and
 empty texts, and texts without words of the known scripts, have no language.
@@ -41,6 +46,9 @@ LEAST_WORDS = 6
 #: How many more pieces the document's language must need before a passage is of another one.
 MARGIN, MARGIN_PIECES = 1.25, 3
 
+#: What passages in none of the languages are called, and how many times the entropy of a language's single letters it may cost a letter.
+UNKNOWN, UNLIKE = "und", 1.15
+
 #: The languages, by script.
 SCRIPTS = {"latin": ("en", "de", "fr"), "cyrillic": ("ru", "bg", "uk")}
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyzäöüßàâæçéèêëîïôœùûÿ", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ"}
@@ -169,6 +177,7 @@ class Model:
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages: dict[str, tuple[str, ...]] = {}
+        self.limits: dict[str, float] = {}
         self.tables: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
         for script, languages in SCRIPTS.items():
             coded = {}
@@ -181,8 +190,10 @@ class Model:
             n = min(map(len, coded.values()), default=0)
             alphabet = len(LETTERS[script]) + 1
             parts, offsets, at = [], [], 0
-            for v in coded.values():
+            for x, v in coded.items():
                 t = suffix_automaton(v[:n], alphabet)
+                share = np.bincount(v[:n]) / n
+                self.limits[x] = -UNLIKE * float(np.sum(share * np.log2(np.maximum(share, 1e-12))))
                 t[t >= 0] += at
                 parts.append(t)
                 offsets.append(at)
@@ -249,15 +260,14 @@ def _chains() -> list[tuple[str, str, int]]:
 def ungarble(s: str) -> list[str]:
     """The texts that a passage may have been before a wrong decoding, each of plain Cyrillic.
 
-    A chain is ruled out by the passage's first words alone before all of it is decoded.
+    A chain is ruled out at the first character that its encoding lacks or where its bytes
+    are no text; the share of good words is taken over the whole passage.
     """
-    head = s[:40].rsplit(" ", 1)[0]
     out = []
     for written, read, times in _chains():
-        if _decoded(head, written, read, times) is not None or not head.strip():
-            t = _decoded(s, written, read, times)
-            if t is not None and t not in out:
-                out.append(t)
+        t = _decoded(s, written, read, times)
+        if t is not None and t not in out:
+            out.append(t)
     return out
 
 
@@ -281,9 +291,22 @@ def _without_links(text: str) -> str:
     return text
 
 
-def decide(spans: list[tuple[int, int]], words: list[int], scripts: list[str], bits: list[dict[str, float]]) -> tuple[str | None, float, list[tuple[int, int, str, float]]]:
+def _sure(best: float, second: float, limit: float) -> float:
+    """Confidence in a language of ``best`` bits, against the next one or, where that is nearer, the bits at which none of them is meant."""
+    rival = min(second, max(limit, best))
+    return rival / (rival + best) if best > 0 else 0.5
+
+
+def decide(
+    spans: list[tuple[int, int]], words: list[int], scripts: list[str], bits: list[dict[str, float]], letters: list[int], limits: dict[str, float]
+) -> tuple[str | None, float, list[tuple[int, int, str, float]]]:
     """Language and confidence of a document, and its passages in runs of one language.
 
+    A passage of enough words that needs more bits a letter than ``limits`` allow is of none
+    of the languages (``UNKNOWN``). The confidence of a run is the mean of its passages',
+    weighted by their words; that of a document is held against the words of its other
+    scripts as well.
+
     Each script's own main language is the one with the fewest bits over all its passages; a
     passage is of another language of that script only if that needs clearly fewer pieces.
     """
@@ -299,32 +322,39 @@ def decide(spans: list[tuple[int, int]], words: list[int], scripts: list[str], b
     script = max(sizes, key=lambda k: (sizes[k], k))
     ranked = {k: sorted((v, x) for x, v in t.items()) for k, t in total.items()}
     main = ranked[script][0][1]
-    runs: list[tuple[int, int, str, float]] = []
-    for (a, z), n, k, b in zip(spans, words, scripts, bits, strict=True):
+    runs: list[list] = []
+    unknown = 0
+    for (a, z), n, k, b, m in zip(spans, words, scripts, bits, letters, strict=True):
         if not b:
             continue
         own = ranked[k][0][1]
         best = min((v, x) for x, v in b.items())[1]
+        limit = limits.get(best, np.inf) * m
         if n < LEAST_WORDS:
             best = runs[-1][2] if runs else main
+        elif b[best] > limit:
+            best = UNKNOWN
         elif best != own and b[own] < MARGIN * b[best] + MARGIN_PIECES * 15:
             best = own
         if best in b:
-            others = [v for x, v in b.items() if x != best]
-            sure = min(others) / (min(others) + b[best]) if others else 1.0
+            sure = _sure(b[best], min((v for x, v in b.items() if x != best), default=np.inf), limit)
         else:
             sure = 0.5
+        unknown += n * (best == UNKNOWN)
         if runs and runs[-1][2] == best:
-            p = runs[-1]
-            runs[-1] = (p[0], z, best, max(p[3], sure))
+            runs[-1][1:] = [z, best, runs[-1][3] + sure * n, runs[-1][4] + n]
         else:
-            runs.append((a, z, best, sure))
-    first, second = ranked[script][0][0], ranked[script][1][0] if len(ranked[script]) > 1 else ranked[script][0][0] * 2
-    return main, second / (second + first), runs
+            runs.append([a, z, best, sure * n, n])
+    out = [(a, z, x, c / n if n else 0.5) for a, z, x, c, n in runs]
+    if 2 * unknown > sum(sizes.values()):
+        return UNKNOWN, unknown / sum(sizes.values()), out
+    inside = sum(m for m, k, b in zip(letters, scripts, bits, strict=True) if k == script and b)
+    first, second = ranked[script][0][0], ranked[script][1][0] if len(ranked[script]) > 1 else np.inf
+    return main, _sure(first, second, limits.get(main, np.inf) * inside) * max(sizes[script], 1) / max(sum(sizes.values()), 1), out
 
 
-def passage_bits(texts: list[str], model: Model) -> tuple[list[list[tuple[int, int]]], np.ndarray, list[str], list[dict[str, float]]]:
-    """Passages of every text with their words, scripts and bits; garbled ones by their likeliest reading."""
+def passage_bits(texts: list[str], model: Model) -> tuple[list[list[tuple[int, int]]], np.ndarray, list[str], list[dict[str, float]], list[int]]:
+    """Passages of every text with their words, scripts, bits and coded letters; garbled ones by their likeliest reading."""
     blank = [_without_links(t) for t in texts]
     spans = [passages_of(t) for t in blank]
     laid = Text(blank)
@@ -337,36 +367,40 @@ def passage_bits(texts: list[str], model: Model) -> tuple[list[list[tuple[int, i
     # of a passage that quotes the other script, the words of its own count
     words = np.maximum(words * np.maximum(cyr, lat) // np.maximum(cyr + lat, 1), words > 0)
     bits: list[dict[str, float]] = [{} for _ in scripts]
+    letters = [0] * len(scripts)
     flat = [t[a:z] for t, ps in zip(blank, spans, strict=True) for a, z in ps] if upset.any() else []
     readings = {int(i): r for i in np.flatnonzero(upset) if (r := ungarble(flat[i]))}
     for k, names in model.languages.items():
         mine = [i for i, x in enumerate(scripts) if x == k and i not in readings and let[i]]
-        rows = model.bits(k, [laid.coded(k, int(starts[i]), int(ends[i])) for i in mine])
-        for i, r in zip(mine, rows.tolist(), strict=True):
-            bits[i] = dict(zip(names, r, strict=True))
+        coded = [laid.coded(k, int(starts[i]), int(ends[i])) for i in mine]
+        rows = model.bits(k, coded)
+        for i, r, c in zip(mine, rows.tolist(), coded, strict=True):
+            bits[i], letters[i] = dict(zip(names, r, strict=True)), len(c)
     if readings:
         keys = [(i, t) for i, ts in readings.items() for t in ts]
         plain = Text([t for _, t in keys])
         at = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in keys])])
-        rows = model.bits("cyrillic", [plain.coded("cyrillic", int(at[j]), int(at[j + 1])) for j in range(len(keys))])
+        coded = [plain.coded("cyrillic", int(at[j]), int(at[j + 1])) for j in range(len(keys))]
+        rows = model.bits("cyrillic", coded)
         best: dict[int, float] = {}
-        for (i, t), r in zip(keys, rows.tolist(), strict=True):
+        for (i, t), r, c in zip(keys, rows.tolist(), coded, strict=True):
             if r and min(r) < best.get(i, np.inf):
                 best[i] = min(r)
+                letters[i] = len(c)
                 bits[i] = dict(zip(model.languages["cyrillic"], r, strict=True))
                 scripts[i] = "cyrillic"
                 words[i] = len(_WORDS.findall(t))
-    return spans, words, scripts, bits
+    return spans, words, scripts, bits, letters
 
 
 def identify(texts: list[str | None], model: Model) -> list[tuple[str | None, float, list[tuple[int, int, str, float]]]]:
     """Language, confidence and passages of every text."""
-    spans, words, scripts, bits = passage_bits([t or "" for t in texts], model)
+    spans, words, scripts, bits, letters = passage_bits([t or "" for t in texts], model)
     out, k = [], 0
     words = words.tolist()
     for ps in spans:
         n = k + len(ps)
-        out.append(decide(ps, words[k:n], scripts[k:n], bits[k:n]))
+        out.append(decide(ps, words[k:n], scripts[k:n], bits[k:n], letters[k:n], model.limits))
         k = n
     return out
 
@@ -390,7 +424,7 @@ def fit(df: DataFrame, text_col: str, label_col: str, id_col: str, docs: int = S
     for h, other in ((0, halves[1]), (1, halves[0])):
         for x, mine in texts.items():
             part = mine[h::2]
-            spans, words, _, bits = passage_bits(part, other)
+            spans, words, _, bits, _ = passage_bits(part, other)
             flat = [t[a:z] for t, ps in zip(part, spans, strict=True) for a, z in ps]
             kept.setdefault(x, []).extend(s for s, n, b in zip(flat, words, bits, strict=True) if n >= LEAST_WORDS and b and min(b, key=lambda k: b[k]) == x)
     return Model(kept)
@@ -409,8 +443,8 @@ def _documents(batches: Iterator[pd.DataFrame], model, what: str) -> Iterator[pd
                 elif what == "documents":
                     rows.append((doc, main, sure))
                 elif main is not None:
-                    languages = {x for _, _, x, _ in runs} | ({main} if not runs else set())
-                    if len(languages) > 1 or label_language(label) != next(iter(languages)):
+                    languages = ({x for _, _, x, _ in runs} | ({main} if not runs else set())) - {UNKNOWN}
+                    if languages and (len(languages) > 1 or label_language(label) != next(iter(languages))):
                         rows += [(doc, x) for x in sorted(languages)]
             columns = {"segments": ["doc_id", "start", "end", "language", "confidence"], "documents": ["doc_id", "language", "confidence"], "cases": ["doc_id", "found_lang"]}
             yield pd.DataFrame(rows, columns=columns[what])

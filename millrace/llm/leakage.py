@@ -24,14 +24,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.lookalikes import character_table, one_form
+from millrace.llm.lookalikes import one_form
 
 RUN = 8
 SHARE = 0.5
@@ -47,8 +47,8 @@ _BROKEN = re.compile(r"([^\W\d_]+)-[ ]*\n\s*([^\W\d_]+)")
 _LABEL = re.compile(r"(?m)^\s*\(?[A-Za-z1-9][.):]\s+")
 
 
-def _prepared(text: str, table: dict[int, str]) -> str:
-    t = _JOIN_DIGITS.sub("", one_form(text, table).lower())
+def _prepared(text: str) -> str:
+    t = _JOIN_DIGITS.sub("", one_form(text).lower())
     return _JOIN_GROUPS.sub(lambda m: m[1] + m[2].replace(" ", ""), t)
 
 
@@ -57,9 +57,9 @@ def _apart(text: str) -> str:
     return text.replace("'", "").replace("’", "")
 
 
-def item_words(text: str, table: dict[int, str]) -> list[str]:
+def item_words(text: str) -> list[str]:
     """Words of an item without its option labels."""
-    return _WORD.findall(_apart(_prepared(_LABEL.sub(" ", text), table)))
+    return _WORD.findall(_apart(_prepared(_LABEL.sub(" ", text))))
 
 
 @dataclass
@@ -77,11 +77,10 @@ class Phrases:
 
 
 def phrases_of(items: list[tuple[int, str]]) -> Phrases:
-    table = character_table()
     vocabulary: dict[str, int] = {}
     rows, item_ids, starts, before, words_of = [], [], [], [], {}
     for item, text in items:
-        words = item_words(text or "", table)
+        words = item_words(text or "")
         words_of[item] = len(words)
         kept = [len(w) > 1 for w in words]
         index = np.concatenate([[0], np.cumsum(kept)]).astype(int)
@@ -220,28 +219,36 @@ def chain(matches: list[tuple[int, int]], kept_before: dict[int, int]) -> tuple[
             r = [i, i, p, diagonal]
             open_[diagonal] = r
             runs.append(r)
-    runs.sort()
-    best: list[tuple[int, int]] = []
-    for k, (a, b, p, g) in enumerate(runs):
+    runs.sort(key=lambda r: (r[2], r[0], r[1]))
+    # of the chains that end at each window so far, the best; a run takes its part after such a window in one step over the item
+    windows = max(r[1] for r in runs) + 1
+    best = np.full(windows, -1, dtype=np.int64)
+    last = np.full(windows, -1, dtype=np.int64)
+    at = np.arange(windows)
+    links: list[int] = []
+    gains: list[int] = []
+    for k, (a, b, _, _) in enumerate(runs):
         gain, link = b + RUN - a, -1
-        for m in range(k):
-            a2, b2, p2, g2 = runs[m]
-            if p2 <= p and b2 < b:
-                overlap = max(0, b2 + RUN - a)
-                if best[m][0] + b + RUN - a - overlap > gain:
-                    gain, link = best[m][0] + b + RUN - a - overlap, m
-        best.append((gain, link))
-    top = max(range(len(best)), key=lambda k: best[k][0])
+        if b:
+            joined = np.where(best[:b] < 0, -1, best[:b] + b + RUN - np.maximum(a, at[:b] + RUN))
+            top = int(joined.argmax())
+            if joined[top] > gain:
+                gain, link = int(joined[top]), int(last[top])
+        links.append(link)
+        gains.append(gain)
+        if gain > best[b]:
+            best[b], last[b] = gain, k
+    top = max(range(len(runs)), key=lambda k: gains[k])
     spans, k = [], top
     while k >= 0:
         spans.append((runs[k][2], runs[k][1] - runs[k][0] + 1))
-        k = best[k][1]
-    return best[top][0], spans[::-1]
+        k = links[k]
+    return gains[top], spans[::-1]
 
 
-def _stretches(text: str, table: dict[int, str], vocabulary: dict[str, int], shortest: int) -> list[tuple[int, list[int]]]:
+def _stretches(text: str, vocabulary: dict[str, int], shortest: int) -> list[tuple[int, list[int]]]:
     """(first word's place, word ids) of the stretches of alphabet words in a document."""
-    t = _apart(_prepared(text, table))
+    t = _apart(_prepared(text))
     if "-" in t and "\n" in t:
         t = _BROKEN.sub(lambda m: m[1] + m[2] if m[1] + m[2] in vocabulary else m[0], t)
     get = vocabulary.get
@@ -282,14 +289,14 @@ def _reports(block: list[tuple[int, int, list[int]]], ph: Phrases) -> pd.DataFra
 
 
 def _search(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
-    ph, table = shared.value
+    ph = shared.value
     block: list[tuple[int, int, list[int]]] = []
     size = 0
     for b in batches:
         for doc, text in zip(b["doc_id"], b["text"], strict=True):
             if not text:
                 continue
-            new = [(doc, p, v) for p, v in _stretches(text, table, ph.vocabulary, ph.shortest)]
+            new = [(doc, p, v) for p, v in _stretches(text, ph.vocabulary, ph.shortest)]
             grown = sum(len(v) + 1 for _, _, v in new)
             if block and size + grown > BLOCK_WORDS:
                 yield _reports(block, ph)
@@ -299,8 +306,22 @@ def _search(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
     yield _reports(block, ph)
 
 
-def leaked_items(df: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, n_words, item_words, spans``: every document and item it repeats; spans are ``first word+words``."""
+#: Items whose phrases one broadcast may hold.
+SHARD_ITEMS = 20_000
+
+
+def leaked_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "item_text", shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """``doc_id, item_id, n_words, item_words, spans``: every document and item it repeats; spans are ``first word+words``.
+
+    The items are counted before any is collected; beyond ``shard_items`` they are cut into
+    shards by a hash of the item, each of which is searched in a pass of its own.
+    """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    shared = df.sparkSession.sparkContext.broadcast((phrases_of(items), character_table()))
-    return rows.mapInPandas(partial(_search, shared=shared), "doc_id long, item_id long, n_words long, item_words long, spans array<string>")
+    wanted = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null")
+    shards = wanted.count() // shard_items + 1
+    parts = []
+    for k in range(shards):
+        own = wanted.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k).orderBy("item", "text").collect()
+        shared = df.sparkSession.sparkContext.broadcast(phrases_of([(r[0], r[1]) for r in own]))
+        parts.append(rows.mapInPandas(partial(_search, shared=shared), "doc_id long, item_id long, n_words long, item_words long, spans array<string>"))
+    return reduce(DataFrame.unionByName, parts)

@@ -110,9 +110,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Every document and item it holds, with the words matched and the spans to be removed."""
-    # held-out items are few by definition and do not grow with the corpus
-    items = [(r[0], r[1]) for r in table(spark, d, "heldout_items").select("item_id", "item_text").collect()]
-    return leakage.leaked_items(table(spark, d, "documents").select("doc_id", "text"), items)
+    return leakage.leaked_items(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "heldout_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,6 +121,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_looking_pairs(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a look-alike: its class, the digest of the form, and the number of its look-alikes."""
+    return lookalikes.same_looking_classes(table(spark, d, "documents"))
+
+
 def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     """Every text in its one form."""
     return lookalikes.normalise_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
@@ -146,6 +149,7 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
     "p10_found": p10_found,
+    "p10_classes": p10_classes,
     "p10_texts": p10_texts,
 }
 SQL: dict[str, str] = {}

@@ -53,6 +53,31 @@ def test_one_form():
         assert lookalikes.one_form(a) != lookalikes.one_form(b), (a, b)
 
 
+def test_transducer_against_whole_text():
+    """The clusters' forms one after another are the form of the whole text, mapped and composed."""
+    table = lookalikes.character_table()
+    pool = list("aeoiuAEеоаЕйё\u0456\u0439 -\t\n1") + [chr(k) for k in (0xE9, 0x1D8, 0x1EC7, 0x301, 0x308, 0x327, 0x323, 0x345, 0x200B, 0xAD, 0xFE0F, 0x1100, 0x1161, 0x11A8, 0xAC01, 0xFB01, 0xFF21, 0x9C7, 0x9BE, 0x1F600)]
+    random.seed(7)
+    for _ in range(20_000):
+        s = "".join(random.choices(pool, k=random.randint(0, 9)))
+        assert lookalikes.one_form(s) == unicodedata.normalize("NFC", unicodedata.normalize("NFD", s.translate(table))), [hex(ord(c)) for c in s]
+    with pytest.raises(ValueError):
+        lookalikes.cluster_rules.cache_clear()
+        old = lookalikes.character_table
+        try:
+            lookalikes.character_table = lambda: {**table, ord("\u00e9"): "f", ord("f"): "g"}
+            lookalikes.cluster_rules()
+        finally:
+            lookalikes.character_table = old
+
+
+def test_same_looking_classes(spark):
+    d = docs(spark, [(1, "cop", None), (2, "\u0441\u043e\u0440", None), (3, "cop", None), (4, "other", None), (5, "other", None), (6, None, None), (7, "", None)])
+    assert rows(lookalikes.same_looking_classes(d).select("doc_id", "class", "n_links")) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+    assert rows(lookalikes.same_looking_pairs(d)) == [(1, 2), (2, 3)]
+    assert lookalikes.same_looking_classes(docs(spark, [])).count() == 0
+
+
 def test_form_is_stable():
     table = lookalikes.character_table()
     assert not any(ord(c) in table for form in table.values() for c in form)
@@ -102,14 +127,31 @@ def test_unrestorable(spark):
     assert mojibake.restore(docs(spark, []), "doc_id", fields).count() == 0
 
 
+def test_garbled_capitals_and_shared_forms(spark):
+    """Words in capitals are found where their small letters are a clean word; a form keeps every chain that gives it."""
+    clean = "новости города опубликованы сегодня утром редакцией газеты"
+    d = docs(spark, [(1, clean, None), (2, "НОВОСТИ ГОРОДА".encode("utf-8").decode("latin-1"), None), (3, "НОВОСТИ ГОРОДА", None)])
+    assert rows(mojibake.garbled_fields(mojibake.garbled_tokens(d, "doc_id", ["body_ru"])).select("doc_id")) == [(2,)]
+    forms = mojibake.garbled("новости")
+    chains = mojibake.chains()
+    assert len(forms) < sum(map(len, forms.values()))
+    for form, ks in forms.items():
+        for k in ks:
+            written, read, undefined, times = chains[k]
+            s = "новости"
+            for _ in range(times):
+                s = s.encode(written).decode(read, undefined)
+            assert s == form
+
+
 # leakage
 
 ITEM = "By 2021, because timber had become scarce, Delidund had exchanged copper coins for painted tiles. Later copies name Togund of Pellam, yet 709 tanners remembered Valot. Pluskihis counted 22,377 woollen coats and hid 758 more under a toll gate.\nA. 12.5 units\nB. 13.5 units"
 
 
-def found(spark, texts, items):
+def found(spark, texts, items, shard=leakage.SHARD_ITEMS):
     d = docs(spark, list(zip(range(len(texts)), texts, [None] * len(texts), strict=True)))
-    return rows(leakage.leaked_items(d, items).select("doc_id", "item_id"))
+    return rows(leakage.leaked_items(d, spark.createDataFrame(items, "item_id long, item_text string"), shard_items=shard).select("doc_id", "item_id"))
 
 
 def test_leakage(spark):
@@ -122,6 +164,7 @@ def test_leakage(spark):
     bare = ITEM.replace(",", "").replace("\nA.", " ").replace("\nB.", " ")
     texts = ["x. " + ITEM + " y", wrapped, replaced, half, quote, others, shuffled, bare, None, "", "word " * 50_000, ITEM + ITEM]
     assert found(spark, texts, [(7, ITEM)]) == [(i, 7) for i in (0, 1, 2, 3, 7, 11)]
+    assert found(spark, texts, [(7, ITEM), (8, "other words " * 9)], 1) == [(i, 7) for i in (0, 1, 2, 3, 7, 11)]
     assert found(spark, texts, []) == [] and found(spark, [], [(7, ITEM)]) == []
     assert found(spark, [ITEM], [(1, None), (2, ""), (3, ITEM), (4, ITEM)]) == [(0, 3), (0, 4)]
 
@@ -143,15 +186,42 @@ def test_index_against_scan():
             assert sorted(zip(which.tolist(), (places - fm.starts[which]).tolist(), strict=True)) == expected
 
 
+def test_chain_against_brute_force():
+    random.seed(5)
+    for _ in range(300):
+        before = {i: i for i in range(30)}
+        matches = [(i + k, p + k) for i, p in ((random.randint(0, 20), random.randint(0, 60)) for _ in range(6)) for k in range(random.randint(1, 6))]
+        words, spans = leakage.chain(matches, before)
+        runs, open_ = [], {}
+        for i, p in sorted(set(matches)):
+            r = open_.get(p - i)
+            if r and i == r[1] + 1:
+                r[1] = i
+            else:
+                r = open_[p - i] = [i, i, p]
+                runs.append(r)
+        top = {}
+
+        def best(k):
+            if k not in top:
+                a, b, p = runs[k]
+                top[k] = max([b + leakage.RUN - a, *(best(m) + b + leakage.RUN - max(a, runs[m][1] + leakage.RUN) for m in range(len(runs)) if runs[m][1] < b and (runs[m][2], runs[m][0], runs[m][1]) < (p, a, b))])
+            return top[k]
+
+        assert words == max(map(best, range(len(runs))))
+    before = {i: i for i in range(300)}
+    words, spans = leakage.chain([(i, 500 * n + i) for n in range(300) for i in range(100)], before)
+    assert words == 107 and len(spans) == 1
+
+
 def test_blocks_do_not_matter(spark, monkeypatch):
     texts = ["x " + ITEM, "nothing here", ITEM.lower(), ITEM[:300]]
     whole = found(spark, texts, [(1, ITEM)])
     ph = leakage.phrases_of([(1, ITEM)])
     monkeypatch.setattr(leakage, "BLOCK_WORDS", 30)
-    table = lookalikes.character_table()
 
     class Shared:
-        value = (ph, table)
+        value = ph
 
     import pandas as pd
 
@@ -214,6 +284,16 @@ def test_language_cases(spark, data):
     assert [s[3] for s in segments] == ["en", "ru"] and all(0 <= s[4] <= 1 for s in segments)
 
 
+def test_unknown_language(spark, data):
+    folder = data.replace("sf0.001", "sf0.01")
+    base = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "language")
+    finnish = "Kaupungin asukkaat odottivat eilen illalla junaa, joka ei koskaan saapunut perille. Pormestari lupasi kaikille matkustajille nopeaa ratkaisua tähän hankalaan asiaan."
+    polish = "Wczoraj wieczorem mieszkańcy miasta czekali na przyjazd pociągu, który nigdy nie nadjechał. Burmistrz obiecał wszystkim podróżnym szybkie rozwiązanie tej sprawy."
+    extra = docs(spark, [(-1, finnish, None), (-2, polish, "PL")]).select("doc_id", "text", "language")
+    got = {r[0]: r[1] for r in languages.label_languages(base.unionByName(extra), "documents").where("doc_id < 0").select("doc_id", "language").collect()}
+    assert got == {-1: languages.UNKNOWN, -2: languages.UNKNOWN}
+
+
 def test_languages_empty(spark):
     empty = docs(spark, [])
     for what in ("cases", "segments", "documents"):
