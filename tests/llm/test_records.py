@@ -158,24 +158,46 @@ def test_overlap_copies_and_empty(spark):
     assert near(spark, []) == []
 
 
-def test_prefix_join_is_whole(spark):
-    """Against all pairs: every pair of questions that verification accepts and whose words are alike enough is found."""
+@pytest.mark.parametrize("common", [500, 3])
+def test_prefix_join_is_whole(spark, common):
+    """Against all pairs: every pair that verification accepts is found, whether a word is common or not."""
     random.seed(5)
-    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
-    data = []
-    for i in range(60):
-        words = random.sample(vocabulary, 14)
-        data.append((i, "train", " ".join(words), None))
-        changed = [w for w in words if random.random() > 0.12]
-        data.append((1000 + i, "dev", " ".join(changed), None))
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)] + ["not", "7", "the"]
+    questions, rows_ = [], []
+    for _ in range(45):
+        words = random.choices(vocabulary, weights=[1 / (1 + k) for k in range(len(vocabulary))], k=random.choice([1, 2, 3, 4, 5, 8, 14]))
+        for _ in range(3):
+            questions.append([w for w in words if random.random() > 0.2] + random.choices(vocabulary[:9], k=random.randint(0, 2)))
+    for k, q in enumerate(questions):
+        rows_.append((f"{k:04d}", " ".join(q), {"a": random.choice(["yes it is", "yes it was", "no"])}, k % 3 != 0, k % 3 == 0))
+    d = spark.createDataFrame(rows_, "class string, question string, options map<string,string>, in_train boolean, in_eval boolean")
     expected = set()
-    for i, s, q, _ in data:
-        for j, t, p, _ in data:
-            if (s, t) == ("dev", "train"):
-                a, b = q.split(), p.split()
-                if len(set(a) & set(b)) / len(set(a) | set(b)) >= split_overlap.THRESHOLD and split_overlap.same_sense(a, b, {}):
-                    expected.add((i, j))
-    assert set(near(spark, data)) == expected
+    for x in rows_:
+        for y in rows_:
+            if x[4] and y[3] and x[1] and y[1]:
+                a, b = split_overlap.told(x[1].split()), split_overlap.told(y[1].split())
+                oa, ob = ([split_overlap.told(o.split(), True) for o in z[2].values()] for z in (x, y))
+                if split_overlap.same_sense(a, b) and split_overlap.same_options(oa, ob):
+                    expected.add((x[0], y[0]))
+    assert len(expected) > 60
+    assert set(rows(split_overlap.near_classes(d, common))) == expected
+
+
+def test_overlap_at_any_size(spark):
+    """A pair is judged alike in a small table and in one a hundred times larger."""
+    pair = [(1, "train", "The lender must compute annual yield of bonds before the term ends", OPTIONS), (2, "dev", "The lender must compyte annul return of bonds before the term ends", OPTIONS)]
+    other = [(100 + i, ("train", "dev")[i % 2], f"The lender must compute yield return of bonds {i} before the {chr(97 + i % 26)}{chr(97 + i // 26)} term", OPTIONS) for i in range(200)]
+    small, large = near(spark, pair), near(spark, pair + other)
+    assert small == [(2, 1)] and [p for p in large if p[0] == 2] == small
+    assert near(spark, [(1, "train", "compute annual yield of bonds", OPTIONS), (2, "dev", "compyte annul yield of bonds", OPTIONS)]) == [(2, 1)]
+
+
+def test_names_by_their_capitals():
+    assert split_overlap.told("¶ Klidror Hotels buys bonds from Pellam ¶ What is due".split()).names == [True, True, False, False, False, True, False, False, False]
+    assert set(split_overlap.told("all small letters here".split()).names) == {None} == set(split_overlap.told("ALL LARGE LETTERS HERE".split()).names)
+    a, b = split_overlap.told("A firm in Pellam sells bonds".split()), split_overlap.told("a firm in harrow sells bonds".split())
+    assert not split_overlap.same_sense(a, b)
+    assert split_overlap.same_sense(split_overlap.told("A Pellam firm discovers gold".split()), split_overlap.told("a pellam firm finds gold".split()))
 
 
 @pytest.mark.parametrize("text,out", [("A-5, b -5.2%", ["a", "5", "b", "-5.2%"]), ("loan–to–value $1 234.50!", ["loan", "to", "value", "$1234.50"]), ("", []), (None, [])])
