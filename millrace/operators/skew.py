@@ -15,6 +15,7 @@ results. Extra columns are pruned; only the named ones are read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,40 +59,44 @@ def roll_up(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def keyed_statistics(facts: DataFrame, dimensions: dict[str, DataFrame], value: Column) -> DataFrame:
-    """``key_name, key_id, n_rows, n_values, total, known, n_copies`` for every value of each key column.
+    """``key_name, key_id, n_joined, n_values, total, n_copies`` for every value of each key column.
 
-    ``dimensions`` maps a key column of ``facts`` to a table with the same column; the
-    states of the facts are joined to the states of that table.
+    ``dimensions`` maps a key column of ``facts`` to a table with the same column. The facts
+    are read once, for all keys together; their states are joined to the states of the tables,
+    and ``n_joined`` is the rows that the row-level left join would give: rows of the facts
+    times rows of the table, one for a key that it lacks. Sums over the facts alone divide by
+    that factor again.
     """
-    parts = []
-    for key, dim in dimensions.items():
-        copies = dim.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-        states = key_states(facts, [key], value)
-        parts.append(
-            states.join(copies, F.col(key) == F.col("_k"), "left").select(
-                F.lit(key).alias("key_name"),
-                F.col(key).cast("long").alias("key_id"),
-                "n_rows",
-                "n_values",
-                "total",
-                F.coalesce(F.col("_c"), F.lit(0)).alias("n_copies"),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key_name"), F.col(k).cast("long").alias("key_id")) for k in dimensions]))
+    states = key_states(facts.select(each.alias("_k"), value.alias("_v")).select("_k.key_name", "_k.key_id", "_v"), ["key_name", "key_id"], F.col("_v"))
+    tables = reduce(DataFrame.unionByName, [dim.select(F.lit(k).alias("_n"), F.col(k).cast("long").alias("_i")) for k, dim in dimensions.items()])
+    copies = tables.where("_i is not null").groupBy("_n", "_i").agg(F.count(F.lit(1)).alias("_c"))
+    return states.hint("merge").join(copies.hint("merge"), (F.col("key_name") == F.col("_n")) & (F.col("key_id") == F.col("_i")), "left").select(
+        "key_name",
+        "key_id",
+        (F.col("n_rows") * F.coalesce("_c", F.lit(1))).alias("n_joined"),
+        "n_values",
+        "total",
+        F.coalesce("_c", F.lit(0)).alias("n_copies"),
+    )
+
+
+def fact_rows() -> Column:
+    """Rows of the facts alone in a result of :func:`keyed_statistics`."""
+    return (F.col("n_joined") / F.greatest("n_copies", F.lit(1))).cast("long")
 
 
 def heavy_keys(statistics: DataFrame, share: float) -> DataFrame:
     """``key_name, key_id`` of the non-null keys that hold at least ``share`` of all rows of their column.
 
-    The total of a column is the sum of its states, null key included; the comparison joins
-    one row per key column.
+    The total of a column is rolled up from its joined states, null key included; the
+    comparison joins one row per key column.
     """
-    totals = statistics.groupBy(F.col("key_name").alias("_n")).agg(F.sum("n_rows").alias("_all"))
+    held = statistics.select("key_name", "key_id", fact_rows().alias("_rows"))
+    totals = held.groupBy(F.col("key_name").alias("_n")).agg(F.sum("_rows").alias("_all"))
     return (
-        statistics.join(F.broadcast(totals), F.col("key_name") == F.col("_n"))
-        .where(F.col("key_id").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("_all")))
+        held.join(F.broadcast(totals), F.col("key_name") == F.col("_n"))
+        # in one condition over both sides, so that both read the same states
+        .where(F.when(F.col("key_id").isNotNull(), F.col("_rows")) >= F.lit(share) * F.col("_all"))
         .select("key_name", "key_id")
     )
