@@ -64,10 +64,10 @@ NAME_FIELDS = ["author", "publisher"]
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Every spelling that has variants, with a class for its person or house and the number of spellings linked to it."""
+    """Every spelling that has variants, with a class for its person or house, the number of spellings linked to it and its best link's rarity."""
     c = name_variants.variant_classes(table(spark, d, "books").select(*NAME_FIELDS), NAME_FIELDS)
-    n = c.groupBy("class").agg((F.count(F.lit(1)) - 1).alias("n_links"))
-    return c.join(n, "class").select("field_name", "name", "class", "n_links")
+    n = c.groupBy("field_name", "class").agg((F.count(F.lit(1)) - 1).alias("n_links"))
+    return c.hint("merge").join(n.hint("merge"), ["field_name", "class"]).select("field_name", "name", "class", "n_links", "score")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
