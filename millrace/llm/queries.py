@@ -25,8 +25,7 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mapped_users(spark: SparkSession, d: str) -> DataFrame:
-    # the reference list is small by definition and does not grow with the data
-    reference = [(r[0], r[1]) for r in table(spark, d, "countries").select("country_code", "country_name").collect()]
+    reference = value_mapping.reference_list(table(spark, d, "countries"), "country_code", "country_name")
     users = table(spark, d, "users").select("user_id", "country")
     return value_mapping.map_values(users, F.col("country"), reference, "country_code", value_mapping.country_names(spark, reference))
 

@@ -81,6 +81,17 @@ US_STATES = (
     "texas|utah|vermont|virginia|washington|west virginia|wisconsin|wyoming"
 )
 
+#: States and provinces of other large countries, but for names that several countries have.
+OTHER_STATES = {
+    "IN": "andhra pradesh|arunachal pradesh|assam|bihar|chhattisgarh|goa|gujarat|haryana|himachal pradesh|jharkhand|karnataka|kerala|madhya pradesh|maharashtra|manipur|meghalaya|mizoram|nagaland|odisha|rajasthan|sikkim|tamil nadu|telangana|tripura|uttar pradesh|uttarakhand|west bengal",
+    "BR": "acre|alagoas|amapa|bahia|ceara|espirito santo|goias|maranhao|mato grosso|mato grosso do sul|minas gerais|para|paraiba|parana|pernambuco|piaui|rio de janeiro|rio grande do norte|rio grande do sul|rondonia|roraima|santa catarina|sao paulo|sergipe|tocantins",
+    "CN": "anhui|fujian|gansu|guangdong|guangxi|guizhou|hainan|hebei|heilongjiang|henan|hubei|hunan|inner mongolia|jiangsu|jiangxi|jilin|liaoning|ningxia|qinghai|shaanxi|shandong|shanxi|sichuan|tibet|xinjiang|yunnan|zhejiang",
+    "MX": "aguascalientes|baja california|campeche|chiapas|chihuahua|coahuila|colima|durango|guanajuato|guerrero|jalisco|michoacan|morelos|nayarit|nuevo leon|oaxaca|puebla|queretaro|quintana roo|san luis potosi|sinaloa|sonora|tabasco|tamaulipas|tlaxcala|veracruz|yucatan|zacatecas",
+}
+
+#: Entries of a reference list that may be brought to the driver to build its trees.
+MOST_ENTRIES = 2_000_000
+
 #: Languages whose names of the countries are taken from the JVM's locale data.
 LANGUAGES = "en de fr es it pt nl ru bg uk pl cs sk sl hr sr hu ro sv nb da fi et lv lt el tr sq mk is ga ca zh ja ko hi ar fa he af vi th ka hy az kk".split()
 
@@ -234,8 +245,31 @@ class Matcher:
         return out
 
 
-def country_names(spark: SparkSession, reference: list[tuple[str, str]]) -> dict[str, str]:
-    """Other names of the reference countries, by code and locale data; names of several countries are left out."""
+def reference_list(df: DataFrame, code: str, name: str) -> list[tuple[str, str]]:
+    """(code, name) of a reference table, whose size is checked before it is brought to the driver."""
+    n = df.count()
+    if n > MOST_ENTRIES:
+        raise ValueError(f"{n} entries are too many for trees built on the driver; cut the list by a hash and keep the nearest of its parts' winners")
+    return [(r[0], r[1]) for r in df.where(F.col(code).isNotNull() & F.col(name).isNotNull()).select(code, name).orderBy(code, name).collect()]
+
+
+def _cities(spark: SparkSession, codes: set[str]) -> dict[str, set[str]]:
+    """The places after which time zones are called, and the country of each, from the JVM's locale data."""
+    icu = spark._jvm.com.ibm.icu
+    zones, names = icu.util.TimeZone, icu.text.TimeZoneNames.getInstance(icu.util.ULocale("en"))
+    out: dict[str, set[str]] = {}
+    for zone in zones.getAvailableIDs(getattr(zones, "SystemTimeZoneType").CANONICAL_LOCATION, None, None):
+        if (code := zones.getRegion(zone)) in codes and (place := names.getExemplarLocationName(zone)):
+            out.setdefault(normal(place.split(",")[0]), set()).add(code)
+    return out
+
+
+def country_names(spark: SparkSession, reference: list[tuple[str, str]], places: dict[str, str] | None = None) -> dict[str, str]:
+    """Other names of the reference countries, by code, locale data and places in them; names of several countries are left out.
+
+    ``places`` is a gazetteer of one's own, from place to code, which goes before all but the
+    reference's own names.
+    """
     locale = spark._jvm.java.util.Locale
     others: dict[str, set[str]] = {}
     languages = [locale(x) for x in LANGUAGES]
@@ -248,8 +282,17 @@ def country_names(spark: SparkSession, reference: list[tuple[str, str]]) -> dict
         for n in map(normal, names):
             if n:
                 others.setdefault(n, set()).add(code)
+    codes = {code for code, _ in reference}
+    parts = _cities(spark, codes)
+    for code in codes & set(OTHER_STATES):
+        for n in OTHER_STATES[code].split("|"):
+            parts.setdefault(n, set()).add(code)
+    for n, of in parts.items():  # a country's name goes before a place of that name
+        if n and n not in others:
+            others[n] = of
     own = {normal(name): code for code, name in reference}
-    return {n: next(iter(c)) for n, c in others.items() if len(c) == 1 and n not in own} | own
+    given = {normal(n): c for n, c in (places or {}).items() if c in codes}
+    return {n: next(iter(c)) for n, c in others.items() if len(c) == 1} | given | own
 
 
 def _look_up(values: Iterator[pd.Series], shard) -> Iterator[pd.Series]:

@@ -80,6 +80,17 @@ def test_country_values(spark):
     assert value_mapping.map_values(d.limit(0), F.col("country"), [], "code", {}).count() == 0
 
 
+def test_country_parts(spark):
+    """Places come from the locale's time zones, the states of large countries and a gazetteer of one's own."""
+    reference = [*REFERENCE, ("IN", "India"), ("CN", "China"), ("MX", "Mexico"), ("BR", "Brazil"), ("JP", "Japan")]
+    names = value_mapping.country_names(spark, reference, {"Gantry Point": "JP", "Germany": "BR", "elsewhere": "XX"})
+    d = spark.createDataFrame([(x,) for x in ("Maharashtra", "Guangdong, China", "Jalisco", "Bahia", "Kolkata", "Tokyo", "gantry point", "Germany", "elsewhere")], "country string")
+    got = [r[1] for r in value_mapping.map_values(d, F.col("country"), reference, "code", names).collect()]
+    assert got == ["IN", "CN", "MX", "BR", "IN", "JP", "JP", "DE", "NONE"]
+    small = spark.createDataFrame([("US", "United States"), (None, "x"), ("DE", None)], "c string, n string")
+    assert value_mapping.reference_list(small, "c", "n") == [("US", "United States")]
+
+
 def test_bk_tree_is_whole():
     random.seed(7)
     word = lambda: "".join(random.choice("abcd") for _ in range(random.randint(3, 9)))
