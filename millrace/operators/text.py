@@ -42,8 +42,16 @@ def ngrams(tokens: Column, n: int = 2) -> Column:
 
 
 def term_counts(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """``id, term, tf``; map tasks count what they can, so a term that every document holds stays spread by document."""
-    return df.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``id, term, tf``, counted within each row: equal words lie side by side in the sorted list, so no token is shuffled to be counted."""
+
+    def runs(words: Column) -> Column:
+        # where a run of equal words begins, and the length of the list behind the last
+        starts = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i == 0) | (i == F.size(words)) | (F.get(words, i) != F.get(words, i - 1)))
+        ends = F.slice(starts, 2, F.size(starts))
+        return F.zip_with(F.slice(starts, 1, F.size(starts) - 1), ends, lambda a, z: F.struct(F.get(words, a).alias("term"), (z - a).cast("long").alias("tf")))
+
+    listed = F.get(F.transform(F.array(F.array_sort(tokens)), lambda w: F.when(F.size(w) > 0, runs(w))), F.lit(0))
+    return df.select(id_col, F.explode(listed).alias("_t")).select(id_col, "_t.term", "_t.tf")
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -69,30 +77,31 @@ def _equals(word: str):
 def bm25(df: DataFrame, id_col: str, fields: dict[str, float], query: list[str], share: float = 0.0) -> DataFrame:
     """``id, score``: best field's boosted BM25 for documents that hold at least ``share`` of the query's words in it.
 
-    Only the query's words are counted; frequencies and mean length of every field come from
-    one aggregate row, so no postings are shuffled to a word that a third of the corpus holds.
+    For a corpus that is searched once; ``search_index`` is for one that is searched often.
+    Every field is cut into words once and leaves a length and a count for each word of the
+    query; those are written, and frequencies, mean lengths and scores come from them, so no
+    posting is shuffled to a word that a third of the corpus holds.
     """
     need = max(1, math.floor(share * len(query)))
-    best: list[Column] = []
-    counted = df
+
+    def counts(tok: Column) -> Column:
+        return F.struct(F.size(tok).cast("double").alias("len"), *[F.size(F.filter(tok, _equals(q))).cast("double").alias(f"tf_{i}") for i, q in enumerate(query)])
+
+    # through an array of one, so that the words of a field are made once and not for each count
+    counted = durable(df.select(id_col, *[F.get(F.transform(F.array(terms(F.col(f))), counts), F.lit(0)).alias(f"_{k}") for k, f in enumerate(fields)]))
     stats = []
-    for f in fields:
-        tok = terms(F.col(f))
-        counted = counted.withColumn(f"_len_{f}", F.size(tok).cast("double"))
-        for i, q in enumerate(query):
-            counted = counted.withColumn(f"_tf_{f}_{i}", F.size(F.filter(tok, _equals(q))).cast("double"))
-            stats.append(F.sum((F.col(f"_tf_{f}_{i}") > 0).cast("double")).alias(f"_df_{f}_{i}"))
-        has = F.col(f"_len_{f}") > 0
-        stats += [F.sum(has.cast("double")).alias(f"_n_{f}"), F.avg(F.when(has, F.col(f"_len_{f}"))).alias(f"_avg_{f}")]
-    counted = counted.select(id_col, *[c for c in counted.columns if c.startswith(("_len_", "_tf_"))])
-    total = counted.agg(*stats)
-    both = counted.crossJoin(F.broadcast(total))  # one row
-    for f, boost in fields.items():
+    for k in range(len(fields)):
+        length = F.col(f"_{k}.len")
+        stats += [F.sum((length > 0).cast("double")).alias(f"n_{k}"), F.avg(F.when(length > 0, length)).alias(f"avg_{k}")]
+        stats += [F.sum((F.col(f"_{k}.tf_{i}") > 0).cast("double")).alias(f"df_{k}_{i}") for i in range(len(query))]
+    both = counted.crossJoin(F.broadcast(counted.agg(*stats)))  # one row
+    best: list[Column] = []
+    for k, boost in enumerate(fields.values()):
         score, hits = F.lit(0.0), F.lit(0)
         for i in range(len(query)):
-            tf, n, d = F.col(f"_tf_{f}_{i}"), F.col(f"_n_{f}"), F.col(f"_df_{f}_{i}")
+            tf, n, d = F.col(f"_{k}.tf_{i}"), F.col(f"n_{k}"), F.col(f"df_{k}_{i}")
             idf = F.log(1.0 + (n - d + 0.5) / (d + 0.5))
-            score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"_len_{f}") / F.col(f"_avg_{f}")))).otherwise(0.0)
+            score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"_{k}.len") / F.col(f"avg_{k}")))).otherwise(0.0)
             hits = hits + (tf > 0).cast("int")
         best.append(F.when(hits >= need, score * boost).otherwise(0.0))
     return both.select(id_col, (F.greatest(*best) if len(best) > 1 else best[0]).alias("score")).where("score > 0")

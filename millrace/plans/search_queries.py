@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog import table
 from millrace.functions import normalize as N
-from millrace.operators import relational, text
+from millrace.operators import relational, search_index, text
+from millrace.session import checkpoint_folder
 
 QUERY = ["annual", "report", "exports"]
 FIELDS = {"EN": {"title_en": 3.0, "body_en": 1.0}, "RU": {"title_ru": 3.0, "body_ru": 1.0}}
@@ -95,9 +99,60 @@ def text_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("p.left", "p.right").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _index(spark: SparkSession, d: str) -> str:
+    """Folder of an index of the documents, built where there is none of these files yet."""
+    status = search_index._files(spark, d).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet"))
+    stamp = hashlib.md5(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}".encode()).hexdigest()
+    folder = f"{checkpoint_folder(spark)}/index-{stamp}"
+    if not search_index.manifest(spark, folder)["segments"]:
+        search_index.build(_docs(spark, d), folder, dict.fromkeys(fields_for("ALL"), "plain"), stored=["path", "language"])
+    return folder
+
+
+def index_best_fields(spark: SparkSession, d: str) -> DataFrame:
+    """``bm25_best_fields`` from postings: only those of the query's terms are read."""
+    return search_index.search(spark, _index(spark, d), " ".join(QUERY), fields_for("ALL"), size=None).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def index_min_match(spark: SparkSession, d: str) -> DataFrame:
+    return search_index.search(spark, _index(spark, d), " ".join(QUERY), fields_for("EN"), 0.7, size=None).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def index_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a phrase, from the places in the postings."""
+    return search_index.phrase(spark, _index(spark, d), "annual report on exports", list(fields_for("ALL"))).select(F.col("doc").alias("doc_id"), "field", F.size("places").alias("n"))
+
+
+def index_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best hits of misspelt words, each counted as its best expansion, with what is stored of them."""
+    folder = _index(spark, d)
+    hits = search_index.search(spark, folder, "anual repart exprots", fields_for("ALL"), fuzzy=True)
+    return search_index.documents(spark, folder).join(F.broadcast(hits), "doc").select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "path", "language")  # ten rows
+
+
+def index_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """A search of stems: English and Russian analysers over their own fields."""
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    kinds = {f: "english" if f.endswith("_en") else "russian" for f in fields_for("ALL")}
+    search_index.build(_docs(spark, d), folder, kinds)
+    return search_index.search(spark, folder, "annual reports exporting экспорта", fields_for("ALL"), size=None).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Articles by ``id``: those fetched first are indexed, all are upserted, and the latest of each stands."""
+    docs = _docs(spark, d).select("id", "doc_id", "fetched_at", "title_en", "body_en").where("id is not null")
+    newest = [F.col("fetched_at").isNull(), F.negative(F.unix_micros(F.col("fetched_at").cast("timestamp"))), F.negative("doc_id")]
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    search_index.build(docs, folder, dict.fromkeys(("title_en", "body_en"), "plain"), "id", order=[F.col("fetched_at").isNull(), F.col("fetched_at"), F.col("doc_id")])
+    search_index.upsert(docs, folder, newest)
+    search_index.compact(spark, folder, search_index.latest(docs, "id", newest))
+    return search_index.search(spark, folder, " ".join(QUERY), fields_for("EN"), size=None).select(F.col("doc").alias("id"), F.round("score", 6).alias("score"))
+
+
+INDEX_QUERIES = (index_best_fields, index_min_match, index_phrase, index_fuzzy, index_stemmed, index_upsert)
 QUERIES = {
     f.__name__: f
-    for f in (search_docs, latest_by_key, bm25_search, bm25_best_fields, min_should_match, search_top, phrase_search, fuzzy_terms, more_like_this, highlight, cooccurrence, text_cooccurrence)
+    for f in (search_docs, latest_by_key, bm25_search, bm25_best_fields, min_should_match, search_top, phrase_search, fuzzy_terms, more_like_this, highlight, cooccurrence, text_cooccurrence, *INDEX_QUERIES)
 }
 
 _CUT = "[^a-z0-9а-яёіїєґ]+"
@@ -107,16 +162,16 @@ def _words(f: str, least: int = 2) -> str:
     return f"list_filter(string_split_regex(lower(coalesce({f}, '')), '{_CUT}'), lambda x: length(x) >= {least})"
 
 
-def _bm25_sql(fields: dict[str, float], words: list[str], need: int, source: str = "documents") -> str:
+def _bm25_sql(fields: dict[str, float], words: list[str], need: int, source: str = "documents", key: str = "doc_id") -> str:
     parts = []
     for f, boost in fields.items():
         parts.append(f"""
-        select doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * {boost} as s from (
-          select w.doc_id, q.term, len(list_filter(w.w, lambda x: x = q.term)) as tf, len(w.w) as dl from (select doc_id, {_words(f)} as w from {source}) w, (select unnest({words!r}) as term) q) t
+        select {key}, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * {boost} as s from (
+          select w.{key}, q.term, len(list_filter(w.w, lambda x: x = q.term)) as tf, len(w.w) as dl from (select {key}, {_words(f)} as w from {source}) w, (select unnest({words!r}) as term) q) t
         join (select term, ln(1.0 + (n - df + 0.5) / (df + 0.5)) as idf from (select q.term, count(*) filter (list_contains(w, q.term)) as df, any_value(n) as n from (select {_words(f)} as w from {source}), (select unnest({words!r}) as term) q,
              (select count(*) filter (len({_words(f)}) > 0) as n from {source}) group by 1)) using (term), (select avg(len({_words(f)})) filter (len({_words(f)}) > 0) as avgdl from {source})
-        where tf > 0 group by doc_id having count(*) >= {need}""")
-    return "select doc_id, max(s) as score from (" + " union all ".join(parts) + ") group by 1"
+        where tf > 0 group by {key} having count(*) >= {need}""")
+    return f"select {key}, max(s) as score from (" + " union all ".join(parts) + ") group by 1"
 
 
 _PIECES = "list_transform(range(0, cast(greatest(floor((length(coalesce({0}, '')) - 1) / 160), 0) as int) + 1), lambda i: substring({0}, i * 160 + 1, 160))"
@@ -134,7 +189,13 @@ def _fuzzy_sql(word: str) -> str:
 
 
 _PHRASE = "contains(' ' || array_to_string({0}, ' ') || ' ', ' annual report on exports ')"
+_LATEST = "(select * from (select *, row_number() over (partition by id order by fetched_at desc nulls last, doc_id desc) as _n from documents where id is not null) where _n = 1)"
+_PHRASE_PLACES = "len(list_filter(range(1, len({0}) - 2), lambda i: array_to_string({0}[i:i + 3], ' ') = 'annual report on exports'))"
 SQL = {
+    "index_best_fields": f"select doc_id, round(score, 6) as score from ({_bm25_sql(fields_for('ALL'), QUERY, 1)})",
+    "index_min_match": f"select doc_id, round(score, 6) as score from ({_bm25_sql(fields_for('EN'), QUERY, 2)})",
+    "index_phrase": "select * from (" + " union all ".join(f"select doc_id, '{f}' as field, {_PHRASE_PLACES.format('w')} as n from (select doc_id, {_words(f)} as w from documents)" for f in fields_for("ALL")) + ") where n > 0",
+    "index_upsert": f"select id, round(score, 6) as score from ({_bm25_sql(fields_for('EN'), QUERY, 1, _LATEST, 'id')})",
     "search_docs": r"""select doc_id, upper(string_split(path, '/')[1]) || ':' || path as key,
         coalesce(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\v\f\r\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{1680}\x{85}\x{B}]+|[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{1680}\x{85}\x{B}]+$', '', 'g')), lambda x: x <> '')[1], regexp_extract(path, '([^/]+)\.txt$', 1)) as title,
         length(regexp_replace(text, '^[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{1680}\x{85}\x{B}]+|[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{1680}\x{85}\x{B}]+$', '', 'g')) as n_body from documents where text is not null""",
