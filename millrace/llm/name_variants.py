@@ -149,9 +149,9 @@ def parts_of(name: str, reach: int) -> set[str]:
     return out
 
 
-def misspelt(name: str) -> set[str]:
-    """Rewritings of which two names within :func:`reach_of` edits share one."""
-    n, depth = len(name), reach_of(len(name))
+def misspelt(name: str, most: int = 2) -> set[str]:
+    """Rewritings of which two names within :func:`reach_of` edits, or ``most``, share one."""
+    n, depth = len(name), min(most, reach_of(len(name)))
     out = {name}
     if n <= SHORT:
         out |= shortened(name, depth)
@@ -220,15 +220,16 @@ def rewritings(field: str, family: str, given: str, initials: list[str]) -> set[
     """Every canonical form of a reading.
 
     House: misspellings of its own name. Person: first letter and misspellings of the family;
-    for a misspelt first letter the last one and misspellings of the family; the family and
-    misspellings of the given name and of those it stands for.
+    for a misspelt first letter the last one and misspellings of the family by one edit, as
+    two names are not both judged by two; the family and misspellings of the given name and of
+    those it stands for.
     """
     if field == "publisher":
         return {f"h|{s}" for s in misspelt(family)}
     families = misspelt(family)
     out = {f"i|{x}|{s}" for s in families for x in _first_letters(given, initials)}
     if given:
-        out |= {f"l|{given[-1]}|{s}" for s in families}
+        out |= {f"l|{given[-1]}|{s}" for s in misspelt(family, 1)} if len(given) > 2 else set()
         out |= {f"g|{family}|{s}" for g in {given} | MEANS.get(given, frozenset()) for s in (misspelt(g) | (shortened(g, 2) if 5 <= len(g) < 8 else set()))}
     return out
 
