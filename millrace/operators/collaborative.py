@@ -43,6 +43,23 @@ def item_adjusted_cosine(r: DataFrame, least: int = 3) -> DataFrame:
     return s.where(F.col("n") >= least).select("a", "b", "n", F.when((F.col("aa") > 1e-12) & (F.col("bb") > 1e-12), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0).alias("sim"))
 
 
+def item_cosine(r: DataFrame, least: int = 3) -> DataFrame:
+    """``a, b, n, sim`` of items with ``least`` shared users: the cosine of their columns of ratings, each over all its users."""
+    norm = r.groupBy("i").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("q"))
+    p = r.select(F.col("i").alias("a"), "u", F.col("r").alias("ra")).join(r.select(F.col("i").alias("b"), "u", F.col("r").alias("rb")), "u").where("a < b")
+    s = p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ra") * F.col("rb")).alias("ab")).where(F.col("n") >= least)
+    size = lambda x: norm.select(F.col("i").alias(x), F.col("q").alias(f"q{x}"))
+    both = F.col("qa") * F.col("qb")
+    return s.join(size("a"), "a").join(size("b"), "b").select("a", "b", "n", F.when(both > 1e-12, F.col("ab") / both).otherwise(0.0).alias("sim"))
+
+
+def predict_from_items(r: DataFrame, sims: DataFrame) -> DataFrame:
+    """``u, i, prediction``: the mean of the user's own ratings weighted by how alike the items are to ``i``."""
+    both = sims.select("a", "b", "sim").union(sims.select("b", "a", "sim")).toDF("j", "i", "sim").where("sim > 1e-6")
+    own = r.select("u", F.col("i").alias("j"), "r")
+    return own.join(both, "j").groupBy("u", "i").agg((F.sum(F.col("sim") * F.col("r")) / F.sum("sim")).alias("prediction"))
+
+
 def predict_from_users(r: DataFrame, sims: DataFrame) -> DataFrame:
     """``u, i, prediction``: own mean plus the weighted departures of positive neighbours who rated the item."""
     both = sims.select("a", "b", "sim").union(sims.select("b", "a", "sim")).toDF("u", "v", "sim").where("sim > 1e-6")

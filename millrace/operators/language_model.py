@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import durable
+
 
 def bigrams(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
     """``first, second, n`` of neighbouring words, from arrays, without a window over the corpus."""
@@ -127,3 +129,25 @@ def byte_pair_merges(unigrams: DataFrame, merges: int) -> list[tuple[str, str]]:
         step = lambda acc, x: F.when((F.size(acc) > 0) & (last(acc) == a) & (x == b), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.lit(a + b)))).otherwise(F.concat(acc, F.array(x)))
         words = durable(words.select(F.aggregate("s", empty, step).alias("s"), "c"))
     return out
+
+
+def beam(df: DataFrame, tokens: str, start: str, steps: int, width: int) -> DataFrame:
+    """``rank, words, logp``: the ``width`` likeliest goes-on of ``start`` by pairs of words, kept to that many at every step; a width of 1 is greedy.
+
+    Each word keeps its ``width`` likeliest followers beforehand, since no other can be among
+    the best that go on from one state. Equal ones are ordered by the words.
+    """
+    pairs = bigrams(df.withColumn("_id", F.lit(0)), "_id", tokens)
+    total = pairs.groupBy("first").agg(F.sum("n").alias("all"))
+    best = Window.partitionBy("first").orderBy(F.desc("n"), "second")
+    follow = pairs.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= width).join(total, "first").select(F.col("first").alias("last"), "second", F.log(F.col("n") / F.col("all")).alias("p"))
+    follow = durable(follow)
+    states = [(start, start, 0.0)]
+    for _ in range(steps):
+        now = df.sparkSession.createDataFrame(states, "words string, last string, logp double")
+        longer = F.broadcast(now).join(follow, "last")  # at most ``width`` rows
+        rows = longer.select(F.concat_ws(" ", "words", "second").alias("words"), F.col("second").alias("last"), (F.col("logp") + F.col("p")).alias("logp")).orderBy(F.desc(F.round("logp", 9)), "words").limit(width).collect()
+        if not rows:
+            break
+        states = [(r["words"], r["last"], r["logp"]) for r in rows]
+    return df.sparkSession.createDataFrame([(k + 1, w, p) for k, (w, _, p) in enumerate(states)], "rank int, words string, logp double")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
 from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, NGram, PCA, PCAModel, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
@@ -212,3 +215,70 @@ def run_registry(registry: Iterable[tuple[str, bool, Runner]], train: DataFrame,
     if out is None:
         raise ValueError("no model is enabled")
     return out
+
+
+#: Rounds of the online learners, and the factor of a Winnow step.
+ONLINE_ROUNDS, PROMOTION = 10, 1.5
+
+
+def _epoch(batches: Iterator[pd.DataFrame], weights: list[float], kind: str) -> Iterator[pd.DataFrame]:
+    """One pass over a task's rows from the round's weights; the weights it ends with and the rows it saw."""
+    w, n = np.array(weights), 0
+    for b in batches:
+        for x, y in zip(b["x"], b["y"], strict=True):
+            v = _online_input(np.asarray(x, dtype=float), kind)
+            said = _online_margin(v, w, kind) > 0
+            if kind == "perceptron" and said != bool(y):
+                w = w + (1 if y else -1) * v
+            elif kind == "winnow" and said != bool(y):
+                w = w * np.where(v > 0, PROMOTION if y else 1 / PROMOTION, 1.0)
+            n += 1
+    yield pd.DataFrame({"w": [w.tolist()], "n": [n]})
+
+
+def _online_input(v: np.ndarray, kind: str) -> np.ndarray:
+    """A perceptron reads the numbers and a constant; Winnow whether each is above and whether it is below zero."""
+    return np.append(v, 1.0) if kind == "perceptron" else np.concatenate([v > 0, v < 0]).astype(float)
+
+
+def _online_margin(v: np.ndarray, w: np.ndarray, kind: str) -> float:
+    return float(v @ w) - (len(w) / 2 if kind == "winnow" else 0.0)
+
+
+def fit_online(df: DataFrame, features: str, label: str, kind: str, rounds: int = ONLINE_ROUNDS) -> list[float]:
+    """Weights of a ``perceptron`` or ``winnow`` learner of labels 0 and 1 by parameter mixing.
+
+    Every round each task learns from its rows alone, from the same weights, and their results
+    are averaged by the rows they come from: a row a task reaches the driver, and the weights,
+    as many as features, go back.
+    """
+    if kind not in ("perceptron", "winnow"):
+        raise ValueError(f"no learner of kind {kind}")
+    first = df.select(F.size(features)).first()
+    width = first[0] if first else 0
+    weights = [0.0] * (width + 1) if kind == "perceptron" else [1.0] * (2 * width)
+    rows = df.select(F.col(features).alias("x"), F.col(label).alias("y"))
+    for _ in range(rounds):
+        parts = [r for r in rows.mapInPandas(partial(_epoch, weights=weights, kind=kind), "w array<double>, n long").collect() if r["n"]]
+        seen = sum(r["n"] for r in parts)
+        if seen:
+            weights = [sum(r["w"][k] * r["n"] for r in parts) / seen for k in range(len(weights))]
+    return weights
+
+
+def online_score(features: Column, weights: list[float], kind: str) -> Column:
+    """1 where the learner says so, else 0; by built-in expressions."""
+    w = F.array(*[F.lit(float(x)) for x in weights])
+    x = F.transform(features, lambda v: v.cast("double"))
+    if kind == "perceptron":
+        v, floor = F.concat(x, F.array(F.lit(1.0))), 0.0
+    else:
+        v, floor = F.concat(F.transform(x, lambda a: (a > 0).cast("double")), F.transform(x, lambda a: (a < 0).cast("double"))), len(weights) / 2
+    dot = F.aggregate(F.zip_with(v, w, lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
+    return (dot - floor > 0).cast("int")
+
+
+def tree_labels(df: DataFrame, features: str, label: str, depth: int = 5) -> DataFrame:
+    """``df`` with ``said``, the label by a decision tree fitted on it."""
+    x = df.withColumn("_x", array_to_vector(F.transform(features, lambda v: v.cast("double")))).withColumn("_y", F.col(label).cast("double"))
+    return DecisionTreeClassifier(featuresCol="_x", labelCol="_y", predictionCol="said", maxDepth=depth, seed=42).fit(x).transform(x).drop("_x", "_y", "rawPrediction", "probability")

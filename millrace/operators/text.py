@@ -70,6 +70,18 @@ def tfidf(counts: DataFrame, id_col: str, n_docs: int, min_df: int = 2, max_df:
     return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def term_weights(counts: DataFrame, id_col: str, n_docs: int) -> DataFrame:
+    """``id, term, raw, relative``: counts by the logarithm of rarity, and shares of the document's commonest term by the binary one.
+
+    Both sides of the join follow the data; the commonest count of a document is one row for it.
+    """
+    df = document_frequency(counts).select("term", "df")
+    most = counts.groupBy(id_col).agg(F.max("tf").alias("_most"))
+    rare = F.lit(float(n_docs)) / F.col("df")
+    t = counts.join(df, "term").join(most, id_col)
+    return t.select(id_col, "term", (F.col("tf") * F.log(rare)).alias("raw"), (F.col("tf") / F.col("_most") * F.log2(rare)).alias("relative"))
+
+
 def _equals(word: str):
     return lambda t: t == word
 
