@@ -6,9 +6,13 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 STRINGS = "array<string>"
 
+#: Fixed value: the format of a line that opens an option: a letter, a dot, bracket or colon, and its text.
+OPTION_LINE = r"^\s*([A-Za-z])[.):]\s*(.*)$"
+
 
 def strip(c: Column) -> Column:
     """All white space off both ends, tabs and line ends included."""
@@ -24,33 +28,41 @@ def label_from_index(i: Column) -> Column:
     return F.when(i.between(0, 25), F.chr(i + 97)).otherwise(F.concat(F.lit("option_"), (i + 1).cast("string")))
 
 
+def _counted(digits: Column) -> Column:
+    """Label of a number counted from 1, of any length; 0 stays 0."""
+    n = F.regexp_replace(digits, "^0+", "")
+    small = F.when(F.length(n) < 3, n.cast("int"))
+    return F.when(n == "", F.lit("a")).when(small <= 26, F.chr(small + 96)).otherwise(F.concat(F.lit("option_"), n))
+
+
 def candidate_to_label(candidate: Column, idx: Column) -> Column:
-    """Label of an option's key. First that fits: blank, ``(A)``/``A.``, a number counted from 1 (0 stays 0), a word's last letter, a last number, the index."""
+    """Label of an option's key. First that fits: blank, ``(A)``/``A.``/``A-``, a number counted from 1 (0 stays 0), a last letter, a last number, the index."""
     s = strip(F.coalesce(candidate, F.lit("")))
-    letter = F.regexp_extract(s, r"^\(?([A-Za-z])\)?[.):]?$", 1)
-    number = F.when(F.length(s) < 10, F.regexp_extract(s, r"^(\d+)$", 1)).otherwise("")
-    last_letter = F.regexp_extract(s, r"^(?:[A-Za-z]+[ _-]*)?([A-Za-z])$", 1)
-    last_number = F.regexp_extract(s, r"(\d{1,9})$", 1)
-    at = lambda n: label_from_index(F.greatest(n.cast("int") - 1, F.lit(0)))
+    letter = F.regexp_extract(s, r"^\(?([A-Za-z])[).:\-]?$", 1)
+    number = F.regexp_extract(s, r"^([0-9]+)$", 1)
+    last_letter = F.regexp_extract(F.lower(s), "([a-z])$", 1)
+    last_number = F.regexp_extract(s, "([0-9]+)$", 1)
     return (
         F.when(s == "", label_from_index(idx))
         .when(letter != "", F.lower(letter))
-        .when(number != "", at(F.nullif(number, F.lit(""))))
-        .when(last_letter != "", F.lower(last_letter))
-        .when(last_number != "", at(F.nullif(last_number, F.lit(""))))
+        .when(number != "", _counted(number))
+        .when(last_letter != "", last_letter)
+        .when(last_number != "", _counted(last_number))
         .otherwise(label_from_index(idx))
     )
 
 
 def parse_list(s: Column) -> Column:
-    """A list written as JSON, as a literal, or between commas; null and blank give an empty list."""
+    """A list written as JSON, as a literal with any brackets and quotes, or between commas; null and blank give an empty list."""
     parts = F.filter(F.transform(F.split(s, ","), strip), lambda x: x != "")
-    return F.when(F.coalesce(strip(s), F.lit("")) == "", F.array().cast(STRINGS)).otherwise(F.coalesce(F.from_json(s, STRINGS), parts))
+    listed = F.from_json(F.regexp_replace(s, r"(?s)^\s*\((.*?),?\s*\)\s*$", "[$1]"), STRINGS)
+    return F.when(F.coalesce(strip(s), F.lit("")) == "", F.array().cast(STRINGS)).otherwise(F.coalesce(listed, parts))
 
 
 def parse_choices(items: Column) -> Column:
-    """First ASCII letter of every item in lower case; items without one go, repeats stay."""
-    return F.filter(F.transform(items, lambda x: F.lower(F.regexp_extract(x, "[A-Za-z]", 0))), lambda x: x != "")
+    """Every item's only letter, or its first ASCII letter, in lower case; items without one go, repeats stay."""
+    letter = lambda x: F.when(strip(x).rlike(r"^\p{L}$"), F.lower(strip(x))).otherwise(F.lower(F.regexp_extract(x, "[A-Za-z]", 0)))
+    return F.filter(F.transform(items, letter), lambda x: x != "")
 
 
 def answer_letters(s: Column) -> Column:
@@ -59,15 +71,15 @@ def answer_letters(s: Column) -> Column:
 
 
 def gold_indices(s: Column) -> Column:
-    """Whole numbers of a list or text, each once, in order."""
-    found = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(r"-?\d{1,9}"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: x.cast("int")))
+    """The items of a list, as :func:`parse_list` reads it, that are whole numbers, each once, in order; signs count."""
+    whole = F.filter(F.transform(parse_list(s), strip), lambda x: x.rlike(r"^[+-]?[0-9]{1,18}$"))
+    return F.array_distinct(F.transform(whole, lambda x: x.cast("long")))
 
 
 def parse_option_map(text: Column) -> Column:
     """Options of a block of lines: ``A. text`` opens one, later lines go on with it, the last of equal labels wins, empty ones go."""
     kind = "array<struct<k:string,v:string>>"
-    header = r"^\s*([A-Za-z])[.):]\s*(.*)$"
+    header = OPTION_LINE
 
     def step(acc: Column, line: Column) -> Column:
         label, body = F.lower(F.regexp_extract(line, header, 1)), strip(F.regexp_extract(line, header, 2))
@@ -111,13 +123,103 @@ def gold_by_index(indices: Column, letters: Column, labels: Column) -> Column:
     return F.when(F.size(at) > 0, at).otherwise(F.array_intersect(letters, labels))
 
 
-def gold_generic(indices: Column, answer_indices: Column, answer: Column, labels: Column, options: Column) -> Column:
-    """Union of gold indices, answer indices, answer letters and an exact label; an option's text only if there is nothing else."""
-    text = normal_label(F.coalesce(answer, F.lit("")))
-    letters = F.when(F.length(text) <= 3, answer_letters(answer)).otherwise(F.array().cast(STRINGS))
-    found = F.array_distinct(F.filter(F.concat(indices_to_labels(indices, labels), indices_to_labels(answer_indices, labels), letters, F.array(text)), lambda x: F.array_contains(labels, x)))
-    by_text = F.transform(F.filter(F.map_entries(options), lambda e: normal_label(e["value"]) == text), lambda e: e["key"])
-    return F.when(F.size(found) > 0, found).otherwise(by_text)
+def gold_generic(gold: Column, answer: Column, labels: Column, options: Column) -> Column:
+    """Right labels of a question from its ``gold`` and ``answer``, each a number, a letter, a text, or a list of them as text.
+
+    The union of the gold's indices, the answer's indices, its letters and its items that are
+    labels, in that order; only if there is none, the labels of options whose text is an item
+    of the answer, the last of equal texts.
+    """
+    items = F.transform(parse_list(answer), normal_label)
+    found = F.concat(indices_to_labels(gold_indices(gold), labels), indices_to_labels(gold_indices(answer), labels), answer_letters(answer), items)
+    known = F.array_distinct(F.filter(found, lambda x: F.array_contains(labels, x)))
+    entries = F.map_entries(F.coalesce(options, F.create_map().cast("map<string,string>")))
+    by_text = F.transform(items, lambda t: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(entries, lambda e: normal_label(e["value"]) == t), lambda e: e["key"])), -1))
+    named = F.array_distinct(F.filter(by_text, lambda x: x.isNotNull() & F.array_contains(labels, x)))
+    return F.when(F.size(known) > 0, known).otherwise(named)
+
+
+#: What the text and the label of an option may be called, the first that is there.
+TEXT_NAMES = ("text", "value", "content", "option_text", "choice", "option")
+LABEL_NAMES = ("label", "key", "id", "option", "choice")
+
+
+def first_present(container: Column, names: tuple[str, ...], fields: list[str] | None = None) -> Column:
+    """The value under the first of ``names`` that is there, letter case aside; of keys equal but for case the last.
+
+    ``fields`` are the fields of a struct; without them the container is a map of strings, in
+    which a key that is there with a null gives null, and later names are not looked at.
+    """
+    if fields is not None:
+        known = {f.lower(): f for f in fields}
+        hit = next((known[n] for n in names if n in known), None)
+        return F.lit(None).cast("string") if hit is None else container[hit].cast("string")
+    keys = F.transform(F.map_keys(container), F.lower)
+    at = lambda n: F.get(F.map_values(container), F.size(keys) - F.array_position(F.reverse(keys), n).cast("int"))
+    out = F.lit(None).cast("string")
+    for n in reversed(names):
+        out = F.when(F.array_contains(keys, n), at(n)).otherwise(out)
+    return out
+
+
+def mixed_options(options: Column, kind: DataType, query: Column | None = None) -> Column:
+    """``labels, texts`` of options that come as a map, a list of maps or structs, a list of texts, or a text of any of these, by their type ``kind``.
+
+    Options of the query's block come first, in order of their labels, if ``query`` is given.
+    A list's item is an option of the label it names, of the letter its text begins with
+    (``A. text``), or of its place. The last text that is not blank stands; a label without
+    one has ``Option X`` by its place among the labels.
+    """
+    pair = "array<struct<k:string,v:string>>"
+    made = lambda k, v: F.struct(k.alias("k"), strip(F.coalesce(v.cast("string"), F.lit(""))).alias("v"))
+
+    def text_item(x: Column, i: Column) -> Column:
+        line = f"(?d){OPTION_LINE}"  # a text of several lines is no such line
+        head = F.regexp_extract(x, line, 1)
+        inline = made(F.lower(head), F.regexp_extract(x, line, 2))
+        return F.when(head != "", inline).otherwise(made(label_from_index(i), x))
+
+    if isinstance(kind, MapType):
+        inner = kind.valueType
+        names = TEXT_NAMES[:4] + ("option", "choice")
+        value = lambda v: first_present(v, names, inner.names) if isinstance(inner, StructType) else first_present(v, names) if isinstance(inner, MapType) else v
+        entries = F.transform(F.map_entries(options), lambda e, i: made(candidate_to_label(e["key"], i), value(e["value"])))
+    elif isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, MapType)):
+        fields = kind.elementType.names if isinstance(kind.elementType, StructType) else None
+        label = lambda x, i: candidate_to_label(F.coalesce(first_present(x, LABEL_NAMES, fields), (i + 1).cast("string")), i)
+        entries = F.transform(options, lambda x, i: made(label(x, i), first_present(x, TEXT_NAMES, fields)))
+    else:
+        items = options if isinstance(kind, ArrayType) else parse_list(options)
+        entries = F.filter(F.transform(F.transform(items, strip), lambda x, i: F.when(x != "", text_item(x, i))), lambda e: e.isNotNull())
+    entries = F.coalesce(entries.cast(pair), F.array().cast(pair))
+    if query is not None:
+        block = parse_option_map(query)
+        entries = F.concat(F.transform(F.array_sort(F.map_keys(block)), lambda k: F.struct(k.alias("k"), F.try_element_at(block, k).alias("v"))).cast(pair), entries)
+
+    def told(e: Column) -> Column:
+        labels = F.array_distinct(F.transform(e, lambda x: x["k"]))
+        texts = F.transform(labels, lambda k, i: F.coalesce(F.try_element_at(F.transform(F.filter(e, lambda x: (x["k"] == k) & (x["v"] != "")), lambda x: x["v"]), F.lit(-1)), F.concat(F.lit("Option "), F.upper(label_from_index(i)))))
+        return F.struct(labels.alias("labels"), F.map_from_arrays(labels, texts).alias("texts"))
+
+    return F.get(F.transform(F.array(entries), told), F.lit(0))
+
+
+def english_only(sheet: Column, key: Column) -> Column:
+    """Whether a row is of the English part: by its sheet where it has one, else by an id that does not begin with ``zh_``."""
+    name = normal_label(F.coalesce(sheet, F.lit("")))
+    return F.when(name != "", name == "english").otherwise(~F.startswith(strip(F.coalesce(key, F.lit(""))), F.lit("zh_")))
+
+
+def answer_prompt(question: Column, labels: Column, options: Column) -> Column:
+    """The text that asks a language model for one letter: question, one line for each option, and the word before the answer."""
+    lines = F.transform(labels, lambda k: F.concat(F.upper(k), F.lit(". "), F.coalesce(strip(F.try_element_at(options, k)), F.lit(""))))
+    head = "You are answering a financial multiple-choice question.\nExactly one option is correct. Return only one option letter."
+    return F.concat(F.lit(f"{head}\n\nQuestion:\n"), question, F.lit("\n\nOptions:\n"), F.array_join(lines, "\n"), F.lit("\n\nAnswer:"))
+
+
+def title_and_text(title: Column, text: Column) -> Column:
+    """Title and text as one document, nulls as nothing."""
+    return strip(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
 
 
 def matches_question_type(kind: Column, required: str) -> Column:

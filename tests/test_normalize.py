@@ -12,11 +12,43 @@ def values(spark, rows, schema, column):
 def test_candidate_to_label(spark):
     rows = [("(A)", 0), ("B.", 0), ("2", 0), ("1", 0), ("0", 0), ("27", 0), ("option_c", 0), ("opt 3", 0), ("Answer", 0), ("", 3), ("--", 2), (None, 1)]
     got = values(spark, rows, "c string, i int", N.candidate_to_label(F.col("c"), F.col("i")))
-    # a word of several letters has no letter of its own after a prefix: its last letter counts
+    # of a word the last letter counts
     assert got[:8] == ["a", "b", "b", "a", "a", "option_27", "c", "c"]
     assert got[8:] == ["r", "d", "c", "b"]
 
 
+def test_candidates_of_any_form(spark):
+    rows = [("a-", 5), ("12b", 5), ("option 2 b", 5), ("x" * 30 + "7", 5), ("9" * 40, 5), ("007", 5), ("é", 5), ("№ 12.", 3)]
+    assert values(spark, rows, "c string, i int", N.candidate_to_label(F.col("c"), F.col("i"))) == ["a", "b", "b", "g", "option_" + "9" * 40, "g", "f", "d"]
+
+
+def mixed(spark, rows, kind, query=None):
+    df = spark.createDataFrame(rows, f"o {kind}, q string")
+    out = df.select(N.mixed_options(F.col("o"), df.schema["o"].dataType, F.col("q") if query else None).alias("m")).collect()
+    return [(r["m"]["labels"], r["m"]["texts"]) for r in out]
+
+
+def test_mixed_options(spark):
+    rows = [({"A": " one "}, None), ({"(b)": None}, None), ({"3": ""}, None), (None, None), ({}, "A. x\nC. y")]
+    assert mixed(spark, rows, "map<string,string>") == [(["a"], {"a": "one"}), (["b"], {"b": "Option A"}), (["c"], {"c": "Option A"}), ([], {}), ([], {})]
+    assert mixed(spark, [({"B": "new"}, "C. y\nB. old"), ({"D": ""}, "C. y")], "map<string,string>", True) == [(["b", "c"], {"b": "new", "c": "y"}), (["c", "d"], {"c": "y", "d": "Option B"})]
+    assert mixed(spark, [(["A. one", " ", "two", None, "C: three"], None)], "array<string>") == [(["a", "c"], {"a": "one", "c": "three"})]
+    assert mixed(spark, [("['x', 'B) y']", None), ("p, q", None)], "string") == [(["a", "b"], {"a": "x", "b": "y"}), (["a", "b"], {"a": "p", "b": "q"})]
+    rows = [([{"Label": "c", "text": "t"}, {"value": "v"}, {"TEXT": None, "value": "no", "id": "9"}], None)]
+    assert mixed(spark, rows, "array<map<string,string>>") == [(["c", "b", "i"], {"c": "t", "b": "v", "i": "Option C"})]
+    rows = [([("d", "t"), (None, "u")], None)]
+    assert mixed(spark, rows, "array<struct<key:string,Content:string>>") == [(["d", "b"], {"d": "t", "b": "u"})]
+    assert mixed(spark, [({"A": ("x",)}, None)], "map<string,struct<choice:string>>") == [(["a"], {"a": "x"})]
+
+
+def test_parts_and_prompts(spark):
+    rows = [("English", "zh_1"), (" ENGLISH ", ""), ("chinese", "en_1"), (None, "zh_1"), ("", "en_1"), (None, None)]
+    assert values(spark, rows, "s string, i string", N.english_only(F.col("s"), F.col("i"))) == [True, True, False, False, True, True]
+    got = values(spark, [("Why?", {"a": "x"})], "q string, m map<string,string>", N.answer_prompt(F.col("q"), F.array(F.lit("a"), F.lit("b")), F.col("m")))
+    assert got[0].endswith("Question:\nWhy?\n\nOptions:\nA. x\nB. \n\nAnswer:")
+    assert values(spark, [("t", None), (None, "x"), (None, None)], "a string, b string", N.title_and_text(F.col("a"), F.col("b"))) == ["t", "x", ""]
+
+
 def test_parse_list(spark):
     rows = [(None,), ("",), ('["x","y"]',), ("['x','y']",), ("x, y,",), ("2",)]
     assert values(spark, rows, "s string", N.parse_list(F.col("s"))) == [[], [], ["x", "y"], ["x", "y"], ["x", "y"], ["2"]]
@@ -31,6 +63,8 @@ def test_choices_and_answers(spark):
 def test_gold_indices(spark):
     rows = [("[0, 2]",), ("2",), ("1,1",), ("x",), (None,)]
     assert values(spark, rows, "s string", N.gold_indices(F.col("s"))) == [[0, 2], [2], [1], [], []]
+    rows = [("(1, 2,)",), ("-1, +3, x4, 2.5",), ("option 2",), ("9" * 12,)]
+    assert values(spark, rows, "s string", N.gold_indices(F.col("s"))) == [[1, 2], [-1, 3], [], [int("9" * 12)]]
 
 
 def test_option_map(spark):
@@ -47,10 +81,11 @@ def test_indices_to_labels(spark):
 
 def test_gold(spark):
     labels = F.array(*[F.lit(x) for x in "abcd"])
-    none = F.array().cast("array<int>")
-    options = F.create_map(F.lit("a"), F.lit("Cash"), F.lit("b"), F.lit("Debt"))
-    rows = [("B",), ("debt",), ("zzz9",)]
-    assert values(spark, rows, "s string", N.gold_generic(none, none, F.col("s"), labels, options)) == [["b"], ["b"], []]
+    options = F.create_map(F.lit("a"), F.lit("Cash"), F.lit("b"), F.lit("9 units"), F.lit("c"), F.lit("Cash"))
+    rows = [(None, "B"), (None, "debt"), (None, "9 units"), ("[0]", "['c', 'zzz']"), (None, "[1, 'D']"), ("2", None), (None, None), ("x", "nothing!")]
+    got = values(spark, rows, "g string, s string", N.gold_generic(F.col("g"), F.col("s"), labels, options))
+    # letters anywhere in the answer count, an option's text only where nothing else does
+    assert got == [["b"], ["d", "b"], ["b"], ["a", "c"], ["b", "d"], ["c"], [], []]
     assert values(spark, [("c",)], "s string", N.gold_by_index(F.array(F.lit(9)), N.answer_letters(F.col("s")), labels)) == [["c"]]
 
 
