@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.relational import running_total
+
 
 def label_sets_equal(gold: Column, predicted: Column) -> Column:
     clean = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(F.trim(x))), lambda x: x != "")))
@@ -72,9 +74,9 @@ def ranked_quality(ranked: DataFrame, group: str, rank: str, gain: str, k: int =
 
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``df`` with the rank of ``value``, equal values sharing their mean rank; only distinct values are ordered."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    r = counts.select(F.col(value).alias("_v"), (F.sum("_c").over(Window.orderBy(value)) - (F.col("_c") - 1) / 2.0).alias(out))
+    """``df`` with the rank of ``value``, equal values sharing their mean rank; only distinct values are ordered, range by range."""
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    r = running_total(counts, "_v", "_c", "_upto").select("_v", (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(out))
     return df.join(r, F.col(value) == F.col("_v")).drop("_v")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,10 @@ def fit_biases(rows: DataFrame, rounds: int = ROUNDS, lambda_user: float = LAMBD
     """(mean, user biases, book biases) after alternating rounds of regularised means of residuals.
 
     Rows are first reduced to the sum and count of every (user, book), which is all that a
-    round needs: repeated rows and hot keys shrink before the loop. A bias table is written
+    round needs; a hot key still has a pair for each of its partners. The pairs are not laid
+    out by key, as that would put a hot key's pairs into one task: the bias table of the other
+    side is joined by broadcast while its measured size allows, else by a merge join that
+    adaptive execution splits, and sums leave each task once for each key. A bias table is written
     after each half round, so the plan does not grow and a lost executor costs one round.
     """
     mu = rows.agg(F.avg("rating")).first()[0] or 0.0
@@ -96,17 +101,31 @@ def enriched(rows: DataFrame, users: DataFrame, books: DataFrame) -> DataFrame:
 GROUPS = ("author", "publisher", "country", "age_bin", "year_bin")
 
 
+def group_means(base: DataFrame, keys: Sequence[str], mu: float) -> dict[str, DataFrame]:
+    """``key, key_mean, key_count`` of every one of ``keys``: smoothed means, all from one pass over ``base``."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("g"), F.col(k).cast("string").alias("v")) for k in keys]))
+    sums = durable(base.select(each.alias("_k"), "rating").groupBy("_k.g", "_k.v").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n")))
+    mean = (F.col("s") + F.lit(mu) * ALPHA) / (F.col("n") + ALPHA)
+    return {k: sums.where(F.col("g") == k).select(F.col("v").alias(f"_{k}"), mean.alias(f"{k}_mean"), F.col("n").alias(f"{k}_count")) for k in keys}
+
+
 def features(rows: DataFrame, fitted: DataFrame, users: DataFrame, books: DataFrame, biases: tuple[float, DataFrame, DataFrame]) -> DataFrame:
-    """Twenty features for every row, from statistics of the ``fitted`` rows."""
+    """Twenty features for every row, from statistics of the ``fitted`` rows.
+
+    What is known of a user - cleaned columns, bias, mean and count - is put together user by
+    user first, and so for books, so that the rows are joined once for each entity.
+    """
     mu, user, item = biases
-    base = enriched(fitted, users, books)
-    out = enriched(bias_predictions(rows, mu, user, item), users, books)
-    for key, name in (("user_id", "user"), ("book_id", "book")):
+    sides = []
+    for key, name, entity, bias in (("user_id", "user", users, user.withColumnRenamed("bias", "bias_user")), ("book_id", "book", books, item.withColumnRenamed("bias", "bias_item"))):
         s = fitted.groupBy(key).agg(F.avg("rating").alias(f"{name}_mean"), F.count(F.lit(1)).alias(f"{name}_count"))
-        out = out.join(s, key, "left")
-    for key in GROUPS:
-        s = smoothed(base, key, F.lit(mu)).withColumnsRenamed({"mean": f"{key}_mean", "n": f"{key}_count"})
-        out = out.join(s, key, "left")
+        sides.append(durable(entity.join(bias, key, "full").join(s, key, "full")))
+    base = enriched(fitted, users, books)
+    out = enriched(rows, *sides)
+    raw = F.lit(mu) + F.coalesce("bias_user", F.lit(0.0)) + F.coalesce("bias_item", F.lit(0.0))
+    out = out.withColumn("prediction", N.clip_rating(raw))
+    for key, s in group_means(base, GROUPS, mu).items():
+        out = out.join(s, F.col(key).cast("string") == F.col(f"_{key}"), "left").drop(f"_{key}")
     mean = lambda c: F.coalesce(c, F.lit(mu))
     count = lambda c: F.log1p(F.coalesce(c, F.lit(0)).cast("double"))
     zero = F.lit(0.0)

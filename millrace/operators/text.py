@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,33 +43,73 @@ def ngrams(tokens: Column, n: int = 2) -> Column:
     return out
 
 
-def term_counts(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """``id, term, tf``, counted within each row: equal words lie side by side in the sorted list, so no token is shuffled to be counted."""
+def _runs(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, term, count) of the different terms of each list, by one sort of the batch's codes."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    codes = pc.list_flatten(lists).dictionary_encode()
+    terms, at = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    key, count = np.unique(row * max(len(terms), 1) + at, return_counts=True)
+    return key // max(len(terms), 1), terms.take(pa.array(key % max(len(terms), 1))), count
+
+
+def _counts(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        row, term, count = _runs(b.column(1))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), term, pa.array(count)], names=[id_col, "term", "tf"])
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is derived once, however often it is used: through an array of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    def runs(words: Column) -> Column:
-        # where a run of equal words begins, and the length of the list behind the last
-        starts = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i == 0) | (i == F.size(words)) | (F.get(words, i) != F.get(words, i - 1)))
-        ends = F.slice(starts, 2, F.size(starts))
-        return F.zip_with(F.slice(starts, 1, F.size(starts) - 1), ends, lambda a, z: F.struct(F.get(words, a).alias("term"), (z - a).cast("long").alias("tf")))
+def with_ngrams(tokens: Column, n: int = 2) -> Column:
+    """Words and their neighbours joined, of words that are made once."""
+    return once(tokens, lambda w: F.concat(w, ngrams(w, n)))
 
-    listed = F.get(F.transform(F.array(F.array_sort(tokens)), lambda w: F.when(F.size(w) > 0, runs(w))), F.lit(0))
-    return df.select(id_col, F.explode(listed).alias("_t")).select(id_col, "_t.term", "_t.tf")
+
+def term_counts(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
+    """``id, term, tf``, counted within each row, so no token is shuffled to be counted."""
+    rows = df.select(id_col, tokens.alias("_w"))
+    return rows.mapInArrow(partial(_counts, id_col=id_col), f"{id_col} {rows.schema[0].dataType.simpleString()}, term string, tf long")
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
-def tfidf(counts: DataFrame, id_col: str, n_docs: int, min_df: int = 2, max_df: float = 0.8, max_features: int = 5000) -> DataFrame:
+def _weigh(batches: Iterator[pa.RecordBatch], id_col: str, vocabulary) -> Iterator[pa.RecordBatch]:
+    """Rows of unit length over the vocabulary's terms."""
+    known, idf = vocabulary.value
+    known = pa.array(known, pa.string())
+    for b in batches:
+        row, term, count = _runs(b.column(1))
+        at = pc.index_in(term, value_set=known)
+        keep = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        row, term, w = row[keep], term.filter(pa.array(keep)), count[keep] * idf[at.drop_null().to_numpy()]
+        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=b.num_rows))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), term, pa.array(w / norm[row])], names=[id_col, "term", "w"])
+
+
+#: Terms of a vocabulary that may be sent to every task.
+MOST_TERMS = 1_000_000
+
+
+def tfidf(df: DataFrame, id_col: str, tokens: Column, n_docs: int, min_df: int = 2, max_df: float = 0.8, max_features: int = 5000) -> DataFrame:
     """``id, term, w``: smoothed idf, rows of unit length, over the commonest terms.
 
-    The vocabulary has at most ``max_features`` rows, so joining it by broadcast is bounded.
+    One pass counts in how many rows each term is; the vocabulary, at most ``max_features``
+    terms, goes to every task, and a second pass weighs each row within itself, so only term
+    counts are shuffled.
     """
-    df = document_frequency(counts).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    vocabulary = df.orderBy(F.desc("total"), "term").limit(max_features).select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = counts.join(F.broadcast(vocabulary), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("w"))
+    if max_features > MOST_TERMS:
+        raise ValueError(f"{max_features} terms; the vocabulary sent to every task has at most {MOST_TERMS}")
+    common = document_frequency(term_counts(df, id_col, tokens)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.desc("total"), "term").limit(max_features)
+    found = common.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")).collect()
+    vocabulary = df.sparkSession.sparkContext.broadcast(([r[0] for r in found], np.array([r[1] for r in found], dtype=float)))
+    rows = df.select(id_col, tokens.alias("_w"))
+    return rows.mapInArrow(partial(_weigh, id_col=id_col, vocabulary=vocabulary), f"{id_col} {rows.schema[0].dataType.simpleString()}, term string, w double")
 
 
 def term_weights(counts: DataFrame, id_col: str, n_docs: int) -> DataFrame:
@@ -99,8 +141,7 @@ def bm25(df: DataFrame, id_col: str, fields: dict[str, float], query: list[str],
     def counts(tok: Column) -> Column:
         return F.struct(F.size(tok).cast("double").alias("len"), *[F.size(F.filter(tok, _equals(q))).cast("double").alias(f"tf_{i}") for i, q in enumerate(query)])
 
-    # through an array of one, so that the words of a field are made once and not for each count
-    counted = durable(df.select(id_col, *[F.get(F.transform(F.array(terms(F.col(f))), counts), F.lit(0)).alias(f"_{k}") for k, f in enumerate(fields)]))
+    counted = durable(df.select(id_col, *[once(terms(F.col(f)), counts).alias(f"_{k}") for k, f in enumerate(fields)]))
     stats = []
     for k in range(len(fields)):
         length = F.col(f"_{k}.len")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog import table
+from millrace.functions import normalize
 from millrace.operators import recommend, relational, text
 from millrace.session import durable
 
@@ -27,7 +28,7 @@ def _interactions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return relational.leave_last_out(recommend.eligible(_interactions(spark, d)), "person_id", [F.desc("ts"), F.desc("content_id")])
+    return relational.leave_last_out(recommend.eligible(_interactions(spark, d)), "person_id", ["ts", "content_id"])
 
 
 def interaction_strength(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +89,7 @@ def _vectors(spark: SparkSession, d: str, limit: int = 5000, min_df: int = 2, ma
     docs = articles(spark, d).where("lang = 'en'")
     n = docs.count()
     tokens = text.without_stop_words(text.terms(F.col("text")))
-    counts = text.term_counts(docs, "content_id", F.concat(tokens, text.ngrams(tokens)))
-    return text.tfidf(counts, "content_id", n, min_df, max_df, limit)
+    return text.tfidf(docs, "content_id", text.with_ngrams(tokens), n, min_df, max_df, limit)
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,7 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of neighbouring words of every English text, counted."""
     docs = articles(spark, d).where("lang = 'en'")
-    return text.term_counts(docs, "content_id", text.ngrams(text.terms(F.col("text"))))
+    return text.term_counts(docs, "content_id", text.once(text.terms(F.col("text")), lambda w: text.ngrams(w)))
 
 
 def term_doc_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -142,16 +142,28 @@ def rec_metrics(spark: SparkSession, d: str) -> DataFrame:
 def baseline_mrr(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal rank of the held-out item among the commonest items, a miss counting as the last place."""
     train, test = _split(spark, d)
-    popular = train.groupBy("content_id").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "content_id")))
+    counts = train.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"))
+    popular = relational.dense_ids(counts.withColumn("_o", F.struct(F.negative("n").alias("n"), "content_id")), "_o").select("content_id", (F.col("id") + 1).alias("rank"))
     n = popular.count()
     return test.join(popular, "content_id", "left").agg(F.round(F.avg(1.0 / F.coalesce("rank", F.lit(max(n, 1)))), 6).alias("mrr"))
 
 
+def document_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Title and body of every document as one text."""
+    return table(spark, d, "documents").select("doc_id", F.md5(normalize.title_and_text(F.coalesce("title_en", "title_ru"), F.coalesce("body_en", "body_ru"))).alias("text"))
+
+
+def recommend_with_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Recommendations with what is known of their articles; an unknown article keeps its row."""
+    known = table(spark, d, "documents").select(F.col("doc_id").alias("content_id"), "lang", F.coalesce("title_en", "title_ru").alias("title"))
+    return recommend_topn(spark, d).join(known, "content_id", "left").select("person_id", "content_id", "score", "lang", "title")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         interaction_strength, eligible_users, semi_join_eligible, leave_last_out_test, leave_last_out_train, right_join_articles, value_counts_lang, distinct_users,
-        activity_curve, score_histogram, random_split_train, tokens, ngrams, term_doc_freq, tfidf, tfidf_baseline, user_profiles, recommend_topn, rec_metrics, baseline_mrr,
+        activity_curve, score_histogram, random_split_train, tokens, ngrams, term_doc_freq, tfidf, tfidf_baseline, user_profiles, recommend_topn, rec_metrics, baseline_mrr, document_texts, recommend_with_articles,
     )
 }
 
@@ -210,7 +222,7 @@ SQL = {
     "activity_curve": "select n_events, count(*) as n_users from (select user_id, count(*) as n_events from events group by 1) group by 1",
     "score_histogram": f"""with {_I}, s as (select person_id, sum(strength) as total from inter group by 1), e as (select min(total) as lo, max(total) as hi from s)
         select cast(case when hi = lo then 0 else least(floor((total - lo) / ((hi - lo) / 100)), 99) end as int) as bin, count(*) as n from s, e group by 1""",
-    "random_split_train": f"""with {_I}, h as (select *, (((person_id * 100000 + content_id) % 1000003 + 13) * 2654435761) % 4294967296 as h from inter),
+    "random_split_train": f"""with {_I}, h as (select *, {relational.order_hash_sql('person_id * 100000 + content_id', 13)} as h from inter),
         r as (select *, row_number() over (partition by person_id order by h, person_id * 100000 + content_id) as r, count(*) over (partition by person_id) as n from h)
         select person_id, content_id, strength from r where r > round(n * 0.3)""",
     "tokens": f"with {_I}, {_TOK} select content_id, term, count(*) as tf from (select content_id, unnest(w) as term from tok) group by 1, 2",
@@ -224,6 +236,8 @@ SQL = {
         hit as (select t.person_id, min(rank) as first from test t left join ranked r on r.person_id = t.person_id and r.content_id = t.content_id group by 1)
         select round(avg(case when first <= 5 then 1.0 else 0.0 end), 6) as recall_at_5, round(avg(case when first <= 10 then 1.0 else 0.0 end), 6) as recall_at_10,
                round(avg(case when first <= 10 then 1.0 / first else 0.0 end), 6) as mrr_at_10, count(*) as persons from hit""",
+    "document_texts": "select doc_id, md5(regexp_replace(coalesce(title_en, title_ru, '') || ' ' || coalesce(body_en, body_ru, ''), '^[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}\\x{1680}\\x{85}\\x{B}]+|[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}\\x{1680}\\x{85}\\x{B}]+$', '', 'g')) as text from documents",
+    "recommend_with_articles": f"with {_I}, {_tfidf_sql(5000, 2, 0.8)}, {_PROFILE}, {_RANKED} select person_id, content_id, round(score, 5) as score, lang, coalesce(title_en, title_ru) as title from ranked left join documents on doc_id = content_id",
     "baseline_mrr": f"""with {_I}, pop as (select content_id, row_number() over (order by count(*) desc, content_id) as rank from train group by 1)
         select round(avg(1.0 / coalesce(rank, (select count(*) from pop))), 6) as mrr from test left join pop using (content_id)""",
 }

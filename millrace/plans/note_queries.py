@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import table
 from millrace.operators import collaborative as C
 from millrace.operators import language_model, models, social, text
+from millrace.operators.relational import order_hash_sql
 from millrace.plans.measure_queries import _ratings
 
 
@@ -143,7 +144,6 @@ QUERIES = {
 _R0 = "r0 as (select o_custkey as u, l_partkey as i, l_quantity / 5 as rating from lineitem join orders on l_orderkey = o_orderkey), r as (select u, i, avg(rating) as r from r0 group by 1, 2)"
 _COS = f"""with {_R0}, s as (select a.i as a, b.i as b, count(*) as n, sum(a.r * b.r) as ab from r a join r b on a.u = b.u and a.i < b.i group by 1, 2 having count(*) >= 3),
     q as (select i, sqrt(sum(r * r)) as q from r group by 1), sim as (select a, b, n, case when x.q * y.q > 1e-12 then ab / (x.q * y.q) else 0.0 end as sim from s join q x on x.i = a join q y on y.i = b)"""
-_HASH = "((({0}) % 1000003 + 42) * 2654435761) % 4294967296"
 
 SQL = {
     "tag_scores": f"""with {_R0}, m as (select u, i, floor(rating / 2) as r from r0), g as (select distinct p_partkey as i, unnest([p_brand, p_type]) as k from part), n as (select u, k, r, count(*) as n from m join g using (i) group by 1, 2, 3),
@@ -154,9 +154,9 @@ SQL = {
         w as (select a, b, n / sum(n) over (partition by a) as w from n), e as (select a, b, w from (select *, row_number() over (partition by a order by w desc, b) as k from w) where k <= 5),
         p as (select * from e union all select x.a, y.b, x.w * y.w from e x join e y on x.b = y.a where x.a <> y.b) select a, b, round(max(w), 8) as w from p group by 1, 2""",
     "attack_models": f"""with {_R0}, g as (select min(i) as t from r), b as (select avg(r) as before, sum(r) as s, count(*) as n from r, g where i = t), z as (select avg(r) as mean, stddev_pop(r) as sd, cast(greatest(ceil(count(distinct u) * 0.03), 1) as bigint) as k from r),
-        it as (select i, avg(r) as m, count(*) as n from r, g where i <> t group by 1), h as (select * from it order by {_HASH.format('i')}, i limit 50), w as (select * from it order by n desc, i limit 50),
+        it as (select i, avg(r) as m, count(*) as n from r, g where i <> t group by 1), h as (select * from it order by {order_hash_sql('i')}, i limit 50), w as (select * from it order by n desc, i limit 50),
         f as (select unnest(range(1, (select k from z) + 1)) as f), brand as (select p_brand from part, g where p_partkey = t),
-        fill as (select 'random' as kind, f, greatest(least(mean + sd * ({_HASH.format('i * 1009 + f')} / 4294967296.0 * 2 - 1), 10.0), 0.0) as v from h, f, z union all select 'average', f, m from h, f union all select 'bandwagon', f, 10.0 from w, f
+        fill as (select 'random' as kind, f, greatest(least(mean + sd * ({order_hash_sql('i * 1009 + f')} / 4294967296.0 * 2 - 1), 10.0), 0.0) as v from h, f, z union all select 'average', f, m from h, f union all select 'bandwagon', f, 10.0 from w, f
           union all select 'segment', f, case when i in (select p_partkey from part join brand using (p_brand)) then 10.0 else 0.0 end from h, f union all select 'love_hate', f, 10.0 from h, f),
         x as (select kind, f, v, 0 as aimed from fill union all select kind, f, case when kind = 'love_hate' then 0.0 else 10.0 end, 1 from (select distinct kind from fill), f)
         select kind, count(distinct f) as profiles, count(*) as "rows", round(avg(v), 6) as mean, round((any_value(s) + sum(v * aimed)) / (any_value(n) + sum(aimed)) - any_value(before), 6) as shift from x, b group by 1""",

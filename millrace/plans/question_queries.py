@@ -355,9 +355,9 @@ SQL = {
     "most_common_letter": f"with {_Q}, {_LEX} select letter from com",
     "qa_accuracy": f"""with {_Q}, {_LEX}, p as (select 'lexical' as model, id, [label] as l from lex union all select 'common_letter', id, [letter] from nq, com)
         select model, count(*) as evaluated, round(avg(cast(gold_letters = l as double)), 6) as exact_match, round(avg(cast(gold_letters[1] = l[1] as double)), 6) as top1 from nq join p using (id) where len(gold_letters) > 0 group by 1""",
-    "stratified_split": f"""with {_Q}, h as (select id, row_id, gold_letters[1] as s, ((row_id % 1000003 + 42) * 2654435761) % 4294967296 as h from nq where len(gold_letters) > 0)
+    "stratified_split": f"""with {_Q}, h as (select id, row_id, gold_letters[1] as s, {relational.order_hash_sql('row_id')} as h from nq where len(gold_letters) > 0)
         select id, case when row_number() over (partition by s order by h, row_id) <= round(count(*) over (partition by s) * 0.2) then 'dev' else 'train' end as part from h""",
-    "exact_fraction_sample": f"""with {_Q} select id from (select id, row_number() over (order by ((row_id % 1000003 + 42) * 2654435761) % 4294967296, row_id) as r, count(*) over () as n from nq) where r <= greatest(1, floor(n * 0.1))""",
+    "exact_fraction_sample": f"""with {_Q} select id from (select id, row_number() over (order by {relational.order_hash_sql('row_id')}, row_id) as r, count(*) over () as n from nq) where r <= greatest(1, floor(n * 0.1))""",
     "submission": f"with {_Q}, {_LEX} select id, coalesce(label, '') as answer from nq left join lex using (id)",
     "question_summary": f"""with {_Q}, s as (select id, string_split(regexp_replace(regexp_replace(regexp_replace(question, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g'), '\\s+', ' ', 'g'), '([.?!]) ', '\\1' || chr(1), 'g'), chr(1)) as p from nq)
         select id, array_to_string(p[1:2], ' ') as summary from s""",

@@ -84,15 +84,7 @@ def rating_submission(spark: SparkSession, d: str) -> DataFrame:
     """Rounded predictions under dense ids in row order."""
     rows = _rows(spark, d)
     p = R.bias_predictions(rows, *R.fit_biases(rows)).select("row_id", N.round_rating(F.round("prediction", 9)).alias("rating"))
-    return dense_ids(p, "row_id").select("id", "rating")
-
-
-def dense_ids(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``id``: 0 to n-1 in ``order``, from the counts of sorted partitions; no single task sorts all rows."""
-    s = durable(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
-    starts = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_first"))
-    offsets = starts.select("_p", "_first", F.expr("sum(_c) over (order by _p) - _c").alias("_before"))  # a row for each partition
-    return s.join(F.broadcast(offsets), "_p").withColumn("id", F.col("_before") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_first", "_before")
+    return relational.dense_ids(p, "row_id").select("id", "rating")
 
 
 def data_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +123,7 @@ def hybrid_gbt_predict(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_submission(spark: SparkSession, d: str) -> DataFrame:
     """Rounded predictions of the chosen model under dense ids in row order; ``rating_submission`` has those of the biases, as its SQL does."""
     p = hybrid_gbt_predict(spark, d).select("row_id", N.round_rating(F.round("prediction", 9)).alias("rating"))
-    return dense_ids(p, "row_id").select("id", "rating")
+    return relational.dense_ids(p, "row_id").select("id", "rating")
 
 
 QUERIES = {
@@ -152,8 +144,8 @@ b1 as (select book_id, {_TRIM.format('title')}, {_TRIM.format('author')}, {_TRIM
 cb as (select book_id, title, author, publisher, coalesce(valid, (select median(valid) from b1)) as year_clean, cast(valid is null as int) as year_missing,
        cast(floor(coalesce(valid, (select median(valid) from b1)) / 5) * 5 as int) as year_bin from b1)"""
 _ROWS = "rr as (select row_id, user_id, book_id, cast(rating as double) as rating from ratings where user_id is not null and book_id is not null and rating between 0 and 10)"
-_SPLIT = """
-h as (select *, ((row_id % 1000003 + 42) * 2654435761) % 4294967296 as h from rr),
+_SPLIT = f"""
+h as (select *, {relational.order_hash_sql('row_id')} as h from rr),
 k as (select *, row_number() over (order by h, row_id) as r, count(*) over () as n from h),
 dev as (select row_id, user_id, book_id, rating from k where r <= round(n * 0.1)),
 trn as (select row_id, user_id, book_id, rating from k where r > round(n * 0.1))"""

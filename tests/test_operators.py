@@ -87,7 +87,7 @@ def test_ranking_metrics(spark):
 
 def test_leave_last_out(spark):
     d = spark.createDataFrame([("u", "c1", 5), ("u", "c2", 5), ("u", "c3", 4)], "person_id string, content_id string, ts int")
-    train, test = relational.leave_last_out(d, "person_id", [F.desc("ts"), F.desc("content_id")])
+    train, test = relational.leave_last_out(d, "person_id", ["ts", "content_id"])
     assert rows(test.select("content_id")) == [("c2",)] and rows(train.select("content_id")) == [("c1",), ("c3",)]
 
 
