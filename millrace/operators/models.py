@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
-from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, NGram, PCA, PCAModel, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, NGram, Normalizer, PCA, PCAModel, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
@@ -26,6 +26,9 @@ from millrace.session import durable
 HIDDEN, TERMS, AXES, MLP_ROUNDS = (256, 64), 50_000, 256, 250
 VECTOR, WINDOW, EPOCHS, WORD_ROUNDS = 200, 5, 20, 300
 
+#: Words and word pairs of the linear models.
+FEATURES = 40_000
+
 #: Bound on the vocabulary of ``text_components``, above the words of every table at hand.
 WORDS = 1 << 20
 
@@ -33,12 +36,15 @@ WORDS = 1 << 20
 BOOSTS = 500
 
 
-def text_vectors(column: str = "feature_text", size: int = 1 << 15) -> list:
-    """Stages from text to tf-idf vectors of a fixed width, so no vocabulary is gathered."""
+def text_vectors(column: str = "feature_text", size: int = FEATURES) -> list:
+    """Stages from text to tf-idf rows of unit length over the ``size`` commonest words and word pairs; the vocabulary is bounded by ``size``."""
     return [
-        RegexTokenizer(inputCol=column, outputCol="_tok", pattern=r"\W+", minTokenLength=2),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=size),
-        IDF(inputCol="_tf", outputCol="_x", minDocFreq=2),
+        RegexTokenizer(inputCol=column, outputCol="_tok", pattern=r"(?U)\W+", minTokenLength=2),
+        NGram(inputCol="_tok", outputCol="_bi", n=2),
+        SQLTransformer(statement="select *, concat(_tok, _bi) as _grams from __THIS__"),
+        CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=size, minDF=1),
+        IDF(inputCol="_tf", outputCol="_idf"),
+        Normalizer(inputCol="_idf", outputCol="_x"),
     ]
 
 
@@ -282,3 +288,19 @@ def tree_labels(df: DataFrame, features: str, label: str, depth: int = 5) -> Dat
     """``df`` with ``said``, the label by a decision tree fitted on it."""
     x = df.withColumn("_x", array_to_vector(F.transform(features, lambda v: v.cast("double")))).withColumn("_y", F.col(label).cast("double"))
     return DecisionTreeClassifier(featuresCol="_x", labelCol="_y", predictionCol="said", maxDepth=depth, seed=42).fit(x).transform(x).drop("_x", "_y", "rawPrediction", "probability")
+
+
+def score_batches(df: DataFrame, columns: Sequence[str], load: Callable[[], Callable[..., Sequence[float]]], out: str = "score") -> DataFrame:
+    """``df`` with ``out``, the scores of a model of any library over batches of ``columns``.
+
+    ``load`` is called once in each task and gives the scorer, a function from as many lists
+    of values to as many scores as rows: a cross-encoder, a session of a stored network, a
+    language model. Nothing but the columns reaches it, and it is never called for single rows.
+    """
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        score = load()
+        for parts in batches:
+            yield pd.Series(list(score(*[p.tolist() for p in parts])), dtype="float64")
+
+    return df.withColumn(out, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(*[F.col(c) for c in columns]))

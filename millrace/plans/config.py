@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class SplitSettings:
@@ -16,8 +19,7 @@ class SplitSettings:
 @dataclass(frozen=True)
 class ModelSettings:
     enabled: tuple[str, ...] = ("lexical", "common_letter", "logreg")
-    max_features: int = 40_000
-    ngram_range: tuple[int, int] = (1, 2)
+    submit: str = "lexical"
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,20 @@ class RunSettings:
     models: ModelSettings = field(default_factory=ModelSettings)
 
 
+def load_settings(spark: SparkSession, path: str | None) -> RunSettings:
+    """The defaults, overlaid by a JSON or YAML file of any file system that Spark knows; YAML where a parser is installed."""
+    if path is None:
+        return RunSettings()
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    if path.endswith(".json"):
+        return overlay(RunSettings(), json.loads(text))
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("no YAML parser is installed; write the settings as JSON") from e
+    return overlay(RunSettings(), yaml.safe_load(text) or {})
+
+
 def overlay(settings: Any, updates: dict[str, Any]) -> Any:
     """``settings`` with ``updates``; lists become tuples, nested mappings overlay nested settings."""
     known = {f.name: getattr(settings, f.name) for f in fields(settings)}

@@ -25,7 +25,7 @@ def _lower_map(c: str):
 def normalised(spark: SparkSession, d: str) -> DataFrame:
     """One row for each id, the smallest row first; labels and letters in lower case, blank ids filled from the row."""
     q = _raw(spark, d)
-    blank = F.coalesce(F.nullif(N.strip(F.col("id")), F.lit("")), F.concat(F.lit("row_"), F.col("row_id").cast("string")))
+    blank = F.coalesce(F.nullif(N.strip(F.col("id")), F.lit("")), F.concat_ws("_", F.lit("bbf_en"), "split_name", F.col("row_id").cast("string")))
     rows = q.select(
         "row_id", blank.alias("id"), "split_name", F.coalesce("dataset_source", F.lit("unknown")).alias("dataset_source"), N.question_text(F.col("question"), F.col("query_text")).alias("question"), "query_text",
         F.transform("choice_labels", F.lower).alias("choice_labels"), _lower_map("option_texts").alias("option_texts"), F.array_distinct(F.transform("gold_letters", F.lower)).alias("gold_letters"),
@@ -48,12 +48,17 @@ def union_dedup_sources(spark: SparkSession, d: str) -> DataFrame:
     return relational.union_first_source(q.where("dataset_source = 'finmmeval'"), q.where("dataset_source = 'bbf'"), "id", "row_id")
 
 
-def _options(spark: SparkSession, d: str) -> DataFrame:
-    e = normalised(spark, d).select("id", "question", "option_texts", "gold_letters", F.posexplode("choice_labels").alias("pos", "label"))
+def options_of(questions: DataFrame) -> DataFrame:
+    """A row for each option of normalised questions."""
+    e = questions.select("id", "question", "option_texts", "gold_letters", F.posexplode("choice_labels").alias("pos", "label"))
     option = F.coalesce(F.try_element_at("option_texts", F.col("label")), F.lit(""))
     return e.select("id", "question", "pos", "label", option.alias("option_text"), N.pair_text(F.col("question"), F.col("label"), option).alias("feature_text"), F.array_contains("gold_letters", F.col("label")).cast("int").alias("target"))
 
 
+def _options(spark: SparkSession, d: str) -> DataFrame:
+    return options_of(normalised(spark, d))
+
+
 def option_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row for each question and option with its text and whether it is right."""
     return _options(spark, d).drop("question")
@@ -289,7 +294,7 @@ QUERIES = {
 } | {f"pair_{k}": _pair(k) for k in ("logreg", "svm", "mlp", "word2vec")}
 
 _Q = """
-q0 as (select row_id, coalesce(nullif(trim(id), ''), 'row_' || row_id) as id, split_name, coalesce(dataset_source, 'unknown') as dataset_source,
+q0 as (select row_id, coalesce(nullif(trim(id), ''), concat_ws('_', 'bbf_en', split_name, row_id)) as id, split_name, coalesce(dataset_source, 'unknown') as dataset_source,
        coalesce(nullif(regexp_replace(question, '^[\\s\\xA0]+|[\\s\\xA0]+$', '', 'g'), ''), query_text) as question,
        list_transform(choice_labels, lambda x: lower(x)) as choice_labels, option_texts, list_transform(gold_letters, lambda x: lower(x)) as gold_letters from questions),
 nq as (select * from (select *, row_number() over (partition by id order by row_id) as n from q0) where n = 1),

@@ -83,6 +83,39 @@ NBAChampionship|type|Championship
 MVP_Award|type|Award
 """.split()
 ]
+#: Individuals of our own, on both sides of every rule.
+TRIPLES += [
+    tuple(line.split("|"))
+    for line in """
+HarborHerons|type|NBATeam
+HarborHerons|inDivision|Atlantic
+HarborHerons|winPercentage|0.75
+LakesideLynx|type|NBATeam
+LakesideLynx|winPercentage|0.60
+MesaMules|type|NBATeam
+MesaMules|winPercentage|0.599
+OldNoRing|type|Player
+OldNoRing|playsFor|HarborHerons
+OldNoRing|age|32
+OldNoRing|hasPosition|PointGuard
+OldNoRing|hasPosition|ShootingGuard
+OldWithRing|type|Player
+OldWithRing|playsFor|HarborHerons
+OldWithRing|age|36
+OldWithRing|hasWonAward|NBAChampionship
+YoungNoRing|type|Player
+YoungNoRing|playsFor|LakesideLynx
+YoungNoRing|age|31.9
+YoungNoRing|assists|10
+YoungNoRing|points|10.0
+YoungNoRing|rebounds|12
+OldElsewhere|type|Player
+OldElsewhere|playsFor|MesaMules
+OldElsewhere|age|40
+OldElsewhere|age|41
+OldElsewhere|threePoint|0.4
+""".split()
+]
 #: Subclass edges, (class, superclass).
 SUBCLASSES = [("Player", "BasketballProfessional"), ("Coach", "BasketballProfessional"), ("BasketballProfessional", "Person"), ("NBATeam", "Team"), ("Team", "Organization")]
 DOMAINS = {"playsFor": "Player", "coaches": "Coach", "inDivision": "NBATeam"}
@@ -134,7 +167,8 @@ def place_containment(spark: SparkSession, d: str) -> DataFrame:
     n, r, c = table(spark, d, "nation"), table(spark, d, "region"), table(spark, d, "customer")
     nation = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"))
     person = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("child"), F.col("n_name").alias("parent"))
-    return T.closure(nation.union(person)).where("steps > 0").select(F.col("node").alias("s"), F.col("anc").alias("o"))
+    located = nation.union(person).select(F.col("child").alias("s"), F.lit("locatedIn").alias("p"), F.col("parent").alias("o"))
+    return O.transitive(located, "locatedIn")
 
 
 def _classes(t: DataFrame, sub: DataFrame) -> dict[str, Callable[[], DataFrame]]:

@@ -60,8 +60,9 @@ def read_sources(spark: SparkSession, source: str, paths: dict[str, str], explic
     return union_first_source(read_any(spark, paths["finmmeval"]), read_any(spark, paths["bbf"]), "id", "id")
 
 
-def decoded(content: Column) -> Column:
-    """Text of bytes: UTF-8 where that is valid, else Windows-1251, of whose bytes every text can be made."""
+def decoded(content: Column, lang: str = "RU") -> Column:
+    """Text of bytes: UTF-8 where that is valid, else Windows-1251 in Russian, else UTF-8 without its faulty bytes."""
+    russian = lang.upper() == "RU"
 
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
@@ -73,7 +74,7 @@ def decoded(content: Column) -> Column:
             except UnicodeDecodeError:
                 pass
             try:
-                return bytes(b).decode("cp1251")
+                return bytes(b).decode("cp1251" if russian else "utf-8")
             except UnicodeDecodeError:
                 return bytes(b).decode("utf-8", "ignore")
 
@@ -95,8 +96,8 @@ def empty_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     return spark.createDataFrame(found, "path string, content binary")
 
 
-def read_text_corpus(spark: SparkSession, root: str, lang: str) -> DataFrame:
-    """Every ``*.txt`` under ``root`` as a search document of one language, with title and body in that language's columns."""
+def read_text_corpus(spark: SparkSession, root: str, lang: str, max_docs: int | None = None) -> DataFrame:
+    """Every ``*.txt`` under ``root`` as a search document of one language, with title and body in that language's columns; the first ``max_docs`` by path if given."""
     lang = lang.upper()
     if lang not in ("EN", "RU"):
         raise ValueError(f"no fields for language {lang!r}")
@@ -104,8 +105,10 @@ def read_text_corpus(spark: SparkSession, root: str, lang: str) -> DataFrame:
     files = files.unionByName(empty_files(spark, root, ".txt"))
     base = F.lit(root.rstrip("/") + "/")
     path = F.element_at(F.split(F.col("path"), base, 2), -1)
-    text = files.select(path.alias("path"), decoded(F.col("content")).alias("text"))
+    text = files.select(path.alias("path"), decoded(F.col("content"), lang).alias("text"))
     title, body = N.title_and_body(F.col("text"), F.regexp_extract("path", r"([^/]+)\.txt$", 1))
+    if max_docs is not None:
+        text = text.orderBy("path").limit(max_docs)
     mine = lambda c, k: c if lang == k else F.lit("")
     return text.select(
         F.concat_ws(":", F.lit(lang), "path").alias("id"), "path", F.lit(lang).alias("language"),

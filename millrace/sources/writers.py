@@ -1,9 +1,9 @@
-"""Sinks: JSON lines, submissions, metrics, Markdown tables, an upserted search index, and models."""
+"""Sinks: JSON lines, submissions, metrics, Markdown tables, and models; ``operators.search_index`` has the search index."""
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,10 +36,28 @@ def markdown_table(df: DataFrame, sort: str, most: int = 1000) -> str:
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
 
 
-def upsert_index(old: DataFrame | None, new: DataFrame, path: str, key: str = "id") -> None:
-    """Write ``old`` with the rows of ``new`` put in by key, laid out by language; a row of ``new`` replaces an equal key."""
-    merged = new if old is None else new.unionByName(old.join(new.select(key), key, "left_anti").select(*new.columns))
-    merged.write.mode("overwrite").partitionBy("language").parquet(path)
+def write_split_ids(parts: DataFrame, path: str) -> None:
+    """``id, part`` as JSON lines in a folder for each part, so that no list of ids is gathered."""
+    parts.select("id", "part").write.mode("overwrite").partitionBy("part").json(path)
+
+
+def markdown_facts(row: DataFrame, title: str) -> str:
+    """A report of one row, a line for each column."""
+    r = row.first()
+    cell = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
+    return "\n".join([f"# {title}", "", "| Fact | Value |", "| --- | --- |", *[f"| {c.replace('_', ' ')} | {cell(r[c])} |" for c in row.columns]])
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file of any file system that Spark knows; written beside and renamed, so a reader sees all or none of it."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, draft, target = Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), Path(path + ".draft"), Path(path)
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(draft, target):
+        raise OSError(f"{path} was not written")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -154,14 +154,14 @@ def test_ontology_with_facts(spark):
     extra = [("BostonCeltics", "winPercentage", "0.65"), ("Old", "type", "Player"), ("Old", "age", "35"), ("Old", "playsFor", "BostonCeltics")]
     t = tree_queries.triples(spark).union(spark.createDataFrame(extra, "s string, p string, o string"))
     c = tree_queries._classes(t, tree_queries.subclasses(spark))
-    assert rows(c["contender_team"]()) == [("BostonCeltics",)]
-    assert rows(c["veteran_ring_chaser"]()) == [("Old",)]
+    assert rows(c["contender_team"]()) == [("BostonCeltics",), ("HarborHerons",), ("LakesideLynx",)]
+    assert rows(c["veteran_ring_chaser"]()) == [("Old",), ("OldNoRing",)]
     chain = spark.createDataFrame([("a", "in", "b"), ("b", "in", "c")], "s string, p string, o string")
     assert rows(ontology.transitive(chain, "in")) == [("a", "b"), ("a", "c"), ("b", "c")]
 
 
 def test_config():
-    s = config.overlay(config.RunSettings(), {"split": {"seed": 7}, "models": {"ngram_range": [1, 1]}})
-    assert s.split.seed == 7 and s.models.ngram_range == (1, 1) and s.split.dev_size == 0.2
+    s = config.overlay(config.RunSettings(), {"split": {"seed": 7}, "models": {"enabled": ["lexical"]}})
+    assert s.split.seed == 7 and s.models.enabled == ("lexical",) and s.split.dev_size == 0.2
     with pytest.raises(KeyError):
         config.overlay(config.RunSettings(), {"nope": 1})

@@ -45,10 +45,28 @@ def test_corpus(spark, tmp_path):
         readers.read_text_corpus(spark, str(tmp_path), "de")
 
 
-def test_upsert(spark, tmp_path):
-    s = "id string, language string, v int"
-    writers.upsert_index(spark.createDataFrame([("1", "EN", 1), ("2", "EN", 1)], s), spark.createDataFrame([("2", "EN", 2), ("3", "RU", 2)], s), str(tmp_path / "i"))
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "i")).collect()) == [("1", 1), ("2", 2), ("3", 2)]
+def test_bytes_by_language(spark):
+    """Bytes that are no UTF-8 are Windows-1251 in Russian only; in English the faulty ones go."""
+    d = spark.createDataFrame([(bytearray("Да".encode("cp1251")),), (bytearray(b"caf\xe9!"),), (bytearray("Да".encode()),), (None,)], "c binary")
+    assert [r[0] for r in d.select(readers.decoded(F.col("c"), "RU")).collect()] == ["Да", "cafй!", "Да", None]
+    assert [r[0] for r in d.select(readers.decoded(F.col("c"), "EN")).collect()] == ["", "caf!", "Да", None]
+
+
+def test_first_documents(spark, tmp_path):
+    for n in "bca":
+        (tmp_path / f"{n}.txt").write_text(n)
+    assert [r["path"] for r in readers.read_text_corpus(spark, str(tmp_path), "EN", 2).orderBy("path").collect()] == ["a.txt", "b.txt"]
+
+
+def test_small_sinks(spark, tmp_path):
+    parts = spark.createDataFrame([("1", "dev"), ("2", "train"), ("3", "dev")], "id string, part string")
+    writers.write_split_ids(parts, str(tmp_path / "split"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "split")).select("id", "part").collect())) == [("1", "dev"), ("2", "train"), ("3", "dev")]
+    text = writers.markdown_facts(spark.createDataFrame([(3, 0.25)], "train_rows int, zero_pct double"), "Facts")
+    assert text.splitlines()[-2:] == ["| train rows | 3 |", "| zero pct | 0.2500 |"]
+    for content in ("old", text):
+        writers.write_text(spark, content, str(tmp_path / "facts.md"))
+    assert (tmp_path / "facts.md").read_text() == text
 
 
 def test_markdown(spark):
