@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from millrace.session import durable
 
+#: What stands between the thousands of a number.
+SEPARATORS = r",'\u2019\s\u00a0\u2007\u2009\u202f"
 #: What looks like a minus sign before a number.
 MINUS = "\u2212\u2010\u2011\u2012\u2013\ufe63\uff0d"
 
@@ -32,14 +34,14 @@ MINUS = "\u2212\u2010\u2011\u2012\u2013\ufe63\uff0d"
 def marked_text(c: Column, lower: bool = True) -> Column:
     """Lower-case text without thousands separators, minus signs as \\x01 and decimal points as \\x02.
 
-    A comma, apostrophe or single space between groups of at most three and exactly three
+    A comma, an apostrophe or white space between groups of at most three and exactly three
     digits is a thousands separator and goes. A minus is one where a number follows at once
     and no letter, digit or closing sign stands before it.
     """
     t = F.coalesce(c, F.lit(""))
     t = F.lower(t) if lower else t
-    # each pattern begins with the sign itself, so that what stands around it is looked at only there
-    t = F.regexp_replace(t, "[,'\u2019\\s\u00a0\u2007\u2009\u202f](?<=(?<![0-9.])[0-9]{1,3}.)(?=[0-9]{3}(?![0-9]))", "")
+    # each pattern begins with a look at the sign itself, so that what stands around it is looked at only there
+    t = F.regexp_replace(t, "(?=[" + SEPARATORS + r"])(?<=[0-9])(?<=(?<![0-9.])[0-9]{1,3})(?:[,'\u2019]|[\s\u00a0\u2007\u2009\u202f]+)(?=[0-9]{3}(?![0-9]))", "")
     t = F.regexp_replace(t, "[-" + MINUS + r"](?<![\p{L}\p{N}%$)].)(?=\$?\.?[0-9])|[-" + MINUS + r"](?<=\$.)(?=\.?[0-9])", "\u0001")
     return F.regexp_replace(t, r"\.(?=[0-9])(?:(?<=[0-9]\.)|(?<![\p{L}\p{N}]\.))", "\u0002")
 

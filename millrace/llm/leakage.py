@@ -42,14 +42,15 @@ SAMPLE = 4
 
 _WORD = re.compile(r"[^\W_]+")
 _JOIN_DIGITS = re.compile(r"(?<=\d)[.,'’](?=\d)")
-_JOIN_GROUPS = re.compile(r"(?<![\d.,])(\d{1,3})((?: \d{3})+)(?!\d)")
+_JOIN_GROUPS = re.compile(r"(?<![\d.,])(\d{1,3})((?:\s{1,4}\d{3})+)(?!\d)")
+_SPACES = re.compile(r"\s+")
 _BROKEN = re.compile(r"([^\W\d_]+)-[ ]*\n\s*([^\W\d_]+)")
 _LABEL = re.compile(r"(?m)^\s*\(?[A-Za-z1-9][.):]\s+")
 
 
 def _prepared(text: str) -> str:
     t = _JOIN_DIGITS.sub("", one_form(text).lower())
-    return _JOIN_GROUPS.sub(lambda m: m[1] + m[2].replace(" ", ""), t)
+    return _JOIN_GROUPS.sub(lambda m: m[1] + _SPACES.sub("", m[2]), t)
 
 
 def _apart(text: str) -> str:

@@ -127,20 +127,29 @@ def edit_distance(a: str, b: str) -> int:
     return d[la + 1][lb + 1]
 
 
-def levenshtein(a: str, b: str) -> int:
-    """Levenshtein distance, a column of the table at a time in the bits of an integer."""
-    if not a or not b:
-        return len(a) or len(b)
+def _masks(a: str) -> dict[str, int]:
+    """The places of each letter, as bits."""
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def levenshtein(a: str, b: str, masks: dict[str, int] | None = None) -> int:
+    """Levenshtein distance, a column of the table at a time in the bits of an integer; ``masks`` are those of ``a``."""
+    if not a or not b:
+        return len(a) or len(b)
+    get = (_masks(a) if masks is None else masks).get
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, d = full, 0, len(a)
     for c in b:
-        m = masks.get(c, 0)
+        m = get(c, 0)
         zero = (((m & up) + up) ^ up) | m | down
         right, left = down | (full & ~(zero | up)), up & zero
-        d += (right & top > 0) - (left & top > 0)
+        if right & top:
+            d += 1
+        elif left & top:
+            d -= 1
         right = right << 1 | 1
         up, down = (left << 1 | ~(zero | right)) & full, right & zero & full
     return d
@@ -170,10 +179,10 @@ class BKTree:
             node = node[2][d]
 
     def within(self, s: str, reach: int) -> list[tuple[int, str, str]]:
-        found, todo, wide = [], [self.root] if self.root else [], 2 * reach
+        found, todo, wide, masks = [], [self.root] if self.root else [], 2 * reach, _masks(s)
         while todo:
             name, codes, children = todo.pop()
-            d = levenshtein(s, name)
+            d = levenshtein(s, name, masks)
             if d <= wide and (e := edit_distance(s, name)) <= reach:
                 found += [(e, name, c) for c in codes]
             todo += [child for k, child in children.items() if d - wide <= k <= d + wide]

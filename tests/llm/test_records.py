@@ -33,12 +33,12 @@ def test_duplicates_formatting(spark):
         (2, "dev", "  what IS the “loan–to–value” at 15.3% ?\n", {"B": "-5 UNITS", "A": "1012.48 units"}),
         (9, "test", "What is the loan-to-value, at 153%?", A),
         (8, "test", "What is the loan-to-value, at 15.3%?", {"a": "1,012.48 units", "b": "5 units"}),
-        (7, "test", "Pay $6 817 153 now", {}), (6, "test", "pay $6,817,153 now.", None), (4, "test", "in 2007 345", None), (3, "test", "in 2007345", None),
+        (7, "test", "Pay $6 817 153 now", {}), (6, "test", "pay $6,817,153 now.", None), (14, "dev", "pay $6 \n817\u00a0  153 now", None), (4, "test", "in 2007 345", None), (3, "test", "in 2007345", None),
         (11, None, None, None), (12, None, None, None), (13, None, "?", {"a": ""}),
     ])
     got = rows(members(d))
-    assert got == [(2, 2), (3, 3), (4, 4), (5, 2), (6, 6), (7, 6), (8, 8), (9, 9)]
-    assert rows(exact_duplicates.representatives(members(d))) == [(2, 2), (3, 1), (4, 1), (6, 2), (8, 1), (9, 1)]
+    assert got == [(2, 2), (3, 3), (4, 4), (5, 2), (6, 6), (7, 6), (8, 8), (9, 9), (14, 6)]
+    assert rows(exact_duplicates.representatives(members(d))) == [(2, 2), (3, 1), (4, 1), (6, 3), (8, 1), (9, 1)]
 
 
 def test_duplicates_hot_key(spark):
