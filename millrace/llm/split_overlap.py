@@ -213,7 +213,7 @@ def classes_of(df: DataFrame, question: str, options: str, split: str, id_col: s
     """Members ``(row_id, split, class)`` and one row ``(class, question, options, in_train, in_eval)`` for each class."""
     key = canonical_key(F.col(question), F.col(options))
     rows = df.where(F.col(split).isin(*TRAIN, *EVALUATION)).select(
-        F.col(id_col).cast("long").alias("row_id"), F.col(split).alias("split"), F.col(question).cast("string").alias("question"), F.col(options).alias("options"), F.md5(key).alias("class")
+        F.col(id_col).cast("long").alias("row_id"), F.col(split).alias("split"), F.col(question).cast("string").alias("question"), F.col(options).alias("options"), F.unhex(F.md5(key)).alias("class")
     )
     # written, as the filter and both results would derive every key once more
     keyed = durable(rows).where("class is not null")
@@ -236,7 +236,8 @@ def _block(parts: Column) -> Column:
         return F.array_join(F.array_sort(F.filter(words, lambda w: w.rlike("[0-9]") | F.array_contains(negations, w))), " ")
 
     options = F.array_distinct(F.slice(parts, 2, F.size(parts)))
-    return F.md5(F.concat_ws("|", fixed(F.get(parts, F.lit(0))), F.size(options).cast("string"), fixed(F.flatten(options))))
+    # a digest that two blocks may share by chance: their classes then meet as candidates and are told apart word by word
+    return F.xxhash64(fixed(F.get(parts, F.lit(0))), F.size(options), fixed(F.flatten(options)))
 
 
 def near_classes(classes: DataFrame, common: int = COMMON) -> DataFrame:
@@ -267,7 +268,7 @@ def near_classes(classes: DataFrame, common: int = COMMON) -> DataFrame:
     alone = F.filter(F.transform(prefix, lambda s, i: F.struct(s["word"].alias("key"), i.alias("pos"), s["n"].alias("n"))), lambda s: (s["n"] <= common) | (must < 2))
     often = F.filter(F.transform(longer, lambda s, i: F.struct(s["word"].alias("word"), i.alias("pos"), s["n"].alias("n"))), lambda s: s["n"] > common)
     pairs = F.flatten(F.transform(often, lambda s, i: F.transform(F.slice(often, i + 2, F.size(often)), lambda r: F.struct(F.concat_ws(" ", s["word"], r["word"]).alias("key"), s["pos"].alias("pos"), s["n"].alias("n")))))
-    index = sides.select("class", "block", "in_train", "in_eval", size.alias("len"), F.explode(F.concat(alone, pairs)).alias("k")).select("class", "block", "in_train", "in_eval", "len", "k.key", "k.pos")
+    index = sides.select("class", "block", "in_train", "in_eval", size.alias("len"), F.explode(F.concat(alone, pairs)).alias("k")).select("class", "block", "in_train", "in_eval", "len", F.xxhash64("k.key").alias("key"), "k.pos")
     e = index.where("in_eval").select(F.col("class").alias("class_a"), "block", "key", F.col("len").alias("len_a"), F.col("pos").alias("pos_a"))
     t = index.where("in_train").select(F.col("class").alias("class_b"), "block", "key", F.col("len").alias("len_b"), F.col("pos").alias("pos_b"))
     most = F.greatest("len_a", "len_b")
@@ -280,17 +281,16 @@ def near_classes(classes: DataFrame, common: int = COMMON) -> DataFrame:
         .select("class_a", "class_b")
         .distinct()
     )
-    texts = parts.select("class", "question", "options")
+    texts, kind = parts.select("class", "question", "options"), parts.schema["class"].dataType.simpleString()
     a, b = (texts.select(F.col("class").alias(f"class_{x}"), F.col("question").alias(f"question_{x}"), F.col("options").alias(f"options_{x}")) for x in "ab")
     found = candidates.hint("merge").join(a.hint("merge"), "class_a").hint("merge").join(b.hint("merge"), "class_b")
     records = [_words(marked_text(joined_texts(F.col(f"question_{x}"), F.col(f"options_{x}")), lower=False), breaks=True).alias(f"record_{x}") for x in "ab"]
-    return found.select("class_a", "class_b", *records).mapInPandas(_verify, "class_a string, class_b string")
+    return found.select("class_a", "class_b", *records).mapInPandas(_verify, f"class_a {kind}, class_b {kind}")
 
 
 def overlapping_rows(df: DataFrame, question: str = "question", options: str = "option_texts", split: str = "split_name", id_col: str = "row_id") -> DataFrame:
     """``eval_id, train_id``: every evaluation row and training row that are the same or nearly so."""
     members, classes = classes_of(df, question, options, split, id_col)
-    classes = durable(classes)
     near = near_classes(classes).unionByName(classes.where("in_train and in_eval").select(F.col("class").alias("class_a"), F.col("class").alias("class_b")))
     e = members.where(F.col("split").isin(*EVALUATION)).select(F.col("class").alias("class_a"), F.col("row_id").alias("eval_id"))
     t = members.where(F.col("split").isin(*TRAIN)).select(F.col("class").alias("class_b"), F.col("row_id").alias("train_id"))
