@@ -15,6 +15,16 @@ def bigrams(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
     return df.select(id_col, F.explode(pairs).alias("p")).groupBy("p.first", "p.second").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ngram_model(df: DataFrame, tokens: str, n: int) -> DataFrame:
+    """``context, word, n, p``: what follows each run of ``n`` - 1 words, how often, and the share of that among all that follows it."""
+    w = F.col(tokens)
+    at = F.sequence(F.lit(1), F.size(w) - (n - 1))
+    grams = F.transform(at, lambda i: F.struct(F.array_join(F.slice(w, i, n - 1), " ").alias("context"), F.get(w, i + (n - 2)).alias("word")))
+    counts = df.where(F.size(w) >= n).select(F.explode(grams).alias("g")).groupBy("g.context", "g.word").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy("context").agg(F.sum("n").alias("_all"))
+    return counts.join(total, "context").select("context", "word", "n", (F.col("n") / F.col("_all")).alias("p"))
+
+
 def bigram_model(pairs: DataFrame, unigrams: DataFrame, weight: float = 0.7) -> DataFrame:
     """``first, second, n, mle, add_one, interpolated`` probabilities."""
     total = unigrams.agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("types"))

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.relational import running_total
 from millrace.session import durable
 
 
@@ -105,3 +106,27 @@ def node_facts(edges: DataFrame) -> DataFrame:
         more = below.groupBy(F.col("anc").alias("node")).agg((F.max("height") + 2**k).alias("_h"), F.sum("size").alias("_s"))
         have = durable(have.join(more, "node", "left").select("node", F.greatest("height", F.coalesce("_h", F.lit(0))).alias("height"), (F.col("size") + F.coalesce("_s", F.lit(0))).alias("size")))
     return depth.join(have, "node").select("node", "depth", "height", "size")
+
+
+def preorder(edges: DataFrame) -> DataFrame:
+    """``node, depth, place``: the place of every node when each is followed by its subtree, siblings and roots by key.
+
+    A node stands one place behind its parent and behind the subtrees of its earlier siblings;
+    these steps are added up along the path to the root by doubling. Earlier siblings' sizes
+    come from one sort of all nodes by (parent, key) in ranges, so a node with very many
+    children is not sorted in one task.
+    """
+    depth, lift, levels = lifting_table(edges)
+    facts = durable(node_facts(edges).select("node", "depth", "size"))
+    up = lift.where("k = 0").select("node", F.col("anc").alias("parent"))
+    kin = durable(facts.join(up, "node", "left").withColumn("_o", F.struct("parent", "node")))
+    so_far = running_total(kin, "_o", "size", "_sum").select("node", "parent", (F.col("_sum") - F.col("size")).alias("_before"))
+    first = so_far.groupBy(F.col("parent").alias("_p")).agg(F.min("_before").alias("_first"))
+    own = F.col("parent").isNotNull()
+    # a root follows the roots before it and their subtrees, any other node its parent as well
+    step = so_far.join(first, F.col("parent").eqNullSafe(F.col("_p"))).select("node", (F.col("_before") - F.col("_first") + own.cast("int")).alias("place"))
+    have = durable(step)
+    for k in range(levels):
+        above = lift.where(F.col("k") == k).select("node", "anc").join(have.select(F.col("node").alias("anc"), F.col("place").alias("_more")), "anc")
+        have = durable(have.join(above.select("node", "_more"), "node", "left").select("node", (F.col("place") + F.coalesce("_more", F.lit(0))).alias("place")))
+    return facts.select("node", "depth").join(have, "node")

@@ -190,9 +190,15 @@ def text_mutual_information(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_bleu(spark: SparkSession, d: str) -> DataFrame:
-    """BLEU of each English title against its whole body; not rounded, as the brevity penalty of a title leaves few digits."""
+    """Logarithm of the BLEU of each English title against its whole body, as the brevity penalty of a title leaves few digits; null for 0."""
     t = table(spark, d, "documents").where("title_en <> ''").select("doc_id", text.terms(F.col("title_en")).alias("c"), text.terms(F.col("body_en")).alias("r"))
-    return L.bleu(t.where("size(c) > 0 and size(r) > 0"), "c", "r").select("doc_id", "bleu")
+    score = L.bleu(t.where("size(c) > 0 and size(r) > 0"), "c", "r")
+    return score.select("doc_id", F.round(F.log(F.nullif("bleu", F.lit(0.0))), 6).alias("log_bleu"))
+
+
+def trigram_lm(spark: SparkSession, d: str) -> DataFrame:
+    """What follows every two words of English bodies."""
+    return L.ngram_model(_tokens(spark, d), "w", 3).select("context", "word", "n", F.round("p", 8).alias("p"))
 
 
 def byte_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         damped_mean, lift_pairs, user_cf_pearson, user_cf_predict, item_cf_adjusted_cosine, attack_shift, hot_posts, ranked_quality, map_score, spearman, prediction_errors, micro_macro_f1, binary_measures,
-        coverage_diversity, hybrid_scores, bigram_lm, perplexity, zipf, chi2_terms, info_gain, mutual_information, text_chi2_terms, text_info_gain, text_mutual_information, title_bleu, byte_pairs, embedding_cosine_topk, embedding_knn_label, als_factors, naive_bayes, svd_lsa,
+        coverage_diversity, hybrid_scores, bigram_lm, perplexity, zipf, chi2_terms, info_gain, mutual_information, text_chi2_terms, text_info_gain, text_mutual_information, title_bleu, trigram_lm, byte_pairs, embedding_cosine_topk, embedding_knn_label, als_factors, naive_bayes, svd_lsa,
     )
 }
 
@@ -287,6 +293,12 @@ SQL = {
         p as (select a.l_orderkey, avg(cast(a.p_brand <> b.p_brand as double)) as v from t a join t b on a.l_orderkey = b.l_orderkey and a.r < b.r group by 1)
         select (select round(count(distinct l_partkey) / (select count(*) from part), 6) from t) as coverage, (select round(avg(v), 6) from p) as diversity""",
     "hybrid_scores": f"with {_R}, g as (select item, avg(rating) as a, count(*) as n from r0 group by 1) select item, round(0.7 * a + 0.3 * (p_size / 5), 6) as weighted, round(case when n >= 20 then a else p_size / 5 end, 6) as switched from g join part on p_partkey = item",
+    "title_bleu": f"""with t as (select doc_id, {_W.format('title_en')} as c, {_W.format("coalesce(body_en, '')")} as r from documents where title_en <> ''), g as (select *, list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1]) as c2, list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]) as r2 from t where len(c) > 0 and len(r) > 0),
+        p as (select doc_id, len(c) as lc, len(r) as lr, list_sum(list_transform(list_distinct(c), lambda g: least(len(list_filter(c, lambda x: x = g)), len(list_filter(r, lambda x: x = g))))) / len(c) as p1,
+              case when len(c2) > 0 then list_sum(list_transform(list_distinct(c2), lambda g: least(len(list_filter(c2, lambda x: x = g)), len(list_filter(r2, lambda x: x = g))))) / len(c2) else 0 end as p2 from g)
+        select doc_id, case when p1 * p2 > 0 then round(ln(case when lc >= lr then 1.0 else exp(1.0 - lr / lc) end * sqrt(p1 * p2)), 6) end as log_bleu from p""",
+    "trigram_lm": f"""with t as (select {_W.format('body_en')} as w from documents where body_en is not null), g as (select unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i] || ' ' || w[i + 1], w[i + 2]])) as g from t where len(w) >= 3),
+        c as (select g[1] as context, g[2] as word, count(*) as n from g group by 1, 2) select context, word, n, round(n / sum(n) over (partition by context), 8) as p from c""",
     "bigram_lm": f"with {_LM} select first, second, n, round(mle, 8) as mle, round(add_one, 8) as add_one, round(interpolated, 8) as interpolated from lm",
     "perplexity": f"with {_LM}, h as (select -sum(n * log2(interpolated)) / sum(n) as h from lm) select round(h, 5) as entropy, round(power(2.0, h), 4) as perplexity from h",
     "zipf": f"with {_LM}, k as (select term, c, row_number() over (order by c desc, term) as rank from u) select term, c, rank, rank * c as product from k",

@@ -158,8 +158,8 @@ def lca(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_print(spark: SparkSession, d: str) -> DataFrame:
-    """Every node indented by its depth."""
-    return tree_depths(spark, d).select("node", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("node").cast("string")).alias("line"))
+    """The lines of the tree, each node indented by its depth and followed by its subtree; ``place`` is the line's number."""
+    return T.preorder(part_tree(spark, d)).select("place", "node", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("node").cast("string")).alias("line"))
 
 
 def place_containment(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +248,7 @@ _CLO = f"{_E}, clo as (select node, node as anc, 0 as steps from n union all sel
 SQL = {
     "tree_facts": f"with recursive {_CLO} select node, depth, height, size from dep join (select anc as node, max(steps) + 1 as height, count(*) as size from clo group by 1) using (node)",
     "tree_depths": f"with recursive {_CLO} select node, depth from dep",
-    "tree_print": f"with recursive {_CLO} select node, repeat('  ', depth) || node as line from dep",
+    "tree_print": f"with recursive {_E}, pa as (select node, [node] as path from n where node not in (select child from e) union all select e.child, list_append(path, e.child) from pa join e on e.parent = pa.node) select row_number() over (order by path) - 1 as place, node, repeat('  ', len(path) - 1) || node as line from pa",
     "level_ancestor": f"""with recursive {_CLO}, q as (select p_partkey as u, unnest([0, 4, 9]) as d from part)
         select u, d, coalesce(anc, -1) as ancestor from q left join dep on dep.node = u left join clo on clo.node = u and clo.steps = depth - d and d >= 0""",
     "lca": f"""with recursive {_CLO}, q as (select p_partkey as u, (p_partkey * 7 + 3) % ((select max(p_partkey) from part) + 1) as v from part)

@@ -120,3 +120,14 @@ def test_trees_with_a_cycle(spark):
         tree.closure(ring)
     chain = spark.createDataFrame([(k, k + 1) for k in range(20)], "parent long, child long")
     assert rows(tree.node_facts(chain)) == [(k, k, 21 - k, 21 - k) for k in range(21)]
+
+
+def test_tree_in_order(spark):
+    edges = [(1, 5), (1, 3), (3, 9), (3, 4), (5, 7), (20, 21)]
+    got = {r["node"]: r["place"] for r in tree.preorder(spark.createDataFrame(edges, "parent long, child long")).collect()}
+    assert sorted(got, key=got.get) == [1, 3, 4, 9, 5, 7, 20, 21] and sorted(got.values()) == list(range(8))
+
+
+def test_trigrams(spark):
+    d = spark.createDataFrame([(["a", "b", "c", "a", "b"],), (["a", "b", "d"],), (["a", "b"],), ([],), (None,)], "w array<string>")
+    assert rows(language_model.ngram_model(d, "w", 3)) == [("a b", "c", 1, 0.5), ("a b", "d", 1, 0.5), ("b c", "a", 1, 1.0), ("c a", "b", 1, 1.0)]
