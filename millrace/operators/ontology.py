@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +78,58 @@ def inferred_by_domain(triples: DataFrame, domain: dict[str, str], range_: dict[
     a = triples.select("s", F.try_element_at(d, F.col("p")).alias("o"))
     b = triples.select(F.col("o").alias("s"), F.try_element_at(r, F.col("p")).alias("o"))
     return a.union(b).where("o is not null").distinct()
+
+
+#: An expression over classes, as nested tuples: ("class", name), ("and", e, ...), ("or", e, ...), ("not", e), ("value", p, v),
+#: ("some", p, e), ("least", p, number), ("only", p, e), ("one_of", name, ...).
+Expression = tuple
+
+
+def members(e: Expression, triples: DataFrame, subclass: DataFrame, axioms: dict[str, Expression] | None = None, seen: frozenset[str] = frozenset()) -> DataFrame:
+    """``s``: the distinct individuals of an expression under a closed world.
+
+    A class holds those typed so, over ``subclass``, and those of its definition among
+    ``axioms``. A complement is taken of all subjects, or of what an intersection's other
+    parts leave; a class that is defined by itself is an error.
+    """
+    axioms = axioms or {}
+    deeper = lambda x: members(x, triples, subclass, axioms, seen)
+    everyone = lambda: triples.select("s").distinct()
+    kind, *parts = e
+    if kind == "class":
+        name = parts[0]
+        if name in seen:
+            raise ValueError(f"{name} is defined by itself")
+        typed = types(triples, subclass).where(F.col("o") == name).select("s")
+        if name in axioms:
+            typed = typed.union(members(axioms[name], triples, subclass, axioms, seen | {name}))
+        return typed.distinct()
+    if kind == "and":
+        # what only takes away comes last, from what the others leave
+        taken = [p for p in parts if p[0] in ("not", "only")]
+        given = [deeper(p) for p in parts if p not in taken]
+        out = both(*given) if given else everyone()
+        for p in taken:
+            out = but_not(out, deeper(p[1])) if p[0] == "not" else _only(out, triples, p[1], deeper(p[2]))
+        return out.distinct()
+    if kind == "or":
+        return reduce(DataFrame.union, map(deeper, parts)).distinct()
+    if kind == "not":
+        return but_not(everyone(), deeper(parts[0]))
+    if kind == "only":
+        return _only(everyone(), triples, parts[0], deeper(parts[1]))
+    if kind == "value":
+        return has_value(triples, *parts)
+    if kind == "some":
+        return some_from(triples, parts[0], deeper(parts[1]))
+    if kind == "least":
+        return some_at_least(triples, parts[0], parts[1])
+    if kind == "one_of":
+        return triples.sparkSession.createDataFrame([(n,) for n in parts], "s string")
+    raise ValueError(f"no expression {kind!r}")
+
+
+def _only(these: DataFrame, triples: DataFrame, p: str, allowed: DataFrame) -> DataFrame:
+    """Those of ``these`` with no value of ``p`` outside ``allowed``; those without any value are in."""
+    other = of(triples, p).join(allowed.select(F.col("s").alias("o")), "o", "left_anti").select("s")
+    return but_not(these, other)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,24 +172,25 @@ def place_containment(spark: SparkSession, d: str) -> DataFrame:
     return O.transitive(located, "locatedIn")
 
 
+#: Definitions of classes, as ``readers.read_axioms`` reads them from a document.
+AXIOMS = {
+    "celtics_player": ("and", ("class", "Player"), ("value", "playsFor", "BostonCeltics")),
+    "atlantic_team": ("and", ("class", "NBATeam"), ("value", "inDivision", "Atlantic")),
+    "champion": ("and", ("class", "Player"), ("some", "hasWon", ("class", "Championship"))),
+    "champion_coach": ("and", ("class", "Coach"), ("some", "hasWon", ("class", "Championship"))),
+    "contender_team": ("and", ("class", "NBATeam"), ("least", "winPercentage", 0.60)),
+    "elite_shooter": ("and", ("class", "Player"), ("least", "threePoint", 0.40)),
+    "veteran_player": ("and", ("class", "Player"), ("least", "age", 32)),
+    "triple_double": ("and", ("class", "Player"), ("least", "assists", 10), ("least", "points", 10), ("least", "rebounds", 10)),
+    "pure_guard": ("and", ("class", "Player"), ("only", "hasPosition", ("one_of", "PointGuard", "ShootingGuard"))),
+    "veteran_ring_chaser": ("and", ("class", "veteran_player"), ("not", ("class", "champion")), ("some", "playsFor", ("class", "contender_team"))),
+}
+
+
 def _classes(t: DataFrame, sub: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    typed = lambda c: O.types(t, sub).where(F.col("o") == c).select("s")
-    won = O.some_from(t.withColumn("p", F.when(F.col("p") == "hasWonAward", "hasWon").otherwise(F.col("p"))), "hasWon", typed("Championship"))
-    champion = lambda: O.both(typed("Player"), won)
-    veteran = lambda: O.both(typed("Player"), O.some_at_least(t, "age", 32))
-    contender = lambda: O.both(typed("NBATeam"), O.some_at_least(t, "winPercentage", 0.60))
-    return {
-        "celtics_player": lambda: O.both(typed("Player"), O.has_value(t, "playsFor", "BostonCeltics")),
-        "atlantic_team": lambda: O.both(typed("NBATeam"), O.has_value(t, "inDivision", "Atlantic")),
-        "champion": champion,
-        "champion_coach": lambda: O.both(typed("Coach"), won),
-        "contender_team": contender,
-        "elite_shooter": lambda: O.both(typed("Player"), O.some_at_least(t, "threePoint", 0.40)),
-        "veteran_player": veteran,
-        "triple_double": lambda: O.both(typed("Player"), *[O.some_at_least(t, p, 10) for p in ("assists", "points", "rebounds")]),
-        "pure_guard": lambda: O.all_from(typed("Player"), t, "hasPosition", ["PointGuard", "ShootingGuard"]),
-        "veteran_ring_chaser": lambda: O.both(O.but_not(veteran(), champion()), O.some_from(t, "playsFor", contender())),
-    }
+    # a value of a sub-property is one of the property
+    closed = t.unionByName(O.sub_property(t, "hasWon", ["hasWonAward"]).select("s", F.lit("hasWon").alias("p"), "o")).distinct()
+    return {name: partial(O.members, ("class", name), closed, sub, AXIOMS) for name in AXIOMS}
 
 
 def _owl(name: str):
@@ -219,9 +221,8 @@ def owl_domain_types(spark: SparkSession, d: str) -> DataFrame:
     return O.inferred_by_domain(triples(spark), DOMAINS, RANGES)
 
 
-CLASS_NAMES = ("celtics_player", "atlantic_team", "champion", "champion_coach", "contender_team", "elite_shooter", "veteran_player", "triple_double", "pure_guard", "veteran_ring_chaser")
 QUERIES = {f.__name__: f for f in (tree_facts, tree_depths, level_ancestor, lca, tree_print, place_containment, owl_types, owl_inverse, owl_subproperty, owl_functional_violations, owl_domain_types)} | {
-    f"owl_{n}": _owl(n) for n in CLASS_NAMES
+    f"owl_{n}": _owl(n) for n in AXIOMS
 }
 
 _T = "t(s, p, o) as (values " + ", ".join(f"('{s}', '{p}', '{o}')" for s, p, o in TRIPLES) + ")"

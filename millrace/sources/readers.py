@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from xml.etree import ElementTree
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +146,68 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+#: Bytes of an ontology document that the driver may parse.
+MOST_ONTOLOGY = 64 << 20
+
+_OWL, _RDF, _RDFS, _XSD = ("{http://www.w3.org/%s#}" % x for x in ("2002/07/owl", "1999/02/22-rdf-syntax-ns", "2000/01/rdf-schema", "2001/XMLSchema"))
+
+
+def read_axioms(spark: SparkSession, path: str) -> tuple[dict[str, tuple], list[tuple[str, str]], dict[str, list[str]]]:
+    """Class definitions, (class, superclass) pairs, and sub-properties by property of an RDF/XML document.
+
+    Definitions are expressions as ``operators.ontology.members`` takes them. Axioms are a
+    schema and few, so they are parsed on the driver, up to a checked size; what lies beyond
+    the forms known is an error and not left out.
+    """
+    raw = spark.read.format("binaryFile").load(path).select("length", "content")
+    if (raw.agg(F.sum("length")).first()[0] or 0) > MOST_ONTOLOGY:
+        raise ValueError(f"{path} is too large for an ontology")
+    root = ElementTree.fromstring(bytes(raw.first()["content"]))
+    local = lambda iri: re.split("[#/:]", iri)[-1]
+    about = lambda x: local(x.get(f"{_RDF}about") or x.get(f"{_RDF}resource") or "")
+
+    def expression(x) -> tuple:
+        """An element that stands for a class: a name, a restriction, or an anonymous class."""
+        if x.get(f"{_RDF}about") or x.get(f"{_RDF}resource"):
+            return ("class", about(x))
+        if x.tag == f"{_OWL}Restriction":
+            return restriction(x)
+        for child in x:
+            if child.tag in (f"{_OWL}intersectionOf", f"{_OWL}unionOf"):
+                return ("and" if child.tag.endswith("intersectionOf") else "or", *[expression(c) for c in child])
+            if child.tag == f"{_OWL}complementOf":
+                return ("not", ("class", about(child)) if len(child) == 0 else expression(child[0]))
+            if child.tag == f"{_OWL}oneOf":
+                return ("one_of", *[about(c) for c in child])
+        raise ValueError(f"no class expression in {x.tag}")
+
+    def restriction(x) -> tuple:
+        p = about(x.find(f"{_OWL}onProperty"))
+        for form, kind in (("hasValue", "value"), ("someValuesFrom", "some"), ("allValuesFrom", "only")):
+            v = x.find(f"{_OWL}{form}")
+            if v is None:
+                continue
+            if kind == "value":
+                return ("value", p, about(v) or (v.text or "").strip())
+            low = v.find(f".//{_XSD}minInclusive")
+            if low is not None:
+                return ("least", p, float(low.text))
+            return (kind, p, ("class", about(v)) if len(v) == 0 else expression(v[0]))
+        raise ValueError(f"no restriction on {p}")
+
+    definitions: dict[str, tuple] = {}
+    above: list[tuple[str, str]] = []
+    for c in root.findall(f"{_OWL}Class"):
+        for e in c.findall(f"{_OWL}equivalentClass"):
+            definitions[about(c)] = ("class", about(e)) if len(e) == 0 else expression(e[0])
+        above += [(about(c), about(s)) for s in c.findall(f"{_RDFS}subClassOf") if about(s)]
+    below: dict[str, list[str]] = {}
+    for p in root.findall(f"{_OWL}ObjectProperty"):
+        for s in p.findall(f"{_RDFS}subPropertyOf"):
+            below.setdefault(about(s), []).append(about(p))
+    return definitions, above, below
+
+
 def read_annotations(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
     """Annotation rows of separated values with a header."""
     return read_csv(spark, path, sep=sep)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import ontology
 from millrace.sources import readers, writers
 from millrace.streaming import interactions
 
@@ -96,3 +97,39 @@ def test_stream(spark, data, tmp_path):
     # rows of windows that the watermark has not passed yet stay in the state
     assert 0 < got.agg(F.sum("n")).first()[0] <= batch.count()
     assert got.groupBy("start", "person_id").count().where("count > 1").isEmpty()
+
+
+def test_axioms(spark, tmp_path):
+    """Definitions read from a document hold for the individuals of the same document."""
+    iri = "http://example.org/o#"
+    restrict = lambda p, body: f'<owl:Restriction><owl:onProperty rdf:resource="{iri}{p}"/>{body}</owl:Restriction>'
+    named = lambda c: f'<rdf:Description rdf:about="{iri}{c}"/>'
+    least = '<owl:someValuesFrom><rdfs:Datatype><owl:withRestrictions rdf:parseType="Collection"><rdf:Description><xsd:minInclusive>32</xsd:minInclusive></rdf:Description></owl:withRestrictions></rdfs:Datatype></owl:someValuesFrom>'
+    only = f'<owl:allValuesFrom><owl:Class><owl:oneOf rdf:parseType="Collection">{named("Red")}{named("Blue")}</owl:oneOf></owl:Class></owl:allValuesFrom>'
+
+    def define(name, *parts):
+        return f'<owl:Class rdf:about="{iri}{name}"><owl:equivalentClass><owl:Class><owl:intersectionOf rdf:parseType="Collection">{"".join(parts)}</owl:intersectionOf></owl:Class></owl:equivalentClass><rdfs:subClassOf rdf:resource="{iri}Person"/></owl:Class>'
+
+    people = {"ann": ("40", ["Red"], "T1"), "bob": ("31", ["Red", "Green"], "T1"), "cid": ("32", [], "T2")}
+    individuals = "".join(
+        f'<owl:NamedIndividual rdf:about="{iri}{n}"><rdf:type rdf:resource="{iri}Person"/><o:age>{a}</o:age><o:playsFor rdf:resource="{iri}{t}"/>{"".join(f"<o:likes rdf:resource={iri + c!r}/>" for c in cs)}</owl:NamedIndividual>'.replace("='", '="').replace("'/>", '"/>')
+        for n, (a, cs, t) in people.items()
+    )
+    document = f"""<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:xsd="http://www.w3.org/2001/XMLSchema#" xmlns:o="{iri}">
+    <owl:ObjectProperty rdf:about="{iri}hasWonAward"><rdfs:subPropertyOf rdf:resource="{iri}hasWon"/></owl:ObjectProperty>
+    {define("Old", named("Person"), restrict("age", least))}
+    {define("Plain", named("Person"), restrict("likes", only))}
+    {define("OfT1", named("Person"), restrict("playsFor", f'<owl:hasValue rdf:resource="{iri}T1"/>'))}
+    {define("OldNotT1", named("Old"), f'<owl:Class><owl:complementOf rdf:resource="{iri}OfT1"/></owl:Class>')}
+    {individuals}</rdf:RDF>"""
+    (tmp_path / "o.rdf").write_text(document)
+    path = str(tmp_path / "o.rdf")
+    axioms, above, below = readers.read_axioms(spark, path)
+    assert axioms["OldNotT1"] == ("and", ("class", "Old"), ("not", ("class", "OfT1"))) and ("Old", "Person") in above and below == {"hasWon": ["hasWonAward"]}
+    t, sub = readers.read_triples(spark, path), spark.createDataFrame(above, "child string, parent string")
+    got = {c: sorted(r[0] for r in ontology.members(("class", c), t, sub, axioms).collect()) for c in axioms}
+    assert got == {"Old": ["ann", "cid"], "Plain": ["ann", "cid"], "OfT1": ["ann", "bob"], "OldNotT1": ["cid"]}
+    either = ("or", ("class", "OldNotT1"), ("not", ("class", "Old")))
+    assert sorted(r[0] for r in ontology.members(either, t, sub, axioms).collect()) == ["bob", "cid"]
+    with pytest.raises(ValueError):
+        ontology.members(("class", "A"), t, sub, {"A": ("not", ("class", "A"))})
