@@ -22,10 +22,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     labels = durable(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
     while True:
-        offered = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("component").alias("offer"))
-        lower = labels.join(offered, F.col("node") == F.col("x")).select("node", F.col("component").alias("old"), F.least("component", "offer").alias("c"))
+        offered = both.hint("merge").join(labels.hint("merge"), F.col("y") == F.col("node")).groupBy("x").agg(F.min("component").alias("offer"))
+        lower = labels.hint("merge").join(offered.hint("merge"), F.col("node") == F.col("x")).select("node", F.col("component").alias("old"), F.least("component", "offer").alias("c"))
         jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        moved = durable(lower.join(jump, F.col("c") == F.col("_n"), "left").select("node", "old", F.least("c", F.coalesce("_c", "c")).alias("component")))
+        moved = durable(lower.hint("merge").join(jump.hint("merge"), F.col("c") == F.col("_n"), "left").select("node", "old", F.least("c", F.coalesce("_c", "c")).alias("component")))
         labels = moved.select("node", "component")
         if moved.where("component <> old").isEmpty():
             return labels

@@ -275,12 +275,12 @@ def entries(names: DataFrame) -> DataFrame:
     token = parsed.where("size(long) > 1").select("id", F.explode("long").alias("token"), "long")
     partners = token.select("token", F.explode(F.array_except("long", F.array("token"))).alias("other")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("partners"))
     open_ = parsed.where("family = '' and size(long) > 1").select("id", F.explode("long").alias("token"))
-    told = open_.join(partners, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("partners", "token"))).alias("t"))
+    told = open_.hint("merge").join(partners.hint("merge"), "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("partners", "token"))).alias("t"))
     rarest, common = F.col("t")[0], F.element_at("t", -1)
     families = F.when(F.col("t").isNull(), F.array(F.col("family"))).when(
         (common["partners"] >= F.lit(4) * rarest["partners"]) & (common["partners"] >= GIVEN_PARTNERS), F.array(rarest["token"])
     ).otherwise(F.transform("t", lambda s: s["token"]))
-    roles = parsed.join(told, "id", "left").select("id", "field", "name", "long", "initials", "kinds", F.explode(F.when(F.col("family") != "", F.array("family")).otherwise(families)).alias("family"))
+    roles = parsed.hint("merge").join(told.hint("merge"), "id", "left").select("id", "field", "name", "long", "initials", "kinds", F.explode(F.when(F.col("family") != "", F.array("family")).otherwise(families)).alias("family"))
     given = F.filter("long", lambda w: ~F.array_contains(F.split("family", " "), w))
     out = roles.select("id", "field", "family", F.coalesce(F.get(given, F.lit(0)), F.lit("")).alias("given"), "initials", "kinds").where("family <> ''")
     known = partners.select(F.col("token").alias("given"), "partners")

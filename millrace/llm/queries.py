@@ -85,7 +85,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping pairs, and the evaluation rows in them, by split and source."""
     rows = table(spark, d, "questions").select(F.col("row_id").alias("eval_id"), "split_name", "dataset_source")
-    return _overlaps(spark, d).join(rows, "eval_id").groupBy("split_name", "dataset_source").agg(
+    return _overlaps(spark, d).hint("merge").join(rows.hint("merge"), "eval_id").groupBy("split_name", "dataset_source").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval_rows")
     )
 
