@@ -334,7 +334,7 @@ def _attach(members: DataFrame, weak: DataFrame) -> DataFrame:
 
 def variant_classes(df: DataFrame, fields: list[str]) -> DataFrame:
     """``field_name, name, class, score``: every spelling that has variants, the smallest name of its class, and the rarity of its best link."""
-    names = durable(spellings(df, fields))
+    names = spellings(df, fields)
     of, entry = readings(durable(entries(names)))
     link = durable(links(entry))
     strong = components(link.where("kind = 3"))
