@@ -54,15 +54,16 @@ def fit_biases(rows: DataFrame, rounds: int = ROUNDS, lambda_user: float = LAMBD
     round needs; a hot key still has a pair for each of its partners. The pairs are not laid
     out by key, as that would put a hot key's pairs into one task: the bias table of the other
     side is joined by broadcast while its measured size allows, else by a merge join that
-    adaptive execution splits, and sums leave each task once for each key. A bias table is written
-    after each half round, so the plan does not grow and a lost executor costs one round.
+    adaptive execution splits, and sums leave each task once for each key. The books'
+    biases are written after each round, so the plan does not grow and a lost executor costs one round.
     """
     mu = rows.agg(F.avg("rating")).first()[0] or 0.0
     pairs = durable(rows.groupBy("user_id", "book_id").agg(F.sum(F.col("rating") - F.lit(mu)).alias("s"), F.count(F.lit(1)).alias("c")))
     user = item = None
-    for _ in range(rounds):
+    for n in range(rounds):
         user = _half(pairs, "user_id", "book_id", item, lambda_user)
-        item = _half(pairs, "book_id", "user_id", user, lambda_item)
+        user = durable(user) if n == rounds - 1 else user
+        item = durable(_half(pairs, "book_id", "user_id", user, lambda_item))
     return mu, user, item
 
 
@@ -71,7 +72,7 @@ def _half(pairs: DataFrame, key: str, other: str, bias: DataFrame | None, lam: f
         part = pairs.select(key, "s", "c")
     else:
         part = pairs.join(bias.withColumnRenamed("bias", "_b"), other, "left").select(key, (F.col("s") - F.col("c") * F.coalesce("_b", F.lit(0.0))).alias("s"), "c")
-    return durable(part.groupBy(key).agg((F.sum("s") / (F.lit(lam) + F.sum("c"))).alias("bias")))
+    return part.groupBy(key).agg((F.sum("s") / (F.lit(lam) + F.sum("c"))).alias("bias"))
 
 
 def bias_predictions(rows: DataFrame, mu: float, user: DataFrame, item: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def features(rows: DataFrame, fitted: DataFrame, users: DataFrame, books: DataFr
     sides = []
     for key, name, entity, bias in (("user_id", "user", users, user.withColumnRenamed("bias", "bias_user")), ("book_id", "book", books, item.withColumnRenamed("bias", "bias_item"))):
         s = fitted.groupBy(key).agg(F.avg("rating").alias(f"{name}_mean"), F.count(F.lit(1)).alias(f"{name}_count"))
-        sides.append(durable(entity.join(bias, key, "full").join(s, key, "full")))
+        sides.append(entity.join(bias, key, "full").join(s, key, "full"))
     base = enriched(fitted, users, books)
     out = enriched(rows, *sides)
     raw = F.lit(mu) + F.coalesce("bias_user", F.lit(0.0)) + F.coalesce("bias_item", F.lit(0.0))

@@ -121,7 +121,7 @@ def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     train, test = map(durable, _split(spark, d))
     vectors = durable(_vectors(spark, d))
     read = train.select("content_id").union(test.select("content_id")).distinct()
-    profile = recommend.profiles(train, vectors.join(read, "content_id", "left_semi"))
+    profile = durable(recommend.profiles(train, vectors.join(read, "content_id", "left_semi")))  # its persons are counted before they are scored
     return recommend.top_unseen(profile, vectors, train), test, profile
 
 
