@@ -16,9 +16,9 @@ def written(spark, folder, name, rows, schema):
 def test_title_bleu_reads_whole_bodies(spark, tmp_path):
     long = " ".join(f"word{i}" for i in range(40))
     d = written(spark, tmp_path, "documents", [(1, long, long), (2, "aa bb", "cc dd ee aa bb")], "doc_id long, title_en string, body_en string")
-    got = {r["doc_id"]: r["bleu"] for r in measure_queries.title_bleu(spark, d).collect()}
-    assert len(long) > 100 and got[1] == 1.0
-    assert math.isclose(got[2], math.exp(1 - 5 / 2))
+    got = {r["doc_id"]: r["log_bleu"] for r in measure_queries.title_bleu(spark, d).collect()}
+    assert len(long) > 100 and got[1] == 0.0
+    assert math.isclose(got[2], 1 - 5 / 2)
 
 
 PAIRS = [(str(i), "a", f"what is the share price of stock {'one two three'.split()[i % 3]}", f"option {'low high'.split()[i % 2]}", i % 2) for i in range(12)]
