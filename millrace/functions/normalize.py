@@ -210,11 +210,14 @@ def english_only(sheet: Column, key: Column) -> Column:
     return F.when(name != "", name == "english").otherwise(~F.startswith(strip(F.coalesce(key, F.lit(""))), F.lit("zh_")))
 
 
+#: Fixed value: how the prompt begins.
+PROMPT = "You are answering a financial multiple-choice question.\nExactly one option is correct. Return only one option letter."
+
+
 def answer_prompt(question: Column, labels: Column, options: Column) -> Column:
     """The text that asks a language model for one letter: question, one line for each option, and the word before the answer."""
     lines = F.transform(labels, lambda k: F.concat(F.upper(k), F.lit(". "), F.coalesce(strip(F.try_element_at(options, k)), F.lit(""))))
-    head = "You are answering a financial multiple-choice question.\nExactly one option is correct. Return only one option letter."
-    return F.concat(F.lit(f"{head}\n\nQuestion:\n"), question, F.lit("\n\nOptions:\n"), F.array_join(lines, "\n"), F.lit("\n\nAnswer:"))
+    return F.concat(F.lit(f"{PROMPT}\n\nQuestion:\n"), question, F.lit("\n\nOptions:\n"), F.array_join(lines, "\n"), F.lit("\n\nAnswer:"))
 
 
 def title_and_text(title: Column, text: Column) -> Column:

@@ -310,3 +310,7 @@ SQL = {
     "embedding_knn_label": f"""with v as (select vec_id, label, embedding as e, sqrt({_DOT.format('embedding', 'embedding')}) as n from embeddings), s as (select q.vec_id as qid, v.vec_id, v.label, round({_DOT.format('v.e', 'q.e')} / (v.n * q.n), 6) as score from v join v q on q.vec_id % 100 = 0 and v.vec_id <> q.vec_id),
         t as (select qid, label, count(*) as n from (select *, row_number() over (partition by qid order by score desc, vec_id) as r from s) where r <= 5 group by 1, 2) select qid as vec_id, arg_min(label, struct_pack(a := -n, b := label)) as predicted from t group by 1""",
 }
+
+#: The same over titles and bodies of all languages.
+_WHOLE = "(select doc_id, source, concat_ws(chr(10), nullif(title_en, ''), nullif(body_en, ''), nullif(title_ru, ''), nullif(body_ru, '')) as t from documents)"
+SQL |= {f"text_{n}": SQL[n].replace(_W.format("title_en"), _W.format("t")).replace("from documents where title_en <> ''", f"from {_WHOLE} where t <> ''") for n in ("chi2_terms", "info_gain", "mutual_information")}

@@ -208,6 +208,9 @@ SQL = {
     "phrase_search": f"select doc_id from documents where {_PHRASE.format(_words('body_en', 1))} or {_PHRASE.format(_words('title_en', 1))}",
     "fuzzy_terms": f"with voc as (select distinct unnest({_words('body_en')}) as term from documents) {_fuzzy_sql('govermnent')} union all {_fuzzy_sql('repart')} union all {_fuzzy_sql('counsil')}",
     "highlight": f"select doc_id, {_highlight_sql('body_en')} as snippet from documents where body_en is not null and {_highlight_sql('body_en')} <> ''",
+    "text_cooccurrence": "with w as (" + " union all ".join(f"select {_words(f)} as w from documents" for f in fields_for("ALL")) + """),
+        p as (select unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) as p from w where len(w) > 1 union all select unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 2]])) from w where len(w) > 2)
+        select p[1] as "left", p[2] as "right", count(*) as n from p group by 1, 2""",
     "cooccurrence": f"""with t as (select doc_id, unnest({_words('title_en')}) as term, generate_subscripts({_words('title_en')}, 1) as pos from documents where title_en is not null)
         select a.term as "left", b.term as "right", count(*) as n from t a join t b on a.doc_id = b.doc_id and b.pos - a.pos between 1 and 2 group by 1, 2""",
 }
