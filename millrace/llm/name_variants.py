@@ -11,11 +11,14 @@ scored by the rarity of its rarest shared rewriting - 1 where nobody else has it
 on the whole names.
 
 Which of two names without a comma is the family is told by rarity: a given name goes with
-many others, a family name with few. Rarity also settles the links: a spelling that only has
-initials, or leaves out a middle initial, is linked to the one person it fits, or to the one
-that its rewritings single out clearly; and to nobody if it fits several alike. Links are
-closed to whole persons by connected components. A lone family name is linked to other lone
-ones only, as any of its bearers may be meant.
+many others, a family name with few. A spelling that only has initials, or leaves out a middle
+initial, is linked to the one person it fits, or to the one whose family name is fewest edits
+away, or of those to the one that its rewritings single out clearly by their rarity; and to
+nobody if it fits several alike. Links between spellings with a given name are closed to whole
+persons by connected components; each spelling with initials only then finds its person by
+itself, as in a large table those of two persons are often alike, and only those that found
+none are linked to each other. A lone family name is linked to other lone ones only, as any of
+its bearers may be meant.
 
 Rows are reduced to distinct spellings first, so a spelling on a third of all rows is one row
 here. Nulls, blanks, and filler words mean nobody and have no variants. All joins of data to
@@ -71,8 +74,9 @@ KIND_OF = {w: k for k, v in KINDS.items() for w in (k, *v.split())}
 
 
 #: Other names that a given name goes with at least, for rarity to tell it from a family; else both readings are tried.
-#: Two given names of that kind are names of their own and no misspellings of each other.
-GIVEN_PARTNERS = 15
+#: Two given names of that kind are names of their own and no misspellings of each other, unless one goes with so many
+#: times as many others as the other: a large table has the same misspelling of a common name with many families.
+GIVEN_PARTNERS, COMMONER = 15, 10
 
 
 def plain(s: str) -> str:
@@ -189,7 +193,8 @@ def link_kind(a: dict, b: dict) -> int:
         g = _given_distance(ga, gb)
         if g > (2 if d == 0 and min(len(ga), len(gb)) >= 5 else 1 if d <= 1 and min(len(ga), len(gb)) >= 3 else 0):
             return 0
-        if g and all(x in MEANS or n >= GIVEN_PARTNERS for x, n in ((ga, a["partners"]), (gb, b["partners"]))):
+        na, nb = a["partners"], b["partners"]
+        if g and all(x in MEANS or n >= max(GIVEN_PARTNERS, other / COMMONER) for x, n, other in ((ga, na, nb), (gb, nb, na))):
             return 0
         return 0 if ia and ib and ia[0] != ib[0] else 3 if bool(ia) == bool(ib) else 2
     if not ga and not gb:
@@ -249,8 +254,8 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for x, y, score in zip(b["x"], b["y"], b["score"], strict=True):
             if k := link_kind(x, y):
-                rows.append((x["id"], y["id"], k, score, bool(x["given"]) or x["field"] == "publisher", bool(y["given"]) or y["field"] == "publisher", len(x["initials"]) + len(x["kinds"]), len(y["initials"]) + len(y["kinds"])))
-        yield pd.DataFrame(rows, columns=["a", "b", "kind", "score", "full_a", "full_b", "more_a", "more_b"])
+                rows.append((x["id"], y["id"], k, -edit_distance(x["family"], y["family"]), score, bool(x["given"]) or x["field"] == "publisher", bool(y["given"]) or y["field"] == "publisher", len(x["initials"]) + len(x["kinds"]), len(y["initials"]) + len(y["kinds"])))
+        yield pd.DataFrame(rows, columns=["a", "b", "kind", "near", "score", "full_a", "full_b", "more_a", "more_b"])
 
 
 def spellings(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -308,8 +313,8 @@ def links(entry: DataFrame) -> DataFrame:
     side = entry.select("id", F.struct("id", "field", "family", "given", "initials", "kinds", "partners").alias("e"))
     x, y = side.select(F.col("id").alias("a"), F.col("e").alias("x")), side.select(F.col("id").alias("b"), F.col("e").alias("y"))
     judged = spread(pairs, PAIRS_A_TASK).hint("merge").join(x.hint("merge"), "a").hint("merge").join(y.hint("merge"), "b")
-    out = judged.select("x", "y", "score").mapInPandas(_judge, "a long, b long, kind int, score double, full_a boolean, full_b boolean, more_a int, more_b int")
-    return out.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("kind", "score", "full_a", "full_b", "more_a", "more_b")])
+    out = judged.select("x", "y", "score").mapInPandas(_judge, "a long, b long, kind int, near int, score double, full_a boolean, full_b boolean, more_a int, more_b int")
+    return out.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("kind", "near", "score", "full_a", "full_b", "more_a", "more_b")])
 
 
 #: How many times the rarity of the next person's rewriting one's own must have to be singled out.
@@ -317,12 +322,12 @@ CLEARLY = 2.0
 
 
 def _attach(members: DataFrame, weak: DataFrame) -> DataFrame:
-    """Merge each component into the only one its weak links (``low`` to ``high``) lead to, or single out by their rarity; leave it else."""
+    """Merge each component into the only one its weak links (``low`` to ``high``) lead to, or the nearest, or of those as near the one that rarity singles out; leave it else."""
     a = members.select(F.col("id").alias("low"), F.col("c").alias("low_c"))
     b = members.select(F.col("id").alias("high"), F.col("c").alias("high_c"))
-    offers = weak.hint("merge").join(a.hint("merge"), "low").hint("merge").join(b.hint("merge"), "high").where("low_c <> high_c").groupBy("low_c", "high_c").agg(F.max("score").alias("score"))
-    best = offers.groupBy("low_c").agg(F.max(F.struct("score", "high_c")).alias("t"))
-    other = offers.hint("merge").join(best.hint("merge"), "low_c").where("high_c <> t.high_c").groupBy("low_c").agg(F.max("score").alias("next"))
+    offers = weak.hint("merge").join(a.hint("merge"), "low").hint("merge").join(b.hint("merge"), "high").where("low_c <> high_c").groupBy("low_c", "high_c").agg(F.max(F.struct("near", "score")).alias("s"))
+    best = offers.groupBy("low_c").agg(F.max(F.struct("s.near", "s.score", "high_c")).alias("t"))
+    other = offers.hint("merge").join(best.hint("merge"), "low_c").where("high_c <> t.high_c and s.near = t.near").groupBy("low_c").agg(F.max("s.score").alias("next"))
     target = (
         best.hint("merge").join(other.hint("merge"), "low_c", "left").where(F.col("next").isNull() | (F.col("t.score") >= F.lit(CLEARLY) * F.col("next")))
         .select(F.col("low_c").alias("c"), F.col("t.high_c").alias("one"))
@@ -337,13 +342,23 @@ def variant_classes(df: DataFrame, fields: list[str]) -> DataFrame:
     names = spellings(df, fields)
     of, entry = readings(durable(entries(names)))
     link = durable(links(entry))
-    strong = components(link.where("kind = 3"))
+    strong = components(link.where("kind = 3 and full_a and full_b"))
     heads = of.where("id = head").select("id")
     c = heads.hint("merge").join(strong.hint("merge"), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c"))
-    swap = link.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind", "score", F.col("full_b").alias("full_a"), F.col("full_a").alias("full_b"), F.col("more_b").alias("more_a"), F.col("more_a").alias("more_b"))
+    swap = link.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind", "near", "score", F.col("full_b").alias("full_a"), F.col("full_a").alias("full_b"), F.col("more_b").alias("more_a"), F.col("more_a").alias("more_b"))
     both = link.unionByName(swap)
-    c = durable(_attach(c, both.where("kind = 2 and more_a < more_b").select(F.col("a").alias("low"), F.col("b").alias("high"), "score")))
-    c = durable(_attach(c, both.where("kind = 1 and not full_a and full_b").select(F.col("a").alias("low"), F.col("b").alias("high"), "score")))
+    offer = lambda told: both.where(told).select(F.col("a").alias("low"), F.col("b").alias("high"), "near", "score")
+    c = durable(_attach(c, offer("kind = 2 and full_a and full_b and more_a < more_b")))
+    c = durable(_attach(c, offer("kind = 1 and not full_a and full_b")))
+    # those without a given name that found no person: linked to each other, and to the persons of those they are alike to
+    lone = entry.groupBy("id").agg(F.max(F.expr("given <> '' or field = 'publisher'")).alias("full")).where("not full").select("id")
+    loose = durable(c.where("id = c").select("id").hint("merge").join(lone.hint("merge"), "id", "left_semi"))
+    initials = "not full_a and not full_b"
+    among = link.where(f"kind = 3 and {initials}").hint("merge").join(loose.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi").hint("merge").join(loose.select(F.col("id").alias("b")).hint("merge"), "b", "left_semi")
+    groups = components(among)
+    c = c.hint("merge").join(groups.hint("merge"), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "c").alias("c"))
+    led = offer(f"(kind = 3 or kind = 2 and more_a < more_b) and {initials}").hint("merge").join(loose.select(F.col("id").alias("low")).hint("merge"), "low", "left_semi")
+    c = durable(_attach(c, led))
     alike = of.groupBy("head").agg(F.count(F.lit(1)).alias("_n"))
     scores = both.groupBy(F.col("a").alias("head")).agg(F.max("score").alias("_s"))
     members = of.hint("merge").join(c.select(F.col("id").alias("head"), "c").hint("merge"), "head").hint("merge").join(alike.hint("merge"), "head").hint("merge").join(scores.hint("merge"), "head", "left")

@@ -216,3 +216,17 @@ def test_words(spark, text, out):
     d = spark.createDataFrame([(text,)], "t string").select(split_overlap.words_of(F.col("t")).alias("w"))
     got = d.first()["w"]
     assert got == out or [w for w in got if not re.fullmatch("–", w)] == out
+
+
+def test_common_misspelling():
+    """In a large table a misspelt given name goes with many families, too, but with far fewer than the name."""
+    side = lambda given, partners: {"field": "author", "family": "hipatogral", "given": given, "initials": [], "partners": partners}
+    assert name_variants.link_kind(side("samul", 140), side("samuel", 8000)) == 3
+    assert name_variants.link_kind(side("marta", 140), side("marka", 300)) == 0
+
+
+def test_initials_of_near_families(spark):
+    """Initials with families that are misspellings of each other: each goes to the person of its own family."""
+    one, two = {"Helena Dratrikrul", "Dratrikrul, Helena", "H. Dratrikrul"}, {"Hiroko Dratrokrul", "Dratrokrul, Hiroko", "H. Dratrokrul"}
+    got = name_variants.variant_classes(spark.createDataFrame([(x,) for x in sorted(one | two)], "author string"), ["author"]).select("class", "name").collect()
+    assert {frozenset(r["name"] for r in got if r["class"] == c) for c in {r["class"] for r in got}} == {frozenset(one), frozenset(two)}
