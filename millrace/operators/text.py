@@ -53,8 +53,16 @@ def _runs(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return key // max(len(terms), 1), terms.take(pa.array(key % max(len(terms), 1))), count
 
 
+#: Rows of a batch whose terms are counted at a time; their codes take many times the memory of the batch.
+ROWS_AT_ONCE = 500
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE))
+
+
 def _counts(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _pieces(batches):
         row, term, count = _runs(b.column(1))
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), term, pa.array(count)], names=[id_col, "term", "tf"])
 
@@ -83,7 +91,7 @@ def _weigh(batches: Iterator[pa.RecordBatch], id_col: str, vocabulary) -> Iterat
     """Rows of unit length over the vocabulary's terms."""
     known, idf = vocabulary.value
     known = pa.array(known, pa.string())
-    for b in batches:
+    for b in _pieces(batches):
         row, term, count = _runs(b.column(1))
         at = pc.index_in(term, value_set=known)
         keep = pc.is_valid(at).to_numpy(zero_copy_only=False)
@@ -92,10 +100,31 @@ def _weigh(batches: Iterator[pa.RecordBatch], id_col: str, vocabulary) -> Iterat
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), term, pa.array(w / norm[row])], names=[id_col, "term", "w"])
 
 
+def _weigh_rows(batches: Iterator[pa.RecordBatch], id_col: str, vocabulary) -> Iterator[pa.RecordBatch]:
+    """:func:`_weigh` with a row for each row that has terms, which are told by their place in the vocabulary."""
+    known = pa.array(vocabulary.value[0], pa.string())
+    for b in _pieces(batches):
+        for long in _weigh(iter([b]), id_col, vocabulary):
+            ids = long.column(0)
+            first = np.flatnonzero(np.concatenate([[True], ids.to_numpy()[1:] != ids.to_numpy()[:-1]])) if len(ids) else np.zeros(0, dtype=int)
+            ends = pa.array(np.append(first, len(ids)).astype("int32"))
+            at = pc.index_in(long.column(1), value_set=known)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.ListArray.from_arrays(ends, at), pa.ListArray.from_arrays(ends, long.column(2))], names=[id_col, "at", "w"])
+
+
 #: Terms of a vocabulary that may be sent to every task.
 MOST_TERMS = 1_000_000
 
 
+def _vocabulary(df: DataFrame, id_col: str, tokens: Column, n_docs: int, min_df: int, max_df: float, max_features: int) -> tuple[list[str], np.ndarray]:
+    """The commonest terms and their smoothed idf."""
+    if max_features > MOST_TERMS:
+        raise ValueError(f"{max_features} terms; the vocabulary sent to every task has at most {MOST_TERMS}")
+    common = document_frequency(term_counts(df, id_col, tokens)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.desc("total"), "term").limit(max_features)
+    found = common.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")).collect()
+    return [r[0] for r in found], np.array([r[1] for r in found], dtype=float)
+
+
 def tfidf(df: DataFrame, id_col: str, tokens: Column, n_docs: int, min_df: int = 2, max_df: float = 0.8, max_features: int = 5000) -> DataFrame:
     """``id, term, w``: smoothed idf, rows of unit length, over the commonest terms.
 
@@ -103,15 +132,19 @@ def tfidf(df: DataFrame, id_col: str, tokens: Column, n_docs: int, min_df: int =
     terms, goes to every task, and a second pass weighs each row within itself, so only term
     counts are shuffled.
     """
-    if max_features > MOST_TERMS:
-        raise ValueError(f"{max_features} terms; the vocabulary sent to every task has at most {MOST_TERMS}")
-    common = document_frequency(term_counts(df, id_col, tokens)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.desc("total"), "term").limit(max_features)
-    found = common.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")).collect()
-    vocabulary = df.sparkSession.sparkContext.broadcast(([r[0] for r in found], np.array([r[1] for r in found], dtype=float)))
+    vocabulary = df.sparkSession.sparkContext.broadcast(_vocabulary(df, id_col, tokens, n_docs, min_df, max_df, max_features))
     rows = df.select(id_col, tokens.alias("_w"))
     return rows.mapInArrow(partial(_weigh, id_col=id_col, vocabulary=vocabulary), f"{id_col} {rows.schema[0].dataType.simpleString()}, term string, w double")
 
 
+def tfidf_rows(df: DataFrame, id_col: str, tokens: Column, n_docs: int, min_df: int = 2, max_df: float = 0.8, max_features: int = 5000) -> tuple[DataFrame, int]:
+    """``id, at, w``, the weights of :func:`tfidf` with a row for each row that has any, terms told by their place; and how many terms there are."""
+    found = _vocabulary(df, id_col, tokens, n_docs, min_df, max_df, max_features)
+    vocabulary = df.sparkSession.sparkContext.broadcast(found)
+    rows = df.select(id_col, tokens.alias("_w"))
+    return rows.mapInArrow(partial(_weigh_rows, id_col=id_col, vocabulary=vocabulary), f"{id_col} {rows.schema[0].dataType.simpleString()}, at array<int>, w array<double>"), len(found[0])
+
+
 def term_weights(counts: DataFrame, id_col: str, n_docs: int) -> DataFrame:
     """``id, term, raw, relative``: counts by the logarithm of rarity, and shares of the document's commonest term by the binary one.
 

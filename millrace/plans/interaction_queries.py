@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog import table
@@ -85,11 +85,13 @@ def random_split_train(spark: SparkSession, d: str) -> DataFrame:
     return relational.stratified_split(i, F.col("person_id"), "key", 0.3, 13).where("part = 'train'").select("person_id", "content_id", "strength")
 
 
-def _vectors(spark: SparkSession, d: str, limit: int = 5000, min_df: int = 2, max_df: float = 0.8) -> DataFrame:
+def _english_terms(spark: SparkSession, d: str) -> tuple[DataFrame, str, Column, int]:
     docs = articles(spark, d).where("lang = 'en'")
-    n = docs.count()
-    tokens = text.without_stop_words(text.terms(F.col("text")))
-    return text.tfidf(docs, "content_id", text.with_ngrams(tokens), n, min_df, max_df, limit)
+    return docs, "content_id", text.with_ngrams(text.without_stop_words(text.terms(F.col("text")))), docs.count()
+
+
+def _vectors(spark: SparkSession, d: str, limit: int = 5000, min_df: int = 2, max_df: float = 0.8) -> DataFrame:
+    return text.tfidf(*_english_terms(spark, d), min_df, max_df, limit)
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -117,12 +119,10 @@ def tfidf_baseline(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d, 1000, 1, 1.0).select("content_id", "term", F.round("w", 6).alias("w"))
 
 
-def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     train, test = map(durable, _split(spark, d))
-    vectors = durable(_vectors(spark, d))
-    read = train.select("content_id").union(test.select("content_id")).distinct()
-    profile = durable(recommend.profiles(train, vectors.join(read, "content_id", "left_semi")))  # its persons are counted before they are scored
-    return recommend.top_unseen(profile, vectors, train), test, profile
+    vectors, terms = text.tfidf_rows(*_english_terms(spark, d))
+    return recommend.top_unseen(train, durable(vectors), terms), test
 
 
 def user_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,7 @@ def recommend_topn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rec_metrics(spark: SparkSession, d: str) -> DataFrame:
-    ranked, test, _ = _ranked(spark, d)
+    ranked, test = _ranked(spark, d)
     return recommend.ranking_metrics(test, ranked).select(*[F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr_at_10")], "persons")
 
 
