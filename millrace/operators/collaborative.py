@@ -6,9 +6,18 @@ partial states on the map side; the number of pairs is that of the data's co-rat
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import durable
+
 
 def one_rating(ratings: DataFrame, user: str, item: str) -> DataFrame:
     """``u, i, r``: the mean of each user's ratings of an item."""
@@ -34,13 +43,85 @@ def user_pearson(r: DataFrame, least: int = 3) -> DataFrame:
     return s.where(F.col("n") >= least).select("a", "b", "n", F.when((F.col("aa") > 1e-12) & (F.col("bb") > 1e-12), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0).alias("sim"))
 
 
+#: Users of a packed row, and pairs of items that a task lists at a time.
+USERS_A_ROW, PAIRS_A_TASK = 2_000, 10_000_000
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Baskets as bytes, many users a row: lengths, items in order, and ratings less the user's mean."""
+    for b in batches:
+        for start in range(0, b.num_rows, USERS_A_ROW):
+            c = b.slice(start, USERS_A_ROW).column(0)
+            n, s = pc.list_value_length(c).to_numpy(zero_copy_only=False).astype("int64"), pc.list_flatten(c)
+            x, r = s.field("i").to_numpy(zero_copy_only=False).astype("int64"), s.field("r").to_numpy(zero_copy_only=False)
+            d = r - np.repeat(np.add.reduceat(r, np.cumsum(n) - n) / n, n)
+            rows = [pa.array([v.tobytes()], pa.binary()) for v in (n, x, d)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array([int((n * (n - 1) // 2).sum())])], names=["n", "x", "d", "pairs"])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits."""
+    h = x.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _frequent_pairs(batches: Iterator[pa.RecordBatch], part: int, parts: int, least: int) -> Iterator[pa.RecordBatch]:
+    """``a, b, n, ab, aa, bb`` of the pairs whose smaller item's hash is ``part`` and that ``least`` users share.
+
+    Pairs are told by a hash of 32 bits first, and only those whose hash comes ``least`` times are
+    looked at, so most pairs, which few users share, cost a number in a sort.
+    """
+    keys, where, xs, ds, base = [], [], [], [], 0
+    for b in batches:
+        for n, x, d in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            n, x, d = np.frombuffer(n.as_buffer(), "int64"), np.frombuffer(x.as_buffer(), "int64"), np.frombuffer(d.as_buffer())
+            at = np.flatnonzero((_mixed(x) >> np.uint64(33)) % np.uint64(parts) == part)
+            more = np.repeat(np.cumsum(n), n)[at] - at - 1  # items after it in its basket
+            first = np.repeat(at, more)
+            second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more)
+            keys.append((_mixed(_mixed(x[first]).view("int64") ^ x[second]) >> np.uint64(32)).astype("uint32"))
+            # kept until the hashes are counted: the items and ratings this task can need
+            need = np.zeros(len(x), dtype=bool)
+            need[second] = True
+            need[at] = True
+            to = np.cumsum(need) - 1 + base
+            where.append(np.stack([to[first], to[second]]).astype("int32"))
+            xs.append(x[need])
+            ds.append(d[need])
+            base += int(need.sum())
+    if not keys:
+        return
+    key, where, x, d = np.concatenate(keys), np.concatenate(where, axis=1), np.concatenate(xs), np.concatenate(ds)
+    s = np.sort(key)
+    often = np.zeros(1 << 24, dtype=bool)
+    hot = s[least - 1 :][s[least - 1 :] == s[: len(s) - least + 1]] if len(s) >= least else s[:0]
+    often[hot & 0xFFFFFF] = True
+    left = np.flatnonzero(often[key & 0xFFFFFF])
+    left = left[np.isin(key[left], hot)]
+    i, j = where[:, left]
+    order = np.lexsort((x[j], x[i]))
+    i, j = i[order], j[order]
+    new = np.flatnonzero(np.concatenate([[True], (x[i][1:] != x[i][:-1]) | (x[j][1:] != x[j][:-1])])) if len(i) else np.zeros(0, dtype=int)
+    count = np.diff(np.append(new, len(i)))
+    enough = count >= least
+    sums = [np.add.reduceat(v, new)[enough] if len(v) else v for v in (d[i] * d[j], d[i] * d[i], d[j] * d[j])]
+    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[i][new][enough], x[j][new][enough], count[enough], *sums)], names=["a", "b", "n", "ab", "aa", "bb"])
+
+
 def item_adjusted_cosine(r: DataFrame, least: int = 3) -> DataFrame:
-    """``a, b, n, sim`` of items with ``least`` shared users; users' means are taken off."""
-    mean = r.groupBy("u").agg(F.avg("r").alias("m"))
-    centred = r.join(mean, "u").select(F.col("i").alias("x"), F.col("u").alias("k"), (F.col("r") - F.col("m")).alias("d"))
-    p = centred.select(F.col("x").alias("a"), "k", F.col("d").alias("da")).join(centred.select(F.col("x").alias("b"), "k", F.col("d").alias("db")), "k").where("a < b")
-    s = p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("da") * F.col("db")).alias("ab"), F.sum(F.col("da") * F.col("da")).alias("aa"), F.sum(F.col("db") * F.col("db")).alias("bb"))
-    return s.where(F.col("n") >= least).select("a", "b", "n", F.when((F.col("aa") > 1e-12) & (F.col("bb") > 1e-12), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0).alias("sim"))
+    """``a, b, n, sim`` of items with ``least`` shared users; users' means are taken off. Keys are integers.
+
+    The pairs of all baskets would be many times the ratings, so they are not shuffled: the
+    baskets are packed and written once, and each task reads all of them for the pairs of some
+    of the items, as many tasks as keep its pairs at ``PAIRS_A_TASK``.
+    """
+    baskets = r.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("c")).select("c")
+    packed = durable(baskets.mapInArrow(_pack, "n binary, x binary, d binary, pairs long"))
+    parts = max(1, math.ceil((packed.agg(F.sum("pairs")).first()[0] or 0) / PAIRS_A_TASK))
+    told = packed.select("n", "x", "d")
+    one = lambda k: told.coalesce(1).mapInArrow(partial(_frequent_pairs, part=k, parts=parts, least=least), "a long, b long, n long, ab double, aa double, bb double")
+    s = reduce(DataFrame.unionAll, [one(k) for k in range(parts)])
+    return s.select("a", "b", "n", F.when((F.col("aa") > 1e-12) & (F.col("bb") > 1e-12), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0).alias("sim"))
 
 
 def item_cosine(r: DataFrame, least: int = 3) -> DataFrame:

@@ -42,7 +42,8 @@ def user_cf_predict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def item_cf_adjusted_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return C.item_adjusted_cosine(C.one_rating(_ratings(spark, d), "user_id", "item")).select("a", "b", "n", F.round("sim", 5).alias("sim"))
+    r = _ratings(spark, d).repartition("user_id")  # one shuffle for a user's ratings and baskets
+    return C.item_adjusted_cosine(C.one_rating(r, "user_id", "item")).select("a", "b", "n", F.round("sim", 5).alias("sim"))
 
 
 def attack_shift(spark: SparkSession, d: str) -> DataFrame:
