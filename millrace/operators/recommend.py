@@ -42,7 +42,7 @@ def profiles(train: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 #: Persons and items of a block pair of the score matrix, which is made for so many persons at a time.
-PERSONS, ITEMS, AT_ONCE = 50_000, 40_000, 250
+PERSONS, ITEMS, AT_ONCE, UNPACKED = 50_000, 40_000, 250, 2_000
 MOST_TERMS = 20_000
 #: Read items up to which scores are made of items' likeness to those; with more, of terms.
 BASIS = 1000
@@ -54,10 +54,14 @@ def _flat(t: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(c)), pc.list_value_length(c).to_numpy(zero_copy_only=False)), pc.list_flatten(c).to_numpy(zero_copy_only=False)
 
 
-def _dense(t: pa.Table, width: int) -> np.ndarray:
+def _dense(t: pa.Table, width: int, place: np.ndarray | None = None) -> np.ndarray:
+    """Rows of numbers, a row's at ``place``; few rows are unpacked at a time, as cells take several times a number's room."""
     out = np.zeros((t.num_rows, width))
-    row, at = _flat(t, "at")
-    out[row, at] = _flat(t, "w")[1]
+    for start in range(0, t.num_rows, UNPACKED):
+        part = t.slice(start, UNPACKED)
+        row, at = _flat(part, "at")
+        row += start
+        out[row if place is None else place[row], at] = _flat(part, "w")[1]
     return out
 
 
@@ -69,8 +73,12 @@ def _block_top(persons: pa.Table, items: pa.Table, n: int, digits: int, width: i
     """
     out = []
     if persons.num_rows and items.num_rows:
-        items = items.sort_by("content_id")
-        ids, g = items["content_id"].to_numpy(), _dense(items, width)
+        ids = items["content_id"].to_numpy()
+        order = np.argsort(ids)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        ids, g = ids[order], _dense(items, width, place)
+        del items
         small, sample, slack = g.astype("float32").T.copy(), min(len(ids), max(10 * n, len(ids) // 10)), 1 - (width + 10) * 2.4e-7
         for start in range(0, persons.num_rows, AT_ONCE):
             p = persons.slice(start, AT_ONCE)
