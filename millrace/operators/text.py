@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import durable
+from millrace.session import batches_of, durable
 
 #: English words left out before n-grams.
 STOP_WORDS = (
@@ -121,7 +121,8 @@ def _vocabulary(df: DataFrame, id_col: str, tokens: Column, n_docs: int, min_df:
     if max_features > MOST_TERMS:
         raise ValueError(f"{max_features} terms; the vocabulary sent to every task has at most {MOST_TERMS}")
     common = document_frequency(term_counts(df, id_col, tokens)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.desc("total"), "term").limit(max_features)
-    found = common.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")).collect()
+    with batches_of(df.sparkSession, ROWS_AT_ONCE):
+        found = common.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")).collect()
     return [r[0] for r in found], np.array([r[1] for r in found], dtype=float)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import table
 from millrace.functions import normalize
 from millrace.operators import recommend, relational, text
-from millrace.session import durable
+from millrace.session import batches_of, durable
 
 #: The first article; an event's key counts from it.
 FIRST_ARTICLE = 1001
@@ -122,7 +122,9 @@ def tfidf_baseline(spark: SparkSession, d: str) -> DataFrame:
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     train, test = map(durable, _split(spark, d))
     vectors, terms = text.tfidf_rows(*_english_terms(spark, d))
-    return recommend.top_unseen(train, durable(vectors), terms), test
+    with batches_of(spark, text.ROWS_AT_ONCE):
+        vectors = durable(vectors)
+    return recommend.top_unseen(train, vectors, terms), test
 
 
 def user_profiles(spark: SparkSession, d: str) -> DataFrame:
